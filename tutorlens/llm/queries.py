@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlens.llm import decontaminate, secret_scan, token_counts
+from tutorlens.llm import decontaminate, language_id, mixing, secret_scan, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": language_id.op3_language_id,
+        "op4_mix_sources": mixing.op4_mix_sources,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op8_reshard": sharding.op8_reshard,
     }
 
 
