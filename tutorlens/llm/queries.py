@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlens.llm import decontaminate, language_id, mixing, secret_scan, sharding, token_counts
+from tutorlens.llm import decontaminate, language_id, mixing, secret_scan, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_reshard": sharding.op8_reshard,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.ORACLE}
+    return {"op6_decontaminate": decontaminate.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
