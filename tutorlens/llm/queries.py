@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlens.llm import decontaminate, language_id, mixing, secret_scan, sharding, substring_dedup, token_counts
+from tutorlens.llm import decontaminate, language_id, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op3_language_id": language_id.op3_language_id,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_token_counts": token_counts.op5_token_counts,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
