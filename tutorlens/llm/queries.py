@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlens.llm import decontaminate, language_id, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
+from tutorlens.llm import decontaminate, embedding_dedup, language_id, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_reshard": sharding.op8_reshard,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
