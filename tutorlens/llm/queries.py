@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlens.llm import decontaminate, embedding_dedup, language_id, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
+from tutorlens.llm import decontaminate, embedding_dedup, language_id, lm_scoring, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": ngram_join.op1_ngram_join,
+        "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_language_id": language_id.op3_language_id,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_token_counts": token_counts.op5_token_counts,
