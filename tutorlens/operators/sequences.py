@@ -16,12 +16,12 @@ def brackets(log: DataFrame) -> DataFrame:
 
 
 def runs(log: DataFrame) -> DataFrame:
-    return log.filter("event_type = 'autograder_info'").select("user_key", "notebook", F.col("us").alias("run_us"), F.col("event_id").alias("run_id"), "grader_id", "success")
+    return log.filter("event_type = 'autograder_info'").select(F.col("user_key").alias("run_user"), F.col("notebook").alias("run_notebook"), F.col("us").alias("run_us"), F.col("event_id").alias("run_id"), "grader_id", "success")
 
 
-def _around(convs: DataFrame, found: DataFrame, before: int, after: int) -> Column:
-    same = (convs["user_key"] == found["user_key"]) & (convs["notebook"] == found["notebook"])
-    return same & found["run_us"].between(convs["t0"] - before * MINUTE, convs["t1"] + after * MINUTE)
+def _around(before: int, after: int) -> Column:
+    same = (F.col("user_key") == F.col("run_user")) & (F.col("notebook") == F.col("run_notebook"))
+    return same & F.col("run_us").between(F.col("t0") - before * MINUTE, F.col("t1") + after * MINUTE)
 
 
 def classify(last_before: Column, passed_after: Column, any_after: Column) -> tuple[Column, Column]:
@@ -38,7 +38,7 @@ def sequences(log: DataFrame, before: int, after: int) -> DataFrame:
     wins between runs of one time.
     """
     convs, found = brackets(log), runs(log)
-    met = convs.join(found, _around(convs, found, before, after), "left").drop(found["user_key"], found["notebook"])
+    met = convs.join(found, _around(before, after), "left")
     early, late = F.col("run_us") <= F.col("t0"), F.col("run_us") >= F.col("t1")
     out = met.groupBy("conv_id", "user_key", "notebook", "n_messages").agg(
         F.max_by(F.when(early, F.struct("success")), F.when(early, F.struct("run_us", "run_id"))).alias("last"),
@@ -58,7 +58,7 @@ def outcome_table(seqs: DataFrame) -> DataFrame:
 def bracket_runs(log: DataFrame, before: int, after: int) -> DataFrame:
     """(conv_id, run_us, run_id, grader_id, success) of every run with a known result in a bracket."""
     convs, found = brackets(log), runs(log).filter(F.col("success").isNotNull())
-    met = convs.join(found, _around(convs, found, before, after))
+    met = convs.join(found, _around(before, after))
     return met.select("conv_id", "run_us", "run_id", "grader_id", (F.col("success") == "true").alias("success"))
 
 
