@@ -167,23 +167,31 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         shared_shingles(docs, width, percent)
         .join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
         .filter(F.col("shared") >= need)
-        .select("doc_id", "n", F.explode(F.slice("rarest", 1, (F.col("shared") - need + 1).cast("int"))).alias("token"))
+        .select("doc_id", "n", (F.col("n") - F.col("shared")).alias("alone"), F.posexplode(F.slice("rarest", 1, (F.col("shared") - need + 1).cast("int"))).alias("at", "token"))
+        # how many tokens of the document can still match from this one on; the unshared ones come first and cannot
+        .select("doc_id", "n", "token", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
     )
     prefixed = settled(prefixed)
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = prefixed.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("s"), F.count("*").alias("k")).filter("k > 1")
-    members = prefixed.join(stars, "token")
-    involved = settled(members.select("doc_id").distinct())
+
+
+    def fits(x: str, y: str) -> F.Column:
+        """Whether a pair can link if this token is its first in common: both must have as much left as the overlap that is asked for."""
+        asked = F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * percent / (100 + percent) - 1e-9)
+        return F.least(F.col(f"{x}.left"), F.col(f"{y}.left")) >= asked
+
+    stars = prefixed.groupBy("token").agg(F.min(F.struct("doc_id", "n", "left")).alias("s"), F.count("*").alias("k")).filter("k > 1")
+    members = prefixed.alias("m").join(stars, "token")
+    involved = settled(members.select("m.doc_id").distinct())
     sets = settled(sets_of(docs, involved, width))
-    star_pairs = members.filter((F.col("doc_id") != F.col("s.doc_id")) & fits(F.col("n"), F.col("s.n"))).select(F.col("s.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star_pairs = members.filter((F.col("m.doc_id") != F.col("s.doc_id")) & fits("m", "s")).select(F.col("s.doc_id").alias("a"), F.col("m.doc_id").alias("b")).distinct()
     star_pairs = settled(star_pairs)
     links = settled(verified(star_pairs, sets, percent))
     first = components(links)
-    placed = prefixed.join(first, prefixed["doc_id"] == first["node"], "left").select("doc_id", "n", "token", F.coalesce("component_id", "doc_id").alias("c"))
+    placed = prefixed.join(first, prefixed["doc_id"] == first["node"], "left").select("doc_id", "n", "left", "token", F.coalesce("component_id", "doc_id").alias("c"))
     split = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
     open_ = settled(placed.join(split, "token", "left_semi"))
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fits(F.col("x.n"), F.col("y.n")))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fits("x", "y"))
     rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(star_pairs, ["a", "b"], "left_anti")
     more = settled(verified(rest, sets, percent))
     merged = first.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(more)
