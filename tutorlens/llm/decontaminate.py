@@ -26,7 +26,7 @@ def normalised_words(text: str) -> Column:
     """The words of a text: runs of digits, a-z (A-Z folded) and characters from U+0080 on; null has none."""
     body = F.coalesce(F.col(text), F.lit(""))
     # lower() is the quick way, and folds no other letter where there is no other capital
-    folded = F.when(body.rlike(r"[\p{Lu}\p{Lt}&&[^A-Z]]"), F.translate(body, UPPER, LOWER)).otherwise(F.lower(body))
+    folded = F.when(body.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"), F.translate(body, UPPER, LOWER)).otherwise(F.lower(body))
     return F.array_remove(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
