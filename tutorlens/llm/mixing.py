@@ -8,9 +8,9 @@ a source's documents are a weighted random order, and those whose running sum of
 within the budget are taken once more.
 
 Built from DataFrame functions only. No source is ever sorted whole: keys are cut into bins,
-the running sum is taken over bins, and only the one bin in which a source's budget ends is
+the running sum is taken over bins, and only the bins around the end of a source's budget are
 sorted, so a source that holds most of the corpus costs no more than any other. The result is
-one threshold per source, and each row decides for itself against it.
+a few thresholds per source, and each row decides for itself against it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tutorlens.llm.tables import settled, table
 SHARES, MOST = (5, 2, 1), 3
 #: Rows of the whole input for each bin of keys, and sources whose thresholds may be broadcast (about 10 MB).
 ROWS_A_BIN, BROADCAST_SOURCES = 5_000, 100_000
+#: Passes over the rows where a source's budget ends, and bins that they may look ahead.
+PASSES, REACH = 4, 64
 
 
 def _words(text: str) -> Column:
@@ -71,10 +73,11 @@ def targets(sizes: DataFrame, source: str = "source", shares: tuple[int, ...] =
 
 
 def plan(rows: DataFrame, source: str = "source", shares: tuple[int, ...] = SHARES, most: int = MOST) -> DataFrame:
-    """One row per source: source_size, target, epochs, and the last (key, tie) taken once more (null for none).
+    """One row per source: source_size, target, epochs, and for each pass the last (key, tie) taken once more and the most words it may have.
 
-    `rows` needs the source, size, __key and __tie. The prefix whose sum is nearest to the
-    budget wins, so what is taken misses the target by half a document at most.
+    `rows` needs the source, size, __key and __tie. The first pass takes documents in order
+    while their running sum fits the budget; each further pass goes on behind it, past documents
+    larger than what is left, so that less than a small document is missing in the end.
     """
     bins = -(-rows.count() // ROWS_A_BIN) + 63
     in_bin = F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("__key"))) * bins)).cast("bigint")
@@ -87,17 +90,25 @@ def plan(rows: DataFrame, source: str = "source", shares: tuple[int, ...] = SHAR
     small = _small(goal)
     running = running.withColumnRenamed(source, "__source")
     cut = running.join(small, F.col("__source").eqNullSafe(F.col(source))).filter((F.col("__begin") < F.col("__budget")) & (F.col("__budget") <= F.col("__end"))).select("__source", F.col("__bin").alias("__cut"), "__begin", "__budget")
-    cut = _small(settled(cut))
-    edge = rows.withColumn("__bin", in_bin).join(cut, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__bin") == F.col("__cut")))
-    row = Window.partitionBy("__source").orderBy("__key", "__tie")
-    edge = edge.withColumn("__sum", F.col("__begin") + F.sum("size").over(row))
-    best = edge.groupBy("__source").agg(
-        F.min(F.struct(F.abs(F.col("__sum") - F.col("__budget")).alias("miss"), F.col("__sum").alias("sum"), F.col("__key").alias("key"), F.col("__tie").alias("tie"))).alias("best"),
-        F.first("__begin").alias("begin"), F.first("__budget").alias("budget"), F.first("__cut").alias("cut"),
-    )
-    # all earlier bins and none of this one may be nearer still
-    none = (F.col("budget") - F.col("begin")) < F.col("best.miss")
-    best = best.select(F.col("__source"), F.col("cut").alias("__cut"), F.when(~none, F.col("best.key")).alias("__last_key"), F.when(~none, F.col("best.tie")).alias("__last_tie"))
+    cut = settled(cut)
+    near = (F.col("__bin") >= F.col("__cut")) & (F.col("__bin") < F.col("__cut") + REACH)
+    edge = rows.withColumn("__bin", in_bin).join(_small(cut), F.col(source).eqNullSafe(F.col("__source")) & near)
+    own, row = Window.partitionBy("__source"), Window.partitionBy("__source").orderBy("__key", "__tie")
+    edge = edge.withColumn("__at", F.struct("__key", "__tie")).withColumn("__gap", F.col("__budget") - F.col("__begin")).withColumn("__last", F.lit(None).cast("struct<__key:double,__tie:bigint>")).withColumn("__in", F.lit(False))
+    for k in range(PASSES):
+        # later passes look further down the order, at documents that fit what the one before left
+        open_ = (F.col("size") <= F.col("__gap")) & (F.col("__last").isNull() | (F.col("__at") > F.col("__last"))) if k else F.lit(True)
+        if k > 1:
+            open_ = open_ & F.col("__last").isNotNull()
+        edge = edge.withColumn("__sum", F.sum(F.when(open_, F.col("size")).otherwise(0)).over(row)).withColumn("__fits", open_ & (F.col("__sum") <= F.col("__gap")))
+        edge = edge.withColumn(f"last{k}", F.max(F.when(F.col("__fits"), F.col("__at"))).over(own)).withColumn(f"most{k}", F.col("__gap"))
+        edge = edge.withColumn("__gap", F.col("__gap") - F.coalesce(F.max(F.when(F.col("__fits"), F.col("__sum"))).over(own), F.lit(0)))
+        edge = edge.withColumn("__last", F.coalesce(f"last{k}", "__last") if k < 2 else F.col(f"last{k}")).withColumn("__in", F.col("__in") | F.col("__fits"))
+    # one more document, if taking it misses the target by less than leaving it
+    miss = F.abs(F.col("size") - F.col("__gap"))
+    edge = edge.withColumn("extra", F.min(F.when(~F.col("__in") & (miss < F.col("__gap")), F.struct(miss.alias("miss"), F.col("__at").alias("at")))).over(own)["at"])
+    steps = [c for k in range(PASSES) for c in (f"last{k}", f"most{k}")] + ["extra"]
+    best = cut.join(edge.groupBy("__source").agg(*[F.first(c).alias(c) for c in steps]).withColumnRenamed("__source", "__from"), F.col("__source").eqNullSafe(F.col("__from")), "left").select("__source", "__cut", *steps)
     return settled(goal.join(best, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source").withColumn("__bins", F.lit(bins)))
 
 
@@ -108,13 +119,20 @@ def _small(df: DataFrame) -> DataFrame:
 
 def decide(rows: DataFrame, of: DataFrame, source: str = "source") -> DataFrame:
     """`rows` with source_size, target, `copies` and `taken` (words, repeats counted)."""
-    bins = F.col("__bins")
+    bins, at = F.col("__bins"), F.struct("__key", "__tie")
     in_bin = F.least(bins - 1, F.floor((1 - F.exp(-F.col("__key"))) * bins))
-    once = F.col("__cut").isNotNull() & ((in_bin < F.col("__cut")) | ((in_bin == F.col("__cut")) & F.coalesce(F.struct("__key", "__tie") <= F.struct("__last_key", "__last_tie"), F.lit(False)) & F.col("__last_key").isNotNull()))
+    once, before = (in_bin < F.col("__cut")) | F.coalesce(at == F.col("extra"), F.lit(False)), None
+    for k in range(PASSES):
+        mine = at <= F.col(f"last{k}")
+        if k:
+            mine = mine & (F.col("size") <= F.col(f"most{k}")) & (before.isNull() | (at > before))
+        once = once | F.coalesce(mine, F.lit(False))
+        before = F.coalesce(f"last{k}", before) if k else F.col("last0")
+    once = F.coalesce(once, F.lit(False))
     of = _small(of.withColumnRenamed(source, "__source"))
     met = rows.join(of, F.col(source).eqNullSafe(F.col("__source")), "left")
     met = met.withColumn("copies", F.col("epochs") + once.cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
-    return met.drop("__source", "__key", "__tie", "__budget", "__cut", "__last_key", "__last_tie", "__bins", "epochs")
+    return met.drop("__source", "__key", "__tie", "__budget", "__cut", "__bins", "epochs", "extra", *[f"{c}{k}" for k in range(PASSES) for c in ("last", "most")])
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shares: tuple[int, ...] = SHARES, most: int = MOST, seed: int = 0) -> DataFrame:
