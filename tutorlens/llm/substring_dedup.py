@@ -106,12 +106,12 @@ def _repeats_in_block(high: np.ndarray, low: np.ndarray, doc: np.ndarray, pos: n
 def repeated_windows(anchored: DataFrame, parts: int) -> DataFrame:
     """(doc_id, repeats): the places of windows that also start in a document with a smaller doc_id.
 
-    `anchored` has doc_id, text and anchors. Only windows that hold a shared anchor are hashed.
+    `anchored` has doc_id, text and anchors, null for documents without. Only windows that hold a shared anchor are hashed.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = P.Block(P.BLOCK // 2)
-        for batch in P.texts(batches):
+        for batch in P.texts(b.filter(b.column("anchors").is_valid()) for b in batches):
             hashes, starts = words(batch.column("text"), fold=False)
             near = np.zeros(len(hashes) + 1, bool)
             for i, own in enumerate(batch.column("anchors").to_pylist()):
@@ -170,8 +170,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     parts = P.parts_for(docs, "text")
     anchors = settled(shared_anchors(docs, parts))
-    # both joins deal the texts by doc_id in the same way, and Spark does that once
-    repeats = repeated_windows(docs.join(anchors, "doc_id"), parts)
+    # both joins are left joins of the same table on doc_id, so Spark deals out the texts once
+    repeats = repeated_windows(docs.join(anchors, "doc_id", "left"), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
