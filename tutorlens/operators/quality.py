@@ -83,15 +83,15 @@ def alt_test(audits: DataFrame, verdicts: DataFrame, epsilon: float = 0.1) -> Da
     n = audits.agg(F.countDistinct("annotator").alias("k")).collect()[0]["k"]
     if n < 2:
         raise ValueError("an alternative-annotator test needs two annotators or more")
-    common = audits.groupBy(*PAIR).agg(F.countDistinct("annotator").alias("k")).filter(F.col("k") == n).select(*PAIR)
-    human = audits.join(common, list(PAIR), "left_semi")
-    model = verdicts.select(*PAIR, F.col("applies").alias("said"))
+    # one row per pair that everybody judged, with all answers in it; each annotator is then compared with the others there
+    human = audits.groupBy(*PAIR).agg(F.collect_set(F.struct("annotator", "applies")).alias("all"), F.countDistinct("annotator").alias("k")).filter(F.col("k") == n)
     # a message is an item if the model labeled it; a label it lacks there counts as not applied
     keys = verdicts.select(*KEY).distinct()
-    one = human.join(keys, list(KEY), "left_semi").join(model, list(PAIR), "left").withColumn("said", F.coalesce("said", F.lit(False)))
-    other = human.select(*PAIR, F.col("annotator").alias("peer"), F.col("applies").alias("peer_said"))
-    met = one.join(other, list(PAIR)).filter("annotator <> peer")
-    per_item = met.groupBy("annotator", *KEY).agg(_n(F.col("said") == F.col("peer_said")).alias("model"), _n(F.col("applies") == F.col("peer_said")).alias("human"))
+    model = verdicts.select(*PAIR, F.col("applies").alias("said"))
+    met = human.join(keys, list(KEY), "left_semi").join(model, list(PAIR), "left").withColumn("said", F.coalesce("said", F.lit(False))).withColumn("own", F.explode("all"))
+    others = F.filter("all", lambda x: x["annotator"] != F.col("own.annotator"))
+    agree = lambda with_: F.size(F.filter(others, lambda x: x["applies"] == with_)).cast("bigint")
+    per_item = met.groupBy(F.col("own.annotator").alias("annotator"), *KEY).agg(F.sum(agree(F.col("said"))).alias("model"), F.sum(agree(F.col("own.applies"))).alias("human"))
     out = per_item.groupBy("annotator").agg(F.count("*").alias("n_items"), (_n(F.col("model") >= F.col("human")) / F.count("*")).alias("advantage"))
     return out.withColumn("wins", F.col("advantage") >= 0.5 - epsilon)
 

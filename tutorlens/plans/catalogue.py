@@ -222,9 +222,11 @@ facts AS (SELECT a.chatlog_id, a.turn_index AS message_index, a.conv_id, a.text,
   FROM asked a LEFT JOIN latest l USING (event_id) JOIN flags f ON f.conv_id = a.conv_id)"""
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     log = D.log(spark, sf_dir)
     t = E.assemble_turns(log)
+    if placed:
+        t = turns.with_defection(turns.with_position(t, turns.length_terciles(t)))
     f = sequences.message_facts(t, sequences.bracket_runs(log, BEFORE, AFTER), sequences.traceback_flags(log, E.heads(log)), T.question_ref(F.col("text")))
     return f.withColumnRenamed("turn_index", "message_index")
 
@@ -250,10 +252,8 @@ strata AS (SELECT f.chatlog_id, f.message_index, t.tercile || '/' || CASE WHEN m
 
 
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = E.assemble_turns(D.log(spark, sf_dir))
-    placed = turns.with_defection(turns.with_position(t, turns.length_terciles(t))).filter("role = 'student'")
-    both = placed.select("chatlog_id", F.col("turn_index").alias("message_index"), "tercile", "position", "defected").join(_facts(spark, sf_dir).select(*sampling.KEY, "pre_pattern"), list(sampling.KEY))
-    return both.select(*sampling.KEY, sequences.stratum(F.col("tercile"), F.col("position"), F.col("pre_pattern"), F.col("defected")).alias("stratum"))
+    c = F.col
+    return _facts(spark, sf_dir, placed=True).select(*sampling.KEY, sequences.stratum(c("tercile"), c("position"), c("pre_pattern"), c("defected")).alias("stratum"))
 
 
 WORDS = "MAP {'short': 'short conversation', 'mid': 'medium conversation', 'long': 'long conversation', 'early': 'early turn', 'late': 'late turn'}"
@@ -429,8 +429,7 @@ i AS (SELECT x.annotator, x.chatlog_id, x.message_index, count(CASE WHEN v.appli
   FROM h x JOIN h y USING (chatlog_id, message_index, label) JOIN verdicts v USING (chatlog_id, message_index, label) WHERE x.annotator <> y.annotator GROUP BY ALL)
 SELECT annotator, count(*) AS n_items, count(CASE WHEN model >= human THEN 1 END) / count(*) AS advantage, count(CASE WHEN model >= human THEN 1 END) / count(*) >= 0.4 AS wins FROM i GROUP BY annotator""")
 def alt_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audits = D.audit(spark, sf_dir, 0).unionByName(D.audit(spark, sf_dir, 1)).unionByName(D.audit(spark, sf_dir, 2))
-    return quality.alt_test(audits, D.verdicts(spark, sf_dir), Params.alt_test_epsilon)
+    return quality.alt_test(D.audits(spark, sf_dir, 0, 1, 2), D.verdicts(spark, sf_dir), Params.alt_test_epsilon)
 
 
 @query(VERDICTS + f", s AS (SELECT * FROM verdicts WHERE chatlog_id % 3 = 0), a AS (SELECT chatlog_id, message_index, label, applies <> ({_flip('ablated', 8)}) AS after FROM s) SELECT label, count(CASE WHEN after <> applies THEN 1 END) AS flips, count(*) AS total FROM s JOIN a USING (chatlog_id, message_index, label) GROUP BY label")

@@ -67,23 +67,27 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("chatlog_id", "message_index", "conv_id", "mode", "us", "k", "label", "label_ord", applies.alias("applies"), F.when(applies, said).otherwise("").alias("rationale"), none.alias("no_label_fits"))
 
 
-def flips(seed: str, one_in: int) -> F.Column:
+def flips(seed: str | F.Column, one_in: int | F.Column) -> F.Column:
     """A fixed coin for each (message, label)."""
-    first = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "chatlog_id", "message_index", "label")), 1, 6), 16, 10).cast("bigint")
+    seed = F.lit(seed) if isinstance(seed, str) else seed
+    first = F.conv(F.substring(F.md5(F.concat_ws(":", seed, "chatlog_id", "message_index", "label")), 1, 6), 16, 10).cast("bigint")
     return first % one_in == 0
 
 
+def audits(spark: SparkSession, sf_dir: str, *annotators: int) -> DataFrame:
+    """Blind judgments of these humans: each judges about two thirds of the pairs, one in 6 + annotator against the model."""
+    v = verdicts(spark, sf_dir).withColumn("annotator", F.explode(F.array(*[F.lit(a) for a in annotators])))
+    who = F.col("annotator")
+    judged = v.filter(~flips(F.concat(F.lit("judged"), who), 3))
+    return judged.select("annotator", "chatlog_id", "message_index", "label", (F.col("applies") != flips(F.concat(F.lit("human"), who), who + 6)).alias("applies"))
+
+
 def audit(spark: SparkSession, sf_dir: str, annotator: int) -> DataFrame:
-    """A human's blind judgments: about two thirds of the pairs judged, one in 6 + annotator against the model."""
-    v = verdicts(spark, sf_dir).filter(~flips(f"judged{annotator}", 3))
-    return v.select(F.lit(annotator).alias("annotator"), "chatlog_id", "message_index", "label", (F.col("applies") != flips(f"human{annotator}", 6 + annotator)).alias("applies"))
+    return audits(spark, sf_dir, annotator)
 
 
 def votes(spark: SparkSession, sf_dir: str, runs: int = 5) -> DataFrame:
     """Repeated verdicts of one model: run r turns one verdict in 5 + r."""
-    v = verdicts(spark, sf_dir)
-    out = None
-    for r in range(runs):
-        one = v.select(F.lit(r).alias("run"), "chatlog_id", "message_index", "label", (F.col("applies") != flips(f"vote{r}", 5 + r)).alias("applies"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    v = verdicts(spark, sf_dir).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    said = F.col("applies") != flips(F.concat(F.lit("vote"), F.col("run")), F.col("run") + 5)
+    return v.select("run", "chatlog_id", "message_index", "label", said.alias("applies"))
