@@ -432,11 +432,11 @@ def alt_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.alt_test(D.audits(spark, sf_dir, 0, 1, 2), D.verdicts(spark, sf_dir), Params.alt_test_epsilon)
 
 
-@query(VERDICTS + f", s AS (SELECT * FROM verdicts WHERE chatlog_id % 3 = 0), a AS (SELECT chatlog_id, message_index, label, applies <> ({_flip('ablated', 8)}) AS after FROM s) SELECT label, count(CASE WHEN after <> applies THEN 1 END) AS flips, count(*) AS total FROM s JOIN a USING (chatlog_id, message_index, label) GROUP BY label")
+@query(VERDICTS + f", a AS (SELECT chatlog_id, message_index, label, applies <> ({_flip('ablated', 8)}) AS after FROM verdicts) SELECT label, count(CASE WHEN after <> applies THEN 1 END) AS flips, count(*) AS total FROM verdicts JOIN a USING (chatlog_id, message_index, label) GROUP BY label")
 def ablation_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the conversations is labeled again without context, as the ablation's input."""
+    """All messages labeled again, with a verdict in eight turned, as the ablation's input."""
     v = D.verdicts(spark, sf_dir)
-    again = v.filter("chatlog_id % 3 = 0").withColumn("applies", F.col("applies") != D.flips("ablated", 8))
+    again = v.withColumn("applies", F.col("applies") != D.flips("ablated", 8))
     return quality.flip_stats(v, again)
 
 
@@ -444,15 +444,16 @@ _H = f"md5('{SEED}:' || chatlog_id || ':' || message_index)"
 
 
 @query(ENTROPY + f""",
-pool AS (SELECT chatlog_id, message_index, abstained FROM msgs WHERE chatlog_id % 10 <> 0),
+pool AS (SELECT DISTINCT chatlog_id, message_index, no_label_fits AS abstained FROM verdicts WHERE mode <> ''),
 s1 AS (SELECT chatlog_id, message_index FROM pool WHERE abstained ORDER BY {_H}, chatlog_id, message_index LIMIT 16),
 r2 AS (SELECT chatlog_id, message_index, row_number() OVER (ORDER BY round(max_entropy, 9) DESC, chatlog_id, message_index) + (SELECT count(*) FROM s1) AS rn FROM pool JOIN entropies USING (chatlog_id, message_index) ANTI JOIN s1 USING (chatlog_id, message_index) WHERE round(max_entropy, 9) > 0),
 s2 AS (SELECT chatlog_id, message_index FROM r2 WHERE rn - 1 < 32),
 r3 AS (SELECT chatlog_id, message_index, row_number() OVER (ORDER BY {_H}, chatlog_id, message_index) + (SELECT count(*) FROM s1) + (SELECT count(*) FROM s2) AS rn FROM pool ANTI JOIN s1 USING (chatlog_id, message_index) ANTI JOIN s2 USING (chatlog_id, message_index))
 SELECT *, 'abstained' AS audit_stratum FROM s1 UNION ALL SELECT *, 'high-entropy' FROM s2 UNION ALL SELECT chatlog_id, message_index, 'random' FROM r3 WHERE rn <= 40""")
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = D.verdicts(spark, sf_dir).select(*sampling.KEY, "no_label_fits").distinct()
-    seen = pool.filter("chatlog_id % 10 = 0")
+    """Messages of the older log, without a mode, count as seen by the instructor and are left out."""
+    pool = D.verdicts(spark, sf_dir).select(*sampling.KEY, "mode", "no_label_fits").distinct()
+    seen = pool.filter("mode = ''")
     e = quality.vote_entropy(D.votes(spark, sf_dir)).withColumn("max_entropy", F.round("max_entropy", 9))
     return sampling.audit_sample(sampling.excluded(pool, seen), e, 40, SEED)
 
@@ -510,11 +511,11 @@ def label_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.categories(("affect", n), ("intent", n.filter("n_regionkey < 3")), ("concept", n.filter("n_regionkey = 1")))
 
 
-@query(VERDICTS + " SELECT chatlog_id, message_index FROM msgs WHERE chatlog_id % 4 <> 1")
+@query(VERDICTS + " SELECT DISTINCT chatlog_id, message_index FROM verdicts WHERE mode <> 'tutor'")
 def unlabeled_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter was labeled under this schema, another under an older one, which does not count."""
+    """Messages in tutor mode were labeled under this schema, those in chatgpt mode under an older one, which does not count."""
     m = D.messages(spark, sf_dir)
-    done = m.filter("chatlog_id % 4 IN (1, 2)").select(*sampling.KEY, F.when(F.col("chatlog_id") % 4 == 1, "new").otherwise("old").alias("schema_version"))
+    done = m.filter("mode <> ''").select(*sampling.KEY, F.when(F.col("mode") == "tutor", "new").otherwise("old").alias("schema_version"))
     return profile.todo(m, done, "new").select(*sampling.KEY)
 
 
