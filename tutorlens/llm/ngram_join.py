@@ -54,7 +54,7 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         from tutorlens.llm.words import slices
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 n, f1, f2 = [], [], []
                 for own in shingle_sets(batch.column("text"), width):
                     a, b = _fingerprint(own)
@@ -73,7 +73,7 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     parts = P.parts_for(docs, "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = P.Block(2 * P.BLOCK)
+        block = P.Block()
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, d, f = block.take()

@@ -132,7 +132,7 @@ class Block:
         return out
 
 
-def texts(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def texts(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of bounded size, without rows whose doc_id or text is null."""
     from tutorlens.llm.words import slices
 
