@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -327,6 +328,38 @@ def test_lm_scores(spark):
     assert lm_scoring.lm_scores(frame(spark, [])).count() == 0
 
 
+def test_lm_scores_take_every_words_own_count(spark, monkeypatch):
+    """How many words are broadcast does not change a score: each word has its own share, from its own count."""
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choices(names, [1 / (k + 1) for k in range(500)], k=rng.choice([3, 40, 200]))), "en", "s0", 0) for i in range(60)] + [(7, "n499 n499", "en", "s0", 0), (None, "n499 Été", "fr", "s0", 0)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    got = []
+    for most in (50_000, 100, 0):
+        monkeypatch.setattr(lm_scoring, "VOCABULARY", most)
+        got.append(sorted((r["doc_id"] or -1, r["n_tokens"], r["pll"]) for r in lm_scoring.lm_scores(docs).collect()))
+        assert len(got[-1]) == len(rows) and np.allclose(got[-1], got[0], rtol=0, atol=1e-3)
+    counts = Counter(w for _, t, *_ in rows for w in as_words(t.lower()))
+    vocab = lm_scoring.vocabulary(docs)
+    assert len(vocab.index) == lm_scoring.OWN
+    flat = {r["doc_id"]: r["base"] for r in lm_scoring.encode(docs, vocab).filter("doc_id < 5").collect()}
+    whole = {r["doc_id"]: r["pll"] for r in lm_scoring.score(docs, vocab, lm_scoring.train(docs, vocab, 0)).filter("doc_id < 5").collect()}
+    mass = Counter()
+    for w, n in counts.items():
+        mass[lm_scoring.ending_class(w)] += n * (w not in vocab.index)
+    for i, text, *_ in rows[:5]:
+        rare = [w for w in as_words(text) if w not in vocab.index]
+        assert abs(flat[i] + sum(math.log(mass[lm_scoring.ending_class(w)] + 1) for w in rare)) < 1e-6
+    # words of one class and unlike counts differ by their counts alone
+    net = lm_scoring.train(docs, vocab, 0)
+    by_class = {}
+    for w in sorted(counts, key=lambda w: (-counts[w], w))[lm_scoring.OWN :]:
+        by_class.setdefault(lm_scoring.ending_class(w), []).append(w)
+    a, b = next((v[0], v[-1]) for v in by_class.values() if counts[v[0]] > counts[v[-1]])
+    pair = {r["doc_id"]: r["pll"] for r in lm_scoring.score(spark.createDataFrame([(0, a), (1, b)], "doc_id bigint, text string"), vocab, net).collect()}
+    assert len(whole) == 5 and abs(pair[0] - pair[1] - math.log(counts[a] / counts[b])) < 1e-4
+
+
 def test_lm_training_lowers_the_loss(spark):
     text = " ".join(["the cat sat on a mat and"] * 40)
     docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id bigint, text string")

@@ -3,21 +3,24 @@
 A bidirectional window network predicts every word from the two words on either side; the sum
 of the conditional log-probabilities scores a document. The output is factored: the network
 predicts a word's class, and the class its word. Frequent words are classes of their own, the
-rest are classed by the hash of their ending, and a word's share of its class comes from counts
-over the whole corpus, words outside the vocabulary included.
+rest are classed by the hash of their ending, and every word's share of its class is its own
+count over the whole corpus. Counts stay a table: the most frequent words are broadcast, and
+those of all others are joined to the documents by a shuffle, so scores do not depend on how
+many are broadcast.
 
 The network is trained in numpy inside Spark tasks. In each epoch every task masks its share of
 the positions of all its documents, takes mini-batch steps from the current weights, and hands
 back weights; these are averaged by the number of positions they learned from, piece by piece,
 and go out again. All documents are counted and trained on; only the model, whose size is fixed
-by parameters, passes through the driver.
+by parameters, and the words that are broadcast pass through the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tutorlens.llm.tables import settled, table
-from tutorlens.llm.words import mix, slices
+from tutorlens.llm.words import mix, slices, utf8
 
-#: Words with a class of their own, classes by ending, words in the vocabulary at most, and the width of the hidden layer.
+#: Words with a class of their own, classes by ending, words that may be broadcast besides, and the width of the hidden layer.
 OWN, ENDINGS, VOCABULARY, HIDDEN = 63, 32, 50_000, 24
 #: Places around the predicted word; class 0 stands for what lies outside the document.
 WINDOW = (-2, -1, 1, 2)
 #: Share of positions masked in each epoch (percent), epochs, positions in a step, learning rate, pieces of the model.
 MASKED, EPOCHS, STEP, RATE, PIECES = 15, 2, 256, 1.0, 8
 CLASSES = 1 + OWN + ENDINGS
+#: Logarithms of counts are added as whole multiples of 1 / UNIT, so that their order does not matter.
+UNIT = 1 << 30
 
 
 def ending_class(word: str) -> int:
@@ -44,16 +49,31 @@ def ending_class(word: str) -> int:
 
 @dataclass
 class Vocabulary:
-    """`index` numbers the words kept; entry i has class `cls[i]` and log share `share[i]` of it. Other words follow, one entry per class by ending."""
+    """`index` numbers the words broadcast; entry i has class `cls[i]` and log share `share[i]` of it.
+
+    One entry per class by ending follows, for all other words: its share is that of a count of
+    1, to which the logarithm of the word's count in `counts` (word, n) is added by a join.
+    """
 
     index: dict[str, int]
     cls: np.ndarray
     share: np.ndarray
     prior: np.ndarray
+    counts: DataFrame | None = None
+    raw: dict[bytes, int] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None, "raw": {}}
 
     def entries(self, words: list[str]) -> np.ndarray:
-        known, n = self.index.get, len(self.index) - 1 - OWN
-        return np.array([i if (i := known(w)) is not None else n + ending_class(w) for w in words], np.int32)
+        return self.coded([w.encode() for w in words])
+
+    def coded(self, words: list[bytes]) -> np.ndarray:
+        """The entries of words given as UTF-8."""
+        if len(self.raw) < len(self.index):
+            self.raw = {w.encode(): i for w, i in self.index.items()}
+        known, n = self.raw.get, len(self.index) - 1 - OWN
+        return np.array([i if (i := known(w)) is not None else n + ending_class(w.decode(errors="replace")) for w in words], np.int32)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -63,10 +83,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts every word of the corpus and keeps the most frequent, at most VOCABULARY of them.
+    """Counts every word of the corpus; the most frequent, about VOCABULARY of them at most, are broadcast.
 
     The cut is a count: a histogram of counts, a few hundred rows, says from which count on
-    the words fit, so no sort of the whole vocabulary is needed.
+    the words fit, so no sort of the whole vocabulary is needed. A word below it has at most
+    about one in VOCABULARY of all words, so none is hot in the join.
     """
     counts = settled(word_counts(docs))
     scale = F.floor(F.log2("n") * 8).cast("int")
@@ -76,16 +97,18 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
         if kept + k > VOCABULARY:
             break
         kept, cut = kept + k, b
-    inside = (scale >= cut) if cut is not None else F.lit(False)
-    rows = sorted(((r["word"], r["n"]) for r in counts.filter(inside).collect()), key=lambda r: (-r[1], r[0]))
+    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    inside = counts.filter(scale >= cut).collect() if cut is not None else []  # at most VOCABULARY words
+    rows = sorted({*top, *((r["word"], r["n"]) for r in inside)}, key=lambda r: (-r[1], r[0]))
     ends = 1 + OWN + F.pmod(F.crc32(F.substring("word", -3, 3).cast("binary")), F.lit(ENDINGS))
-    rest = {r["c"]: (r["n"], r["k"]) for r in counts.filter(~inside).groupBy(ends.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
+    rest = {r["c"]: r["n"] for r in counts.filter(~F.col("word").isin([w for w, _ in top])).groupBy(ends.alias("c")).agg(F.sum("n").alias("n")).collect()}
     index = {w: i for i, (w, _) in enumerate(rows)}
     cls = np.array([1 + i if i < OWN else ending_class(w) for i, (w, _) in enumerate(rows)] + list(range(1 + OWN, CLASSES)), np.int32)
-    mass = np.array([float(n) for _, n in rows] + [rest.get(c, (0, 0))[0] + 1.0 for c in range(1 + OWN, CLASSES)])
-    types = np.array([1.0] * len(rows) + [rest.get(c, (0, 0))[1] + 1.0 for c in range(1 + OWN, CLASSES)])
-    total = np.bincount(cls, mass, minlength=CLASSES)
-    return Vocabulary(index, cls, np.log(mass / types / total[cls]), np.log((total + 1) / (total + 1).sum()).astype(np.float32))
+    total = np.zeros(CLASSES)
+    total[1 : 1 + len(top)] = [n for _, n in top]
+    total[1 + OWN :] = [rest.get(c, 0) + 1.0 for c in range(1 + OWN, CLASSES)]  # and 1 for words not counted
+    mass = np.array([float(n) for _, n in rows] + [1.0] * ENDINGS)
+    return Vocabulary(index, cls, np.log(mass / total[cls]), np.log((total + 1) / (total + 1).sum()).astype(np.float32), counts)
 
 
 class Network:
@@ -161,30 +184,63 @@ def contexts(cls: np.ndarray, starts: np.ndarray, at: np.ndarray | slice = slice
     return out
 
 
-def _entries(batch: pa.RecordBatch, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    # bytes split at space and the controls 9 to 13 only
-    own = [t.lower().encode().split() for t in batch.column("text").fill_null("").to_pylist()]
-    starts = np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)
-    return vocab.entries([w.decode() for words in own for w in words]), starts
+def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(row, doc_id, n_tokens, base, cls, tail) for each row of `docs`, each word looked up once.
+
+    `base` sums the entries' log shares, `cls` has the words' classes as 16-bit numbers, and
+    `tail` the words that are not broadcast, with spaces between. `row` numbers the rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most about VOCABULARY words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                # bytes split at space and the controls 9 to 13 only
+                data, offsets = utf8(batch.column("text"))
+                raw = data.tobytes()
+                own = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                starts = np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)
+                entries = vocab.coded([w for words in own for w in words])
+                running = np.concatenate(([0.0], np.cumsum(vocab.share[entries], dtype=np.float64)))
+                cls, rare = vocab.cls[entries].astype(np.uint16), entries >= len(vocab.index)
+                kinds = [cls[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                tail = [b" ".join(itertools.compress(w, rare[a : a + len(w)])).decode(errors="replace") for w, a in zip(own, starts[:-1], strict=True)]
+                columns = [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(starts), pa.int64()), pa.array(running[starts[1:]] - running[starts[:-1]], pa.float64()), pa.array(kinds, pa.binary()), pa.array(tail, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "base", "cls", "tail"])
+
+    # lower-cased by Spark, as they are counted
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    out = settled(rows.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, base double, cls binary, tail string"))
+    shared.unpersist()
+    return out
+
+
+def _classes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all words of an encoded batch and where each row's begin."""
+    data, offsets = utf8(batch.column("cls"))
+    return np.frombuffer(data, np.uint16).astype(np.int32), offsets // 2
 
 
 def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> Network:
     """The network after `epochs` rounds of local steps and averaging over all documents."""
-    spark = docs.sparkSession
-    net = Network(vocab.prior)
-    shared = spark.sparkContext.broadcast(vocab)  # at most VOCABULARY words
+    return learned(encode(docs, vocab), vocab.prior, epochs)
+
+
+def learned(encoded: DataFrame, prior: np.ndarray, epochs: int = EPOCHS) -> Network:
+    """What `train` learns, from rows of `encode`."""
+    net = Network(prior)
     for epoch in range(epochs):
         start = net.flat()
         rate = RATE / (1 + epoch)
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, epoch: int = epoch, rate: float = rate) -> Iterator[pa.RecordBatch]:
-            mine, seen, wait = Network(shared.value.prior).load(start), 0, []
+            mine, seen, wait = Network(prior).load(start), 0, []
             for whole in batches:
-                for batch in slices(whole, "text", 1 << 20):
-                    entries, starts = _entries(batch, shared.value)
-                    if not len(entries):
+                for batch in slices(whole, "cls", 1 << 19):
+                    cls, starts = _classes(batch)
+                    if not len(cls):
                         continue
-                    cls = shared.value.cls[entries]
                     ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                     salt = np.repeat(mix(ids * np.uint64(EPOCHS + 1) + np.uint64(epoch)), np.diff(starts))
                     masked = np.flatnonzero(mix(salt + np.arange(len(cls), dtype=np.uint64)) % np.uint64(100) < np.uint64(MASKED))
@@ -198,11 +254,10 @@ def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> Network:
                 wait = [pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array([seen] * PIECES, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "task", "seen", "weights"])]
             yield from wait
 
-        sums = docs.mapInArrow(run, "piece int, task int, seen bigint, weights binary").groupBy("piece").applyInArrow(_average, "piece int, weights binary")
+        sums = encoded.select("doc_id", "cls").mapInArrow(run, "piece int, task int, seen bigint, weights binary").groupBy("piece").applyInArrow(_average, "piece int, weights binary")
         got = {r["piece"]: np.frombuffer(r["weights"], np.float64) for r in sums.collect()}  # PIECES rows, the model
         if got:
             net = net.load(np.concatenate([got[k] for k in sorted(got)]))
-    shared.unpersist()
     return net
 
 
@@ -216,23 +271,31 @@ def _average(rows: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
     """(doc_id, n_tokens, pll): each whole text's words and the sum of their conditional log-probabilities."""
-    spark = docs.sparkSession
-    shared, flat = spark.sparkContext.broadcast(vocab), net.flat()
+    return scored(encode(docs, vocab), vocab.counts, net)
+
+
+def scored(encoded: DataFrame, counts: DataFrame, net: Network) -> DataFrame:
+    """What `score` gives, from rows of `encode` and the counts (word, n) of all words."""
+    prior, flat = net.parts[3], net.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Network(shared.value.prior).load(flat)
+        model = Network(prior).load(flat)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                entries, starts = _entries(batch, shared.value)
-                cls = shared.value.cls[entries]
-                logs = shared.value.share[entries].copy()
+            for batch in slices(whole, "cls", 1 << 19):
+                cls, starts = _classes(batch)
+                logs = np.zeros(len(cls), np.float32)
                 context = contexts(cls, starts)
                 for i in range(0, len(cls), 1 << 14):
-                    logs[i : i + (1 << 14)] += model.log_probability(context[i : i + (1 << 14)], cls[i : i + (1 << 14)])
+                    logs[i : i + (1 << 14)] = model.log_probability(context[i : i + (1 << 14)], cls[i : i + (1 << 14)])
                 running = np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(starts), pa.int64()), pa.array(running[starts[1:]] - running[starts[:-1]], pa.float64())], ["doc_id", "n_tokens", "pll"])
+                sums = running[starts[1:]] - running[starts[:-1]] + batch.column("base").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(sums, pa.float64())], ["row", "doc_id", "n_tokens", "pll"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, pll double")
+    known = encoded.select("row", "doc_id", "n_tokens", "base", "cls").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, pll double")
+    rare = encoded.filter("tail <> ''").select("row", F.explode(F.split("tail", " ")).alias("word"))
+    logs = counts.select("word", F.round(F.log("n") * UNIT).cast("bigint").alias("log"))
+    added = rare.join(logs, "word").groupBy("row").agg(F.sum("log").alias("more"))
+    return known.join(added, "row", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("more", F.lit(0)) / F.lit(float(UNIT))).alias("pll"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -244,8 +307,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     vocab = vocabulary(docs)
-    net = train(docs, vocab)
-    return score(docs, vocab, net).withColumn("pll_per_token", F.try_divide("pll", "n_tokens"))
+    encoded = encode(docs, vocab)
+    return scored(encoded, vocab.counts, learned(encoded, vocab.prior)).withColumn("pll_per_token", F.try_divide("pll", "n_tokens"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
