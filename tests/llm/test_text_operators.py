@@ -368,6 +368,17 @@ def test_lm_training_lowers_the_loss(spark):
     assert loss[1] > loss[0] * 0.8
 
 
+def test_lm_training_predicts_every_position(spark):
+    """Each position is a target in one epoch, so a table of a single word is learned from, whatever its id."""
+    ids, starts = np.array([5, 5, 0, 2**64 - 1], np.uint64), np.array([0, 3, 3, 40, 1000])
+    for epochs in (1, 2, 3):
+        assert sorted(np.concatenate([lm_scoring.masks(ids, starts, e, epochs) for e in range(epochs)])) == list(range(1000))
+    for i in (1, 2, 3, 4, None):
+        docs = spark.createDataFrame([(i, "word")], "doc_id bigint, text string")
+        vocab = lm_scoring.vocabulary(docs)
+        assert not np.allclose(lm_scoring.train(docs, vocab).flat(), lm_scoring.Network(vocab.prior).flat())
+
+
 def test_targets(spark):
     rng = random.Random(2)
     for _ in range(8):

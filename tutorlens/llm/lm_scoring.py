@@ -8,9 +8,9 @@ count over the whole corpus. Counts stay a table: the most frequent words are br
 those of all others are joined to the documents by a shuffle, so scores do not depend on how
 many are broadcast.
 
-The network is trained in numpy inside Spark tasks. In each epoch every task masks its share of
-the positions of all its documents, takes mini-batch steps from the current weights, and hands
-back weights; these are averaged by the number of positions they learned from, piece by piece,
+The network is trained in numpy inside Spark tasks. The epochs part the positions of all
+documents among them, so each is masked and predicted once; in each epoch every task masks that
+epoch's positions, takes mini-batch steps from the current weights, and hands back weights; these are averaged by the number of positions they learned from, piece by piece,
 and go out again. All documents are counted and trained on; only the model, whose size is fixed
 by parameters, and the words that are broadcast pass through the driver.
 """
@@ -35,8 +35,8 @@ from tutorlens.llm.words import mix, slices, utf8
 OWN, ENDINGS, VOCABULARY, HIDDEN = 63, 32, 50_000, 24
 #: Places around the predicted word; class 0 stands for what lies outside the document.
 WINDOW = (-2, -1, 1, 2)
-#: Share of positions masked in each epoch (percent), epochs, positions in a step, learning rate, pieces of the model.
-MASKED, EPOCHS, STEP, RATE, PIECES = 15, 2, 256, 1.0, 8
+#: Epochs, positions in a step, learning rate, pieces of the model.
+EPOCHS, STEP, RATE, PIECES = 2, 256, 1.0, 8
 CLASSES = 1 + OWN + ENDINGS
 #: Logarithms of counts are added as whole multiples of 1 / UNIT, so that their order does not matter.
 UNIT = 1 << 30
@@ -227,6 +227,13 @@ def train(docs: DataFrame, vocab: Vocabulary, epochs: int = EPOCHS) -> Network:
     return learned(encode(docs, vocab), vocab.prior, epochs)
 
 
+def masks(ids: np.ndarray, starts: np.ndarray, epoch: int, epochs: int) -> np.ndarray:
+    """The positions that an epoch predicts, by a hash of id and place in the text: each position falls to one of the epochs."""
+    sizes = np.diff(starts)
+    place = np.arange(sizes.sum()) - np.repeat(starts[:-1], sizes)
+    return np.flatnonzero(mix(np.repeat(mix(ids), sizes) + place.astype(np.uint64)) % np.uint64(epochs) == np.uint64(epoch))
+
+
 def learned(encoded: DataFrame, prior: np.ndarray, epochs: int = EPOCHS) -> Network:
     """What `train` learns, from rows of `encode`."""
     net = Network(prior)
@@ -242,8 +249,7 @@ def learned(encoded: DataFrame, prior: np.ndarray, epochs: int = EPOCHS) -> Netw
                     if not len(cls):
                         continue
                     ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                    salt = np.repeat(mix(ids * np.uint64(EPOCHS + 1) + np.uint64(epoch)), np.diff(starts))
-                    masked = np.flatnonzero(mix(salt + np.arange(len(cls), dtype=np.uint64)) % np.uint64(100) < np.uint64(MASKED))
+                    masked = masks(ids, starts, epoch, epochs)
                     context = contexts(cls, starts, masked)
                     for i in range(0, len(masked), STEP):
                         mine.learn(context[i : i + STEP], cls[masked[i : i + STEP]], np.float32(rate))
