@@ -1,24 +1,27 @@
-"""Reading the input tables, and places shared by all executors."""
+"""Reading the input tables, and names for added columns."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tutorlens.sources.shared import checkpoint_dir, fresh_folder, settled
+
+__all__ = ["added", "checkpoint_dir", "fresh_folder", "settled", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the cluster's shared checkpoint folder.
+def added(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that an operator adds: as given, with underscores behind where `df` has such a column already.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is taken only where
-    none is set, as in tests on one machine.
+    Columns of the caller are therefore never replaced.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    had, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in had:
+            name += "_"
+        had.add(name.lower())
+        out.append(name)
+    return out
