@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tutorlens.llm.tables import settled, table
+from tutorlens.llm.tables import added, settled, table
 
 SHARDS, BLOCKS = 16, 256
 #: Rows numbered by one task at a time.
 ROWS_A_RUN = 5_000
+#: Runs of rows whose first slots may be broadcast (a few numbers each, about 10 MB).
+BROADCAST_RUNS = 100_000
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence[Sequence[float]] | None = None) -> dict[tuple[int, int], int]:
@@ -97,18 +99,17 @@ def transfers(blocks: dict[tuple[int, int], int], capacity: Sequence[int], cost:
     for k in sorted(gone, key=lambda k: (-blocks[k], k)):
         to[k] = max(range(len(capacity)), key=lambda j: (capacity[j] - now[j], -j))
         now[to[k]] += blocks[k]
-    for _ in range(4 * n):
+    while True:  # every move lowers the sum of squared misses by whole bytes, so this ends
         over = max(range(len(capacity)), key=lambda j: (now[j] - capacity[j], -j))
         under = max(range(len(capacity)), key=lambda j: (capacity[j] - now[j], -j))
         gap = min(now[over] - capacity[over], capacity[under] - now[under])
         fits = [(blocks[k], k) for k in blocks if to[k] == over and 0 < blocks[k] < 2 * max(gap, 0)]
         if not fits:
-            break
+            return to
         size, k = min(fits, key=lambda f: (abs(f[0] - gap), f[1]))
         to[k] = under
         now[over] -= size
         now[under] += size
-    return to
 
 
 def even(total: int, shards: int) -> list[int]:
@@ -116,46 +117,57 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(rows: DataFrame, size: str, old: str, spread: F.Column, shards: int = SHARDS, capacity: Sequence[int] | None = None, blocks: int = BLOCKS, cost: Sequence[Sequence[float]] | None = None) -> DataFrame:
-    """`rows` with `block`, `shard` (the new shard) and `slot` (its place there, without gaps from 0).
+def reshard(rows: DataFrame, size: str, old: str, spread: str, shards: int = SHARDS, capacity: Sequence[int] | None = None, blocks: int = BLOCKS, cost: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """`rows` with __sh_block, __sh_new (the new shard) and __sh_slot (its place there, without gaps from 0).
 
-    `old` names the column of old shard numbers, `spread` is a hash that cuts a shard into
-    blocks. Without `capacity`, all bytes are shared evenly. Numbering runs inside small runs
-    of rows and adds what comes before each run, so no shard is ever sorted as a whole. Rows
-    equal in `spread` and size are interchangeable. An empty table stays empty.
+    `size`, `old` and `spread` name columns: bytes, the old shard's number, and a hash that cuts
+    a shard into blocks. Without `capacity`, all bytes are shared evenly. Numbering runs inside
+    small runs of rows and adds what comes before each run, so no shard is ever sorted as a
+    whole. Rows equal in `spread` and size are interchangeable, and lie in one run. Names that begin with __sh_ are kept for this function; an empty table
+    stays empty.
     """
-    cut = rows.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int"))
-    sizes = {(r[old], r["block"]): r["bytes"] for r in cut.groupBy(old, "block").agg(F.sum(size).alias("bytes")).collect()}  # shards x blocks rows
+    cut = rows.withColumn("__sh_block", F.pmod(F.col(spread), F.lit(blocks)).cast("int"))
+    counts = cut.groupBy(old, "__sh_block").agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()  # shards x blocks rows
+    sizes = {(r[old], r["__sh_block"]): r["bytes"] for r in counts}
     capacity = capacity or even(sum(sizes.values()), shards)
     to = transfers(sizes, capacity, cost)
-    spark = rows.sparkSession
-    moves = spark.createDataFrame([(*k, s) for k, s in sorted(to.items())], f"`{old}` int, block int, shard int")
-    placed = cut.join(F.broadcast(moves), [old, "block"])
-    runs = -(-rows.count() // (ROWS_A_RUN * shards * blocks)) or 1
-    placed = placed.withColumn("__spread", spread).withColumn("__run", F.pmod(F.shiftright("__spread", 20), F.lit(runs)))
-    run = [old, "block", "__run"]
-    before = placed.groupBy("shard", *run).agg(F.count("*").alias("__n"))
-    before = before.withColumn("__first", F.sum("__n").over(Window.partitionBy("shard").orderBy(*run)) - F.col("__n")).select(*run, "__first")
-    numbered = placed.withColumn("__place", F.row_number().over(Window.partitionBy(*run).orderBy("__spread", size)) - 1)
-    return numbered.join(before, run).withColumn("slot", (F.col("__first") + F.col("__place")).cast("bigint")).drop("__first", "__place", "__run", "__spread")
+    moves = rows.sparkSession.createDataFrame([(*k, s) for k, s in sorted(to.items())], "__sh_from int, __sh_of int, __sh_new int")
+    placed = cut.join(F.broadcast(moves), (F.col(old) == F.col("__sh_from")) & (F.col("__sh_block") == F.col("__sh_of"))).drop("__sh_from", "__sh_of")
+    # as many runs as a block of its rows needs, however unlike blocks are
+    runs = rows.sparkSession.createDataFrame([(r[old], r["__sh_block"], -(-r["n"] // ROWS_A_RUN)) for r in counts], "__sh_from int, __sh_of int, __sh_runs bigint")
+    placed = placed.join(F.broadcast(runs), (F.col(old) == F.col("__sh_from")) & (F.col("__sh_block") == F.col("__sh_of"))).drop("__sh_from", "__sh_of")
+    placed = placed.withColumn("__sh_run", F.pmod(F.shiftright(spread, 20), F.col("__sh_runs"))).drop("__sh_runs")
+    run = [old, "__sh_block", "__sh_run"]
+    before = placed.groupBy("__sh_new", *run).agg(F.count("*").alias("__sh_n"))
+    before = before.select(*[F.col(c).alias(f"{c}__sh_r") for c in run], (F.sum("__sh_n").over(Window.partitionBy("__sh_new").orderBy(*run)) - F.col("__sh_n")).alias("__sh_first"))
+    numbered = placed.withColumn("__sh_place", F.row_number().over(Window.partitionBy(*run).orderBy(spread, size)) - 1)
+    same = [F.col(c) == F.col(f"{c}__sh_r") for c in run]
+    out = numbered.join(F.broadcast(before) if len(counts) * 8 <= BROADCAST_RUNS else before, same[0] & same[1] & same[2])
+    return out.withColumn("__sh_slot", (F.col("__sh_first") + F.col("__sh_place")).cast("bigint")).drop("__sh_first", "__sh_place", "__sh_run", *[f"{c}__sh_r" for c in run])
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """`docs` with size (UTF-8 bytes of the text and 1; 1 for null), text_crc32, old_shard by a hash of the id, and __spread."""
+    """`docs` with __sh_size (UTF-8 bytes of the text and 1; 1 for null), __sh_crc32, __sh_old by a hash of the id, and __sh_at, a hash of id and text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.drop("size", "text_crc32", "old_shard", "__at")
-    return kept.withColumns({
-        "size": (F.octet_length(body) + 1).cast("bigint"),
-        "text_crc32": F.crc32(body.cast("binary")),
-        "old_shard": F.pmod(F.xxhash64(F.lit("shard"), F.col(doc_id)), F.lit(shards)).cast("int"),
-        "__at": F.xxhash64(F.lit("block"), F.col(doc_id), F.col(text)),
+    return docs.withColumns({
+        "__sh_size": (F.octet_length(body) + 1).cast("bigint"),
+        "__sh_crc32": F.crc32(body.cast("binary")),
+        "__sh_old": F.pmod(F.xxhash64(F.lit("shard"), F.col(doc_id)), F.lit(shards)).cast("int"),
+        "__sh_at": F.xxhash64(F.lit("block"), F.col(doc_id), F.col(text)),
     })
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """`docs` with size, text_crc32, old_shard, block, shard and slot under the law `bytes`: shards near equal in bytes."""
-    rows = sized(docs, doc_id, text, shards)
-    return reshard(rows, "size", "old_shard", F.col("__at"), shards).drop("__at")
+    """`docs` with size, text_crc32, old_shard, block, shard and slot under the law `bytes`: shards near equal in bytes.
+
+    A column of the caller is never replaced: where it has the name of a new one, the new one
+    gets an underscore behind its name. A null text has size 1; rows of any length stay whole,
+    so one text larger than a shard's share makes that shard larger.
+    """
+    names = added(docs, "size", "text_crc32", "old_shard", "block", "shard", "slot")
+    out = reshard(sized(docs, doc_id, text, shards), "__sh_size", "__sh_old", "__sh_at", shards)
+    own = ("__sh_size", "__sh_crc32", "__sh_old", "__sh_block", "__sh_new", "__sh_slot")
+    return out.select(*docs.columns, *[F.col(c).alias(n) for c, n in zip(own, names, strict=True)])
 
 
 def rewrite(spark: SparkSession, source: str, target: str, shards: int, doc_id: str = "doc_id", text: str = "text", capacity: Sequence[int] | None = None) -> dict[int, str]:
@@ -164,20 +176,37 @@ def rewrite(spark: SparkSession, source: str, target: str, shards: int, doc_id:
     Shards that neither send nor receive a block keep their old files; the others are written
     anew below `target`.
     """
-    rows = spark.read.parquet(source).withColumnRenamed("shard", "old_shard")
-    columns = [c for c in rows.columns if c not in ("old_shard", "slot")]
-    rows = sized(rows.drop("slot").withColumnRenamed("old_shard", "__was"), doc_id, text).withColumn("old_shard", F.col("__was").cast("int"))
-    new = reshard(rows, "size", "old_shard", F.col("__at"), shards, capacity)
-    moved = new.filter(F.col("shard") != F.col("old_shard")).select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
+    rows = spark.read.parquet(source).withColumnRenamed("shard", "__sh_was")
+    columns = [c for c in rows.columns if c not in ("__sh_was", "slot")]
+    rows = sized(rows.drop("slot"), doc_id, text).withColumn("__sh_old", F.col("__sh_was").cast("int"))
+    new = reshard(rows, "__sh_size", "__sh_old", "__sh_at", shards, capacity)
+    moved = new.filter(F.col("__sh_new") != F.col("__sh_old")).select(F.explode(F.array("__sh_new", "__sh_old")).alias("s")).distinct()
     touched = sorted(r["s"] for r in moved.collect())  # shard numbers only
-    old = sorted(r["old_shard"] for r in rows.select("old_shard").distinct().collect())
+    old = sorted(r["__sh_old"] for r in rows.select("__sh_old").distinct().collect())
     if touched:
-        new.filter(F.col("shard").isin(touched)).select(*columns, "slot", "shard").write.partitionBy("shard").mode("errorifexists").parquet(target)
+        new.filter(F.col("__sh_new").isin(touched)).select(*columns, F.col("__sh_slot").alias("slot"), F.col("__sh_new").alias("shard")).write.partitionBy("shard").mode("errorifexists").parquet(target)
     return {s: f"{target if s in touched else source}/shard={s}" for s in range(shards) if s in touched or s in old}
 
 
 def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = settled(sized(docs).drop("text"))
-    placed = reshard(rows, "size", "old_shard", F.col("__at"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = reshard(settled(sized(docs).drop("text")), "__sh_size", "__sh_old", "__sh_at")
+    return placed.select(
+        "doc_id", F.col("__sh_size").alias("size"), F.col("__sh_crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("__sh_new").alias("shard"), F.col("__sh_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law and the slots promise of op8's result, in numbers that SQL knows from the input alone."""
+    rows = op8_reshard(spark, sf_dir)
+    by_shard = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"))
+    mean = F.sum("bytes") / SHARDS
+    return by_shard.agg(
+        F.sum("n").cast("bigint").alias("n_rows"), F.sum("bytes").cast("bigint").alias("n_bytes"), F.count("*").alias("n_shards"),
+        F.bool_and((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"),
+        F.coalesce((F.max("bytes") < 1.05 * mean) & (F.min("bytes") > 0.95 * mean), F.lit(True)).alias("near_equal"),
+    )
+
+
+LAWS_ORACLE = f"SELECT count(*) AS n_rows, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes, CAST({SHARDS} AS BIGINT) AS n_shards, true AS gapless, true AS near_equal FROM documents"
