@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorlens.llm.tables import table
+from tutorlens.llm.tables import added, table
 from tutorlens.llm.words import mix, slices, utf8
 
 #: Families of languages; any other language is a family of its own kind, "other".
@@ -148,8 +148,10 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """Learns from rows of `labelled` with a text and a language; others are passed over.
 
     The sample is bounded: each language gives each of its rows the chance sample / count, by
-    a hash of the id, so about `sample` rows a language reach the driver, however many there are.
-    Without any usable row the model knows no language and answers `und`.
+    a hash of the id, so about `sample` rows a language reach the driver, however many there are,
+    and not their texts but their feature shares, made in tasks from whole texts: 6 bytes for each
+    feature that occurs, 48 kB a row at most. Without any usable row the model knows no language
+    and answers `und`.
     """
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -157,19 +159,31 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         return Model([], np.zeros((FEATURES, 0)), {})
     chance = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample / n))])
     u = F.pmod(F.xxhash64(F.lit("lid"), F.col(doc_id)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = known.filter(u < chance[F.col(lang)]).select(text, lang).collect()
-    rows.sort(key=lambda r: (r[lang], r[text]))
-    langs = sorted({r[lang] for r in rows})
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text, 1 << 20):
+                for i in range(0, batch.num_rows, 64):
+                    part = batch.slice(i, 64)
+                    x = features(part.column(text))
+                    at = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                    yield pa.RecordBatch.from_arrays([part.column(lang), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())], ["lang", "at", "share"])
+
+    rows = known.filter(u < chance[F.col(lang)]).select(text, lang).mapInArrow(shares, "lang string, at binary, share binary").collect()
+    rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["share"])))
+    langs = sorted({r["lang"] for r in rows})
     of = {name: family for family, names in (families or FAMILIES).items() for name in names}
     grouped: dict[str, list[str]] = {}
     for name in langs:
         grouped.setdefault(of.get(name, "other"), []).append(name)
-    x = np.concatenate([features(pa.array([r[text] for r in rows[i : i + 64]])) for i in range(0, len(rows), 64)])
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for own, r in zip(x, rows, strict=True):
+        own[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["share"], np.float32)
     # rare n-grams are scaled up, and the mean row gets length 1; both are folded into the weights
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
     scale /= np.mean(np.linalg.norm(x * scale, axis=1))
     x *= scale
-    own = np.array([r[lang] for r in rows])
+    own = np.array([r["lang"] for r in rows])
     family = np.array([of.get(k, "other") for k in own])
     machines, weights = [], []
     for name in sorted(grouped) if len(grouped) > 1 else []:
@@ -186,20 +200,20 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score for every whole text; columns of those names are replaced.
+    """`docs` with lang_pred and score for every whole text, however long; see `added` for names that clash.
 
     A text that is null or has no letter is `und` with score 0. Only the text is looked at.
     """
-    kept = docs.drop("lang_pred", "score")
+    names = added(docs, "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text, 1 << 20):
-                names, score = model.predict(batch.column(text))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                said, score = model.predict(batch.column(text))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{columns}, lang_pred string, score double")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{columns}, {names[0]} string, {names[1]} double")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
