@@ -16,11 +16,12 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorlens.llm.tables import settled, table
+from tutorlens.llm.tables import added, fresh_folder, table
+from tutorlens.llm.words import slices
 
 
 class Rule(NamedTuple):
@@ -44,6 +45,9 @@ RULES = (
     Rule("webtoken", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
 )
 LEDGER = "blob string, rule string, rule_version int, spans array<struct<start:int,end:int>>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+#: Rules of the first run over a repository's history in the query; the second run brings the others.
+FIRST_RULES = 3
 
 
 def find(text: str, rule: Rule) -> list[tuple[int, int]]:
@@ -60,7 +64,8 @@ def blob_id(text: str) -> F.Column:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows for the (blob, rule version) pairs of `versions` that `ledger` lacks.
 
-    A null text is the empty blob. Repeated texts are one blob; an empty table gives no rows.
+    A null text is the empty blob; a text of any length is scanned whole, in slices of a few
+    megabytes or alone if it is larger. Repeated texts are one blob; an empty table gives no rows.
     Other columns of `versions`, of whatever name, are not read. Only pairs with findings
     carry spans; the rest are recorded with an empty list, so they are never scanned again.
     """
@@ -74,21 +79,23 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text
         todo = todo.join(ledger.select("blob", "rule", "rule_version"), ["blob", "rule", "rule_version"], "left_anti")
     known = {r.name: r for r in rules}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            spans = [[{"start": a, "end": b} for a, b in find(body, known[rule])] for rule, body in zip(frame["rule"], frame["body"], strict=True)]
-            yield frame[["blob", "rule", "rule_version"]].assign(spans=spans)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "body"):
+                spans = [[{"start": a, "end": b} for a, b in find(body, known[rule])] for rule, body in zip(batch.column("rule").to_pylist(), batch.column("body").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, SPANS)], ["blob", "rule", "rule_version", "spans"])
 
     none = F.lit(None).cast("array<struct<start:int,end:int>>")
     clean = todo.filter(F.col("body").isNull()).select("blob", "rule", "rule_version", F.coalesce(none, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-    return todo.filter(F.col("body").isNotNull()).mapInPandas(run, LEDGER).unionByName(clean)
+    return todo.filter(F.col("body").isNotNull()).select("blob", "rule", "rule_version", "body").mapInArrow(run, LEDGER).unionByName(clean)
 
 
 def extend_ledger(spark: SparkSession, versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scans what the ledger at `path` lacks, appends it there, and returns the whole ledger."""
-    have = None
-    if _exists(spark, path):
-        have = spark.read.schema(LEDGER).parquet(path)
+    """Scans what the ledger at `path` lacks, appends it there, and returns the whole ledger.
+
+    An append is committed as a whole, so a run that fails leaves the ledger as it was.
+    """
+    have = spark.read.schema(LEDGER).parquet(path) if _exists(spark, path) else None
     scan(versions, have, text, rules).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 
@@ -99,22 +106,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`versions` with a column `findings`: array of (start, rank, kind, end) in order of start, then of kind as in `rules`."""
+    """`versions` with a column `findings`: array of (start, rank, kind, end) in order of start, then of kind as in `rules`.
+
+    Every path that holds a blob gets its findings. See `added` for a caller's column of that name.
+    """
     ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     current = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])
     found = (
         ledger.filter((F.size("spans") > 0) & (F.col("rule_version") == current[F.col("rule")]))
         .select("blob", "rule", F.explode("spans").alias("s"))
         .groupBy("blob")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("s.start"), ranks[F.col("rule")].alias("rank"), F.col("rule").alias("kind"), F.col("s.end")))).alias("findings"))
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("s.start"), ranks[F.col("rule")].alias("rank"), F.col("rule").alias("kind"), F.col("s.end")))).alias("__ss_findings"))
     )
-    kept = versions.drop("findings") if "findings" in versions.columns else versions
-    return kept.withColumn("__blob", blob_id(text)).join(found.withColumnRenamed("blob", "__blob"), "__blob", "left").drop("__blob")
+    (name,) = added(versions, "findings")
+    return versions.withColumn("__ss_blob", blob_id(text)).join(found.withColumnRenamed("blob", "__ss_blob"), "__ss_blob", "left").drop("__ss_blob").withColumnRenamed("__ss_findings", name)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the ledger, in two runs: the second brings more rules, and scans only pairs that the first has not seen."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = settled(scan(docs))
+    path = fresh_folder(spark, "secret-ledger")
+    extend_ledger(spark, docs, path, rules=RULES[:FIRST_RULES])
+    ledger = extend_ledger(spark, docs, path)
     # only addresses travel from here on; the text is not needed any more
     found = findings_by_path(docs.select("doc_id", "text"), ledger).drop("text")
     joined = lambda kinds: F.array_join(F.transform(F.filter(F.coalesce("findings", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")), lambda f: f["rank"] < kinds), lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
