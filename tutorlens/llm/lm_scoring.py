@@ -9,10 +9,13 @@ those of all others are joined to the documents by a shuffle, so scores do not d
 many are broadcast.
 
 The network is trained in numpy inside Spark tasks. The epochs part the positions of all
-documents among them, so each is masked and predicted once; in each epoch every task masks that
-epoch's positions, takes mini-batch steps from the current weights, and hands back weights; these are averaged by the number of positions they learned from, piece by piece,
-and go out again. All documents are counted and trained on; only the model, whose size is fixed
-by parameters, and the words that are broadcast pass through the driver.
+documents among them, so each is masked and predicted once. Documents are dealt by a hash of id
+and text into blocks of about BLOCK_TOKENS words and lie in a fixed order there; in each epoch
+every block masks that epoch's positions, takes mini-batch steps from the current weights, and
+hands back weights. These are averaged by the number of positions they learned from, piece by
+piece and FAN blocks at a time, and go out again. So what is learned depends on the documents
+alone and not on how they are partitioned. All documents are counted and trained on; only the
+model, whose size is fixed by parameters, and the words that are broadcast pass through the driver.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from tutorlens.llm.tables import settled, table
 from tutorlens.llm.words import mix, slices, utf8
@@ -37,6 +39,8 @@ OWN, ENDINGS, VOCABULARY, HIDDEN = 63, 32, 50_000, 24
 WINDOW = (-2, -1, 1, 2)
 #: Epochs, positions in a step, learning rate, pieces of the model.
 EPOCHS, STEP, RATE, PIECES = 2, 256, 1.0, 8
+#: Words of a block that learns by itself, about, and blocks whose weights are averaged at a time.
+BLOCK_TOKENS, FAN = 2_000_000, 256
 CLASSES = 1 + OWN + ENDINGS
 #: Logarithms of counts are added as whole multiples of 1 / UNIT, so that their order does not matter.
 UNIT = 1 << 30
@@ -184,11 +188,20 @@ def contexts(cls: np.ndarray, starts: np.ndarray, at: np.ndarray | slice = slice
     return out
 
 
+def _row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each row's values, which depends on that row alone."""
+    out, some = np.zeros(len(starts) - 1), np.flatnonzero(np.diff(starts))
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(np.float64), starts[some])
+    return out
+
+
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(row, doc_id, n_tokens, base, cls, tail) for each row of `docs`, each word looked up once.
+    """(row, doc_id, h, n_tokens, base, cls, tail) for each row of `docs`, each word looked up once.
 
     `base` sums the entries' log shares, `cls` has the words' classes as 16-bit numbers, and
-    `tail` the words that are not broadcast, with spaces between. `row` numbers the rows.
+    `tail` the words that are not broadcast, with spaces between. `row` numbers the rows, `h` is
+    a hash of id and text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most about VOCABULARY words
 
@@ -202,16 +215,15 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 own = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 starts = np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)
                 entries = vocab.coded([w for words in own for w in words])
-                running = np.concatenate(([0.0], np.cumsum(vocab.share[entries], dtype=np.float64)))
                 cls, rare = vocab.cls[entries].astype(np.uint16), entries >= len(vocab.index)
                 kinds = [cls[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 tail = [b" ".join(itertools.compress(w, rare[a : a + len(w)])).decode(errors="replace") for w, a in zip(own, starts[:-1], strict=True)]
-                columns = [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(starts), pa.int64()), pa.array(running[starts[1:]] - running[starts[:-1]], pa.float64()), pa.array(kinds, pa.binary()), pa.array(tail, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "base", "cls", "tail"])
+                columns = [batch.column("row"), batch.column("doc_id"), batch.column("h"), pa.array(np.diff(starts), pa.int64()), pa.array(_row_sums(vocab.share[entries], starts), pa.float64()), pa.array(kinds, pa.binary()), pa.array(tail, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "n_tokens", "base", "cls", "tail"])
 
     # lower-cased by Spark, as they are counted
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    out = settled(rows.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, base double, cls binary, tail string"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("h"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    out = settled(rows.mapInArrow(run, "row bigint, doc_id bigint, h bigint, n_tokens bigint, base double, cls binary, tail string"))
     shared.unpersist()
     return out
 
@@ -234,33 +246,67 @@ def masks(ids: np.ndarray, starts: np.ndarray, epoch: int, epochs: int) -> np.nd
     return np.flatnonzero(mix(np.repeat(mix(ids), sizes) + place.astype(np.uint64)) % np.uint64(epochs) == np.uint64(epoch))
 
 
+class Learner:
+    """One block's steps: positions come in any portions and are learned from STEP at a time."""
+
+    def __init__(self, prior: np.ndarray, start: np.ndarray, rate: float):
+        self.net, self.rate, self.seen = Network(prior).load(start), np.float32(rate), 0
+        self.context, self.target = np.zeros((0, len(WINDOW)), np.int32), np.zeros(0, np.int32)
+
+    def take(self, context: np.ndarray, target: np.ndarray, last: bool = False) -> None:
+        self.seen += len(target)
+        context, target = np.concatenate([self.context, context]), np.concatenate([self.target, target])
+        whole = len(target) if last else len(target) // STEP * STEP
+        for i in range(0, whole, STEP):
+            self.net.learn(context[i : min(i + STEP, whole)], target[i : min(i + STEP, whole)], self.rate)
+        self.context, self.target = context[whole:], target[whole:]
+
+    def weights(self, block: int) -> Iterator[pa.RecordBatch]:
+        self.take(self.context[:0], self.target[:0], last=True)
+        if self.seen:
+            pieces = np.array_split(self.net.flat().astype(np.float64), PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([block] * PIECES, pa.int64()), pa.array([self.seen] * PIECES, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "block", "seen", "weights"])
+
+
+WEIGHTS = "piece int, block bigint, seen bigint, weights binary"
+
+
 def learned(encoded: DataFrame, prior: np.ndarray, epochs: int = EPOCHS) -> Network:
     """What `train` learns, from rows of `encode`."""
     net = Network(prior)
+    words = encoded.agg(F.sum("n_tokens").alias("n")).collect()[0]["n"] or 0
+    blocks = max(1, -(-words // BLOCK_TOKENS))
+    rows = encoded.select(F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("block"), "h", "doc_id", "cls")
+    # a block is whole in one partition and in order, so a task reads it as a stream
+    dealt = settled(rows.repartition(int(blocks), "block").sortWithinPartitions("block", "h", "doc_id", "cls")) if epochs else rows
     for epoch in range(epochs):
         start = net.flat()
         rate = RATE / (1 + epoch)
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, epoch: int = epoch, rate: float = rate) -> Iterator[pa.RecordBatch]:
-            mine, seen, wait = Network(prior).load(start), 0, []
+            at, mine = None, None
             for whole in batches:
                 for batch in slices(whole, "cls", 1 << 19):
-                    cls, starts = _classes(batch)
-                    if not len(cls):
-                        continue
-                    ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                    masked = masks(ids, starts, epoch, epochs)
-                    context = contexts(cls, starts, masked)
-                    for i in range(0, len(masked), STEP):
-                        mine.learn(context[i : i + STEP], cls[masked[i : i + STEP]], np.float32(rate))
-                    seen += len(masked)
-            if seen:
-                task = TaskContext.get().partitionId()
-                pieces = np.array_split(mine.flat().astype(np.float64), PIECES)
-                wait = [pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array([seen] * PIECES, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "task", "seen", "weights"])]
-            yield from wait
-
-        sums = encoded.select("doc_id", "cls").mapInArrow(run, "piece int, task int, seen bigint, weights binary").groupBy("piece").applyInArrow(_average, "piece int, weights binary")
+                    of = batch.column("block").to_numpy()
+                    for block in np.unique(of):
+                        part = batch.filter(pa.array(of == block))
+                        if block != at:
+                            if mine:
+                                yield from mine.weights(at)
+                            at, mine = int(block), Learner(prior, start, rate)
+                        cls, starts = _classes(part)
+                        ids = part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                        masked = masks(ids, starts, epoch, epochs)
+                        mine.take(contexts(cls, starts, masked), cls[masked])
+            if mine:
+                yield from mine.weights(at)
+
+        sums, left = dealt.mapInArrow(run, WEIGHTS), blocks
+        while True:
+            sums = sums.withColumn("block", F.floor(F.col("block") / FAN)).groupBy("piece", "block").applyInArrow(_average, WEIGHTS)
+            left = -(-left // FAN)
+            if left == 1:
+                break
         got = {r["piece"]: np.frombuffer(r["weights"], np.float64) for r in sums.collect()}  # PIECES rows, the model
         if got:
             net = net.load(np.concatenate([got[k] for k in sorted(got)]))
@@ -268,11 +314,12 @@ def learned(encoded: DataFrame, prior: np.ndarray, epochs: int = EPOCHS) -> Netw
 
 
 def _average(rows: pa.Table) -> pa.Table:
-    """The mean of the tasks' weights by positions seen, added in the order of the tasks."""
-    rows = rows.sort_by("task")
-    seen = rows.column("seen").to_numpy().astype(np.float64)
-    total = sum(n * np.frombuffer(w.as_buffer(), np.float64) for n, w in zip(seen, rows.column("weights"), strict=True))
-    return pa.table({"piece": pa.array([rows.column("piece")[0].as_py()], pa.int32()), "weights": pa.array([(total / seen.sum()).tobytes()], pa.binary())})
+    """The mean of some blocks' weights by positions seen, added in the order of the blocks."""
+    rows = rows.sort_by("block")
+    seen = rows.column("seen").to_numpy()
+    total = sum(float(n) * np.frombuffer(w.as_buffer(), np.float64) for n, w in zip(seen, rows.column("weights"), strict=True))
+    first = rows.column("piece")[0].as_py(), rows.column("block")[0].as_py()
+    return pa.table({"piece": pa.array([first[0]], pa.int32()), "block": pa.array([first[1]], pa.int64()), "seen": pa.array([int(seen.sum())], pa.int64()), "weights": pa.array([(total / seen.sum()).tobytes()], pa.binary())})
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
@@ -293,8 +340,7 @@ def scored(encoded: DataFrame, counts: DataFrame, net: Network) -> DataFrame:
                 context = contexts(cls, starts)
                 for i in range(0, len(cls), 1 << 14):
                     logs[i : i + (1 << 14)] = model.log_probability(context[i : i + (1 << 14)], cls[i : i + (1 << 14)])
-                running = np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))
-                sums = running[starts[1:]] - running[starts[:-1]] + batch.column("base").to_numpy()
+                sums = _row_sums(logs, starts) + batch.column("base").to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(sums, pa.float64())], ["row", "doc_id", "n_tokens", "pll"])
 
     known = encoded.select("row", "doc_id", "n_tokens", "base", "cls").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, pll double")
