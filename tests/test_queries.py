@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tutorlens.plans import catalogue
+from tutorlens.plans import catalogue, workflow  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "events", "documents", "benchmark", "labels", "conversations")

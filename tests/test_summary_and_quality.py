@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tutorlens.operators import profile, quality, sampling, summary, verdicts
 from tutorlens.params import Params, content_hash
-from tutorlens.plans.session import Label, PhaseError, Session, accept_profile, ensure_distilled, oversized
+from tutorlens.plans import audit
+from tutorlens.plans.session import Concept, Label, PhaseError, Profile, Session, accept_profile, ensure_distilled, oversized
 from tutorlens.sources import events, snapshot
 from tutorlens.streaming.incremental import label_stream
 
@@ -67,7 +68,9 @@ def test_coverage(spark):
 
 def test_mode_split(spark):
     v = table(spark, {(1, 0): {"a"}, (2, 0): {"a"}, (3, 0): {"a"}}).withColumn("mode", F.when(F.col("chatlog_id") == 1, "tutor").when(F.col("chatlog_id") == 2, "chatgpt").otherwise(""))
-    assert tuple(summary.mode_split(v).collect()[0]) == ("a", 1, 1, 1)
+    assert tuple(summary.mode_split(v).collect()[0]) == ("a", 1, 1, 1, 0)
+    odd = v.withColumn("mode", F.when(F.col("chatlog_id") == 3, "voice").otherwise(F.col("mode")))
+    assert tuple(summary.mode_split(odd).collect()[0]) == ("a", 1, 1, 0, 1)
 
 
 def audit_of(spark, cells):
@@ -89,6 +92,14 @@ def test_confusion(spark):
     worse = quality.confusion(*audit_of(spark, [(True, False), (False, True)])).collect()[0]
     assert worse["corrected_prevalence"] is None and worse["kappa"] == -1.0
     assert quality.missing_verdicts(a, v.filter("chatlog_id > 0")).count() == 1
+    # a label that the model's row lacks is not applied; a message that it never labeled is an error
+    rows = [(0, 1, 0, "x", True), (0, 1, 0, "y", True), (0, 2, 0, "x", False)]
+    audit = spark.createDataFrame(rows, "annotator int, chatlog_id bigint, message_index int, label string, applies boolean")
+    model = spark.createDataFrame([(1, 0, "x", True), (2, 0, "y", True)], "chatlog_id bigint, message_index int, label string, applies boolean")
+    got = {r["label"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in quality.confusion(audit, model).collect()}
+    assert got == {"x": (1, 0, 0, 1), "y": (0, 0, 1, 0)}
+    with pytest.raises(Exception, match="no verdicts for message 2:0"):
+        quality.confusion(audit, model.filter("chatlog_id = 1")).collect()
     # pairs that nobody judged do not count
     assert quality.confusion(a.filter("chatlog_id < 3"), v).collect()[0]["tp"] == 3
 
@@ -124,8 +135,8 @@ def annotators(spark, *rows):
 def test_alt_test(spark):
     one = {(k, "x"): k % 2 == 0 for k in range(6)}
     model = lambda d: spark.createDataFrame([(k, 0, label, said) for (k, label), said in d.items()], "chatlog_id bigint, message_index int, label string, applies boolean")
-    with pytest.raises(ValueError):
-        quality.alt_test(annotators(spark, one), model(one))
+    with pytest.raises(Exception, match="two annotators"):
+        quality.alt_test(annotators(spark, one), model(one)).collect()
     good = quality.alt_test(annotators(spark, one, one), model(one))
     assert all(r["advantage"] == 1.0 and r["wins"] and r["n_items"] == 6 for r in good.collect()) and quality.alt_test_passes(good).collect()[0]["passes"]
     bad = quality.alt_test(annotators(spark, one, one), model({k: not v for k, v in one.items()}))
@@ -140,6 +151,10 @@ def test_flips(spark):
     a = o.filter("chatlog_id < 2").withColumn("applies", F.col("label") == "surface")
     got = {r["label"]: (r["flips"], r["total"]) for r in quality.flip_stats(o, a).collect()}
     assert got == {"deictic": (2, 2), "surface": (0, 2)} and tuple(quality.messages_with_flips(o, a).collect()[0]) == (2, 2)
+    less = a.filter("label = 'surface' OR chatlog_id = 0")  # a label that is gone counts as not applied
+    assert {r["label"]: (r["flips"], r["total"]) for r in quality.flip_stats(o, less).collect()} == {"deictic": (2, 2), "surface": (0, 2)}
+    with pytest.raises(Exception, match="no original verdicts for message 1:0"):
+        quality.flip_stats(o.filter("chatlog_id <> 1"), a).collect()
 
 
 def pool(spark):
@@ -223,6 +238,69 @@ def test_verdicts(spark, tmp_path):
     assert verdicts.label_incrementally(spark, m, labels, path, "s2").count() == 6 and spark.read.parquet(path).count() == 12
 
 
+def test_labeling_keeps_what_is_finished_and_resumes(spark, tmp_path):
+    m = spark.createDataFrame([(i, 0, f"loop {i}") for i in range(40)], "chatlog_id bigint, message_index int, text string").repartition(3)
+    labels = spark.createDataFrame([("loops", "loop"), ("tens", "1")], "label string, cues string")
+    path, log = str(tmp_path / "v"), str(tmp_path / "asked")
+
+    def broken(rows):
+        if (rows["chatlog_id"] == 17).any():
+            raise OSError("no answer for 17")
+        return verdicts.offline(rows)
+
+    def noted(rows):
+        with open(log, "a") as out:
+            out.writelines(f"{i}\n" for i in rows["chatlog_id"])
+        return verdicts.offline(rows)
+
+    counts = {}
+    with pytest.raises(verdicts.LabelingError, match="no answer for 17"):
+        verdicts.label_incrementally(spark, m, labels, path, "s", broken, attempts=2, base_seconds=0, each=4, on_progress=counts.update)
+    kept = verdicts.stored(spark, path)
+    had = {r["chatlog_id"] for r in kept.collect()}
+    assert 0 < len(had) < 40 and 17 not in had and kept.count() == 2 * len(had) == counts["verdicts"] and counts["failed"] == 1
+    assert verdicts.label_incrementally(spark, m, labels, path, "s", noted).count() == 80
+    asked = {int(x) for x in open(log)}
+    assert asked == set(range(40)) - had
+    assert verdicts.stored(spark, path).select("chatlog_id", "label").distinct().count() == 80
+    # a run that finishes nothing leaves an empty table, and the next one starts from it
+    def never(rows):
+        raise OSError("away")
+
+    empty = str(tmp_path / "e")
+    with pytest.raises(verdicts.LabelingError):
+        verdicts.label_incrementally(spark, m, labels, empty, "s", never, attempts=1)
+    assert verdicts.stored(spark, empty).count() == 0
+    assert verdicts.label_incrementally(spark, m, labels, empty, "s").count() == 80
+
+
+def test_votes_are_asked_at_a_temperature(spark):
+    pairs = spark.createDataFrame([(1, 0, "a"), (2, 0, "a")], "chatlog_id bigint, message_index int, label string")
+
+    def warm(rows):
+        assert set(rows["temperature"]) == {0.7}
+        return rows.assign(applies=rows["run"] % 2 == 0, rationale="", evidence="")
+
+    got = verdicts.votes(pairs, warm).collect()
+    assert len(got) == 10 and sum(r["applies"] for r in got) == 6 and {r["run"] for r in got} == set(range(5))
+
+
+def test_audits_are_revealed_after_submission(spark, tmp_path):
+    v = table(spark, {(1, 0): {"a"}, (2, 0): set()}).withColumn("rationale", F.lit("why"))
+    sample = spark.createDataFrame([(1, 0), (2, 0)], "chatlog_id bigint, message_index int")
+    seen = audit.payload(sample, sample.withColumn("text", F.lit("t")).withColumn("stratum", F.lit("s")))
+    assert seen.columns == ["chatlog_id", "message_index", "text"] and seen.count() == 2
+    with pytest.raises(audit.NotSubmitted):
+        audit.reveal(spark, sample, v, str(tmp_path), "ann")
+    answers = spark.createDataFrame([(1, 0, "a", True), (1, 0, "b", False)], "chatlog_id bigint, message_index int, label string, applies boolean")
+    path = audit.submit(spark, answers, str(tmp_path), "ann")
+    assert snapshot.read_audit(spark, path).count() == 2
+    with pytest.raises(Exception):
+        audit.submit(spark, answers, str(tmp_path), "ann")
+    shown = {r["chatlog_id"]: [a["label"] for a in r["applied"]] for r in audit.reveal(spark, sample, v, str(tmp_path), "ann").collect()}
+    assert shown == {1: ["a"], 2: []}
+
+
 def test_retries():
     waits, calls = [], []
 
@@ -291,12 +369,60 @@ def test_session(spark, tmp_path):
     assert s.phase == "done" and counts == {"conversations": 4, "labels": 12}
     assert {r["label"]: r["n"] for r in s.summary().collect()}["loops"] == 12 and s.examples("loops", 99).count() == 12
     s.back_to_review()
+    # a provider that fails once: what it finished stays, and a retry asks for the rest
+    def away(rows):
+        raise OSError("away")
+
+    s.tweak((Label("loops", cues="loop"),))
+    s.provider, s.wait_seconds = away, 0
+    with pytest.raises(verdicts.LabelingError):
+        s.accept()
+    assert s.phase == "error" and "away" in s.error and s.counts["failed"] > 0
+    s.provider = verdicts.offline
+    s.retry()
+    assert s.phase == "done" and s.counts["verdicts"] == 12 and s.error == ""
+    s.quit()
+    assert s.phase == "idle"
     failing = Session(spark, a_log(spark), str(tmp_path / "x"), lambda intent, digest: (Label("x", "w " * 30),))
     with pytest.raises(ValueError):
         failing.start("x")
     assert failing.phase == "error" and failing.error
 
 
+def test_profiles_are_reviewed(spark, tmp_path):
+    found = Profile("c", (Concept("loops", "repeating"), Concept("plots"), Concept("odd")), (Label("sad"),), (Label("asks"),))
+    s = Session(spark, a_log(spark), str(tmp_path), lambda intent, digest: (Label("own", cues="loop"),))
+    with pytest.raises(PhaseError):
+        s.accept_profile()
+    assert s.peek(99).count() == 12 and s.peek(0).count() == 1 and "stratum" in s.peek().columns and s.phase == "idle"
+    s.explore(lambda digest, materials: found)
+    assert s.phase == "profile_review" and s.profile is None
+    with pytest.raises(ValueError, match="collision"):
+        s.profile_draft = Profile("c", (Concept("sad"),), (Label("sad"),))
+        s.accept_profile(promoted=["sad"])
+    s.profile_draft = found
+    got = s.accept_profile({"concepts": ["odd"]}, ["loops"])
+    assert s.phase == "idle" and got.accepted and [x.name for x in got.layers()] == ["loops", "sad", "asks"] and "loops (repeating)" in got.layers()[0].positive_criteria
+    s.start("x")
+    s.accept()
+    assert [x.name for x in s.schema.labels] == ["own", "loops", "sad", "asks"] and s.schema.parent_version
+    # a profile that quotes a student is refused, and so is one whose exploration fails
+    said = [(i, i, "u", "tutor_query", "c", "n", "i really do not know how to group this table", None, "tutor") for i in range(2)]
+    quoting = Session(spark, spark.createDataFrame(said, a_log(spark).schema), str(tmp_path / "q"), s.draft)
+    with pytest.raises(ValueError, match="quotes"):
+        quoting.explore(lambda digest, materials: Profile("c", (Concept("x", "they really do not know how to group this table"),)))
+    assert quoting.phase == "error"
+    with pytest.raises(ValueError):
+        quoting.retry()
+    clash = Session(spark, a_log(spark), str(tmp_path / "z"), lambda intent, digest: (Label("sad", cues="loop"),), profile=got)
+    clash.start("x")
+    with pytest.raises(ValueError, match="collision"):
+        clash.accept()
+    clash.quit()
+    clash.discard_profile()
+    assert clash.profile is None
+
+
 def test_stream_labels_each_message_once(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "chatlog_id bigint, message_index int, text string, us bigint"
@@ -305,6 +431,12 @@ def test_stream_labels_each_message_once(spark, tmp_path):
         spark.createDataFrame(part, schema).write.mode("append").parquet(src)
         label_stream(spark, spark.readStream.schema(schema).parquet(src), labels, str(tmp_path / "out"), str(tmp_path / "cp"), "v").awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    # a message first seen ten days late, one that comes again, and one without a time
+    day = 86_400_000_000
+    for part in ([(3, 0, "loop", 30 * day)], [(4, 0, "loop", 20 * day), (3, 0, "loop", 5 * day), (5, 0, "x", None)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        label_stream(spark, spark.readStream.schema(schema).parquet(src), labels, str(tmp_path / "out"), str(tmp_path / "cp"), "v").awaitTermination(120)
+    assert sorted(r["chatlog_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 5]
 
 
 def test_parse(spark):

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# a word boundary that treats all letters and digits alike, in any script
-_LEFT, _RIGHT = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
-#: Forms of a reference, tried in this order: q1_10, question 1.2, 1.5.2.
+# a word boundary that treats all letters and digits alike, in any script; each pattern begins with what it looks for, so that few places are tried
+_RIGHT = r"(?![\p{L}\p{N}_])"
+_Q = r"[qQ](?<![\p{L}\p{N}_][qQ])"
+#: Forms of a reference, tried in this order: q1_10, question 1.2, 1.5.2.
 REFERENCES = (
-    rf"{_LEFT}[qQ]([0-9]+(?:[._][0-9]+)*){_RIGHT}",
-    rf"{_LEFT}[qQ][uU][eE][sS][tT][iI][oO][nN]\s+([0-9]+(?:\.[0-9]+)*){_RIGHT}",
-    rf"{_LEFT}([0-9]+\.[0-9]+(?:\.[0-9]+)*){_RIGHT}",
+    rf"{_Q}([0-9]+(?:[._][0-9]+)*){_RIGHT}",
+    rf"{_Q}[uU][eE][sS][tT][iI][oO][nN]\s+([0-9]+(?:\.[0-9]+)*){_RIGHT}",
+    rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_])([0-9]+\.[0-9]+(?:\.[0-9]+)*){_RIGHT}",
 )
 
 
 def question_ref(text: Column) -> Column:
     """The first reference to a question as a grader id (q3_2); '' where there is none or the text is null."""
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in REFERENCES]
-    return F.coalesce(F.concat(F.lit("q"), F.translate(F.coalesce(*found), ".", "_")), F.lit(""))
+    # each text is searched once for each form; the first form with a match counts
+    found = F.filter(F.array(*[F.regexp_extract(text, p, 1) for p in REFERENCES]), lambda x: x != "")
+    ref = F.concat(F.lit("q"), F.translate(F.get(found, F.lit(0)), ".", "_"))
+    return F.when(text.rlike("[0-9]"), F.coalesce(ref, F.lit(""))).otherwise("")
 
 
 def lint_words(text: Column) -> Column:
@@ -31,6 +34,12 @@ def shingles(words: Column, width: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, width), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(words: Column, width: int) -> Column:
+    """A 64-bit hash of every run of `width` words; none of a shorter text."""
+    last = F.size(words) - width + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
@@ -47,6 +56,7 @@ def latency_bucket(seconds: Column, opening: Column, rapid: int = 120, working:
     )
 
 
+#: The sentences of the renderings below are fixed values: classifiers are asked with them.
 def _whole(value: Column) -> Column:
     return F.bround(value, 0).cast("bigint").cast("string")
 
@@ -94,7 +104,3 @@ def plain_stratum(stratum: Column) -> Column:
     named = F.create_map(*[F.lit(x) for pair in STRATUM_WORDS.items() for x in pair])
     head, rest = F.substring_index(stratum, "/", 1), F.regexp_replace(stratum, r"^[^/]*/?", "")
     return F.concat(F.coalesce(named[head], head), F.lit(" · "), F.coalesce(named[rest], rest))
-
-
-def digest_line(text: Column, chars: int = 160) -> Column:
-    return F.concat(F.lit("  student: "), F.substring(text, 1, chars))

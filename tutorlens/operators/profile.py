@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tutorlens.functions.text import lint_words, shingles, word_count
+from tutorlens.functions.text import lint_words, shingle_hashes, word_count
 from tutorlens.operators.sampling import KEY
 
 
+#: Hashes of artifact shingles that may be broadcast (8 bytes each, about 40 MB as a hash table).
+BROADCAST_SHINGLES = 1_000_000
+
+
 def lint_overlap(artifacts: DataFrame, student: DataFrame, width: int = 8) -> DataFrame:
     """`where` of every artifact string (where, text) that shares a run of `width` words with any student text.
 
-    The artifact's runs are few and go to the students' by a semi-join, so student runs are
-    matched where they are made.
+    Runs are compared by 64-bit hashes. The artifacts' are few and go to the students' by a
+    semi-join, broadcast while their number is small, so student runs are matched where they are made.
     """
 
-
     def grams(df: DataFrame, *keep: str) -> DataFrame:
         # the words are a column of their own, so that they are cut out once and not for every shingle
         words = df.select(*keep, lint_words(F.col("text")).alias("words")).filter(F.size("words") >= width)
-        return words.select(*keep, F.explode(shingles(F.col("words"), width)).alias("g"))
+        return words.select(*keep, F.explode(shingle_hashes(F.col("words"), width)).alias("g"))
 
     own = grams(artifacts, "where").distinct()
-    said = grams(student).join(own.select("g").distinct(), "g", "left_semi").distinct()
+    wanted = own.select("g").distinct()
+    said = grams(student).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_SHINGLES else wanted, "g", "left_semi").distinct()
     return own.join(said, "g", "left_semi").select("where").distinct()
 
 

@@ -14,10 +14,25 @@ def _n(condition: Column) -> Column:
     return F.sum(condition.cast("bigint"))
 
 
+def _judged(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """`pairs` (message, label) with `said`: whether the model applies the label; a label that its row lacks is not applied.
+
+    A message that the model never labeled is an error. Verdicts are gathered by message, so one
+    shuffle by message serves both.
+    """
+    model = verdicts.groupBy(*KEY).agg(F.collect_set(F.when(F.col("applies"), F.col("label"))).alias("__on"))
+    missing = F.raise_error(F.concat(F.lit("no verdicts for message "), F.concat_ws(":", *KEY)))
+    met = pairs.join(model, list(KEY), "left")
+    return met.withColumn("said", F.when(F.col("__on").isNull(), missing).otherwise(F.array_contains("__on", F.col("label")))).drop("__on")
+
+
 def confusion(audit: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Per label tp, fp, fn, tn over the judged pairs, and the measures made from them; null where a denominator is 0."""
-    model = verdicts.select(*PAIR, F.col("applies").alias("said"))
-    c = audit.join(model, list(PAIR)).groupBy("label").agg(
+    """Per label tp, fp, fn, tn over the judged pairs, and the measures made from them; null where a denominator is 0.
+
+    A label that the model's row for a message lacks counts as not applied; an audited message
+    without any verdict is an error when the result is computed (`missing_verdicts` lists them).
+    """
+    c = _judged(audit, verdicts).groupBy("label").agg(
         _n(F.col("applies") & F.col("said")).alias("tp"), _n(~F.col("applies") & F.col("said")).alias("fp"),
         _n(F.col("applies") & ~F.col("said")).alias("fn"), _n(~F.col("applies") & ~F.col("said")).alias("tn"),
     )
@@ -37,7 +52,7 @@ def confusion(audit: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def missing_verdicts(audit: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Audited messages that the model never labeled; a table with rows is an error for the callers of `confusion`."""
+    """Audited messages that the model never labeled; `confusion` fails on each of them."""
     return audit.select(*KEY).distinct().join(verdicts.select(*KEY).distinct(), list(KEY), "left_anti")
 
 
@@ -77,18 +92,18 @@ def vote_entropy(votes: DataFrame) -> DataFrame:
 def alt_test(audits: DataFrame, verdicts: DataFrame, epsilon: float = 0.1) -> DataFrame:
     """Per annotator how often the model agrees with the others at least as well as the annotator does, and whether the model wins.
 
-    Items are messages; only labels that every annotator judged on a message count. Matches are
+    Items are messages; only labels that every annotator judged on a message count. Fewer than
+    two annotators are an error when the result is computed. Matches are
     compared as whole numbers: both sides are summed over the same pairs, so no rounding decides.
     """
-    n = audits.agg(F.countDistinct("annotator").alias("k")).collect()[0]["k"]
-    if n < 2:
-        raise ValueError("an alternative-annotator test needs two annotators or more")
-    # one row per pair that everybody judged, with all answers in it; each annotator is then compared with the others there
-    human = audits.groupBy(*PAIR).agg(F.collect_set(F.struct("annotator", "applies")).alias("all"), F.countDistinct("annotator").alias("k")).filter(F.col("k") == n)
+    who = audits.groupBy("annotator").count().agg(F.count("*").alias("__n"))
+    few = F.raise_error(F.lit("an alternative-annotator test needs two annotators or more"))
+    # dealt by message once: pairs, and the model's rows for the message, are met there
+    human = audits.repartition(*KEY).groupBy(*PAIR).agg(F.collect_set(F.struct("annotator", "applies")).alias("all"))
+    human = human.crossJoin(F.broadcast(who)).filter(F.when(F.col("__n") < 2, few).otherwise(F.size("all") == F.col("__n"))).drop("__n")
     # a message is an item if the model labeled it; a label it lacks there counts as not applied
-    keys = verdicts.select(*KEY).distinct()
-    model = verdicts.select(*PAIR, F.col("applies").alias("said"))
-    met = human.join(keys, list(KEY), "left_semi").join(model, list(PAIR), "left").withColumn("said", F.coalesce("said", F.lit(False))).withColumn("own", F.explode("all"))
+    model = verdicts.groupBy(*KEY).agg(F.collect_set(F.when(F.col("applies"), F.col("label"))).alias("on"))
+    met = human.join(model, list(KEY)).withColumn("said", F.array_contains("on", F.col("label"))).withColumn("own", F.explode("all"))
     others = F.filter("all", lambda x: x["annotator"] != F.col("own.annotator"))
     agree = lambda with_: F.size(F.filter(others, lambda x: x["applies"] == with_)).cast("bigint")
     per_item = met.groupBy(F.col("own.annotator").alias("annotator"), *KEY).agg(F.sum(agree(F.col("said"))).alias("model"), F.sum(agree(F.col("own.applies"))).alias("human"))
@@ -100,17 +115,23 @@ def alt_test_passes(result: DataFrame) -> DataFrame:
     return result.agg((_n(F.col("wins")) * 2 > F.count("*")).alias("passes"), F.count("*").alias("annotators"))
 
 
+def _flips(original: DataFrame, ablated: DataFrame) -> DataFrame:
+    """(key, label, flipped) for the original labels of every ablated message; one that was not labeled before is an error."""
+    before = original.groupBy(*KEY).agg(F.collect_set(F.struct("label", "applies")).alias("before"))
+    after = ablated.groupBy(*KEY).agg(F.collect_set(F.when(F.col("applies"), F.col("label"))).alias("after"))
+    missing = F.raise_error(F.concat(F.lit("no original verdicts for message "), F.concat_ws(":", *KEY)))
+    met = after.join(before, list(KEY), "left").withColumn("before", F.when(F.col("before").isNull(), missing).otherwise(F.col("before")))
+    each = met.select(*KEY, "after", F.explode("before").alias("b"))
+    return each.select(*KEY, F.col("b.label").alias("label"), (F.array_contains("after", F.col("b.label")) != F.col("b.applies")).alias("flipped"))
+
+
 def flip_stats(original: DataFrame, ablated: DataFrame) -> DataFrame:
-    """Per label how many verdicts of the ablated messages differ from the original, of how many."""
-    a = ablated.select(*PAIR, F.col("applies").alias("after"))
-    o = original.join(ablated.select(*KEY).distinct(), list(KEY), "left_semi").join(a, list(PAIR), "left")
-    return o.groupBy("label").agg(_n(F.coalesce("after", F.lit(False)) != F.col("applies")).alias("flips"), F.count("*").alias("total"))
+    """Per label how many verdicts of the ablated messages differ from the original, of how many; a label that is gone counts as not applied."""
+    return _flips(original, ablated).groupBy("label").agg(_n(F.col("flipped")).alias("flips"), F.count("*").alias("total"))
 
 
 def messages_with_flips(original: DataFrame, ablated: DataFrame) -> DataFrame:
-    a = ablated.select(*PAIR, F.col("applies").alias("after"))
-    o = original.join(ablated.select(*KEY).distinct(), list(KEY), "left_semi").join(a, list(PAIR), "left")
-    m = o.groupBy(*KEY).agg(F.bool_or(F.coalesce("after", F.lit(False)) != F.col("applies")).alias("flipped"))
+    m = _flips(original, ablated).groupBy(*KEY).agg(F.bool_or("flipped").alias("flipped"))
     return m.agg(F.count("*").alias("messages"), _n(F.col("flipped")).alias("messages_with_flips"))
 
 

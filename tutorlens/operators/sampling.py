@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tutorlens.sources.shared import settled
+
 KEY = ("chatlog_id", "message_index")
 
 
@@ -37,24 +39,27 @@ def audit_sample(pool: DataFrame, entropies: DataFrame | None, n: int, seed: int
     `pool` has no_label_fits; `entropies` has max_entropy. Abstained messages take
     max(1, floor(n * share)) places at most, and n at most; messages with positive entropy are
     taken by entropy until 0.8 n places are filled; the rest is drawn at random. Every stage
-    keeps its first n rows only, so what is ranked together is 3 n rows.
+    keeps its first n rows only, so what is ranked together is 3 n rows. Pool and entropies are
+    put together once, in the shared checkpoint folder, and read by all stages.
     """
     pool = pool.select(*KEY, "no_label_fits").distinct()
+    if entropies is not None:
+        pool = settled(pool.join(entropies.select(*KEY, "max_entropy"), list(KEY), "left"))
     order = [drawn(seed, *KEY), *[F.col(k) for k in KEY]]
     quota = min(n, max(1, int(n * abstained_share)))
     first = pool.filter("no_label_fits").orderBy(*order).limit(quota).select(*KEY, F.lit("abstained").alias("audit_stratum"))
-    rest = pool.join(first.select(*KEY), list(KEY), "left_anti").select(*KEY)
+    rest = pool.join(F.broadcast(first.select(*KEY)), list(KEY), "left_anti")
     taken = first
     if entropies is not None:
         used = first.agg(F.count("*").alias("used"))
-        ranked = rest.join(entropies.filter("max_entropy > 0").select(*KEY, "max_entropy"), list(KEY)).orderBy(F.desc("max_entropy"), *KEY).limit(n)
+        ranked = rest.filter("max_entropy > 0").select(*KEY, "max_entropy").orderBy(F.desc("max_entropy"), *KEY).limit(n)
         ranked = ranked.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("max_entropy"), *KEY))).crossJoin(F.broadcast(used))
         # one more is taken as long as fewer than 0.8 n places are filled
         second = ranked.filter(F.col("used") + F.col("rn") - 1 < F.lit(n * 0.8)).select(*KEY, F.lit("high-entropy").alias("audit_stratum"))
         taken = first.unionByName(second)
-        rest = rest.join(second.select(*KEY), list(KEY), "left_anti")
+        rest = rest.join(F.broadcast(second.select(*KEY)), list(KEY), "left_anti")
     used = taken.agg(F.count("*").alias("used"))
-    fill = rest.orderBy(*order).limit(n).withColumn("rn", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(used))
+    fill = rest.select(*KEY).orderBy(*order).limit(n).withColumn("rn", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(used))
     return taken.unionByName(fill.filter(F.col("used") + F.col("rn") <= n).select(*KEY, F.lit("random").alias("audit_stratum")))
 
 
@@ -72,7 +77,8 @@ def label_audit_samples(pool: DataFrame, n: int, seed: int, positive_share: floa
     p = pool.withColumn("audit_stratum", kind).withColumn("rank", rank).withColumn("h", drawn(seeded, *KEY))
     p = p.withColumn("rn", F.row_number().over(Window.partitionBy("label", "rank").orderBy("h", *KEY)))
     quota = max(1, int(n * positive_share))
-    p = p.filter(F.when(F.col("rank") == 0, F.col("rn") <= quota).otherwise(F.col("rn") <= n))
+    # a plain bound first, which limits what each task keeps before the shuffle
+    p = p.filter(F.col("rn") <= max(quota, n)).filter((F.col("rank") > 0) | (F.col("rn") <= quota))
     p = p.withColumn("all", F.row_number().over(Window.partitionBy("label").orderBy("rank", "rn"))).filter((F.col("rank") == 0) | (F.col("all") <= n))
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.concat_ws(":", F.lit("place"), "h")), *KEY))
     return p.select("label", *KEY, "audit_stratum", place.alias("place"))

@@ -104,6 +104,7 @@ def label_overlap(verdicts: DataFrame, least: float = 0.4) -> DataFrame:
 
 
 def mode_split(verdicts: DataFrame) -> DataFrame:
-    """Positives of each label by mode of the message; no mode is 'unknown'."""
+    """Positives of each label by mode of the message; no mode is 'unknown', any mode besides the known ones 'other'."""
     mode = F.coalesce(F.nullif("mode", F.lit("")), F.lit("unknown"))
-    return verdicts.filter("applies").withColumn("m", mode).groupBy("label").pivot("m", list(MODES)).agg(F.count(F.lit(1))).na.fill(0)
+    known = F.when(mode.isin(*MODES), mode).otherwise("other")
+    return verdicts.filter("applies").withColumn("m", known).groupBy("label").pivot("m", [*MODES, "other"]).agg(F.count(F.lit(1))).na.fill(0)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tutorlens.functions.text import latency_bucket
 from tutorlens.params import Params
+from tutorlens.sources.shared import settled
 
 
 def _in_order() -> Window:
@@ -44,13 +45,15 @@ def with_defection(turns: DataFrame) -> DataFrame:
 def length_terciles(turns: DataFrame) -> DataFrame:
     """(conv_id, n_student, tercile): conversations ranked by student turns, then id, in thirds; the last third takes the rest.
 
-    Ranks come from counts per length: only the histogram is summed in one place, and rows are
-    numbered inside their own length.
+    Conversations are sorted across tasks by ranges, however many have one length; a row's rank
+    is its place in its range behind the counts of the ranges before, which alone come together.
     """
     sizes = turns.groupBy("conv_id").agg(F.count(F.when(F.col("role") == "student", 1)).alias("n_student"))
-    hist = sizes.groupBy("n_student").agg(F.count("*").alias("k"))
-    hist = hist.withColumn("first", F.sum("k").over(Window.orderBy("n_student")) - F.col("k")).withColumn("total", F.sum("k").over(Window.partitionBy()))
-    ranked = sizes.join(hist, "n_student").withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("n_student").orderBy("conv_id")) - 1)
+    ranged = settled(sizes.repartitionByRange("n_student", "conv_id").sortWithinPartitions("n_student", "conv_id").withColumn("__id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__id", 33)).withColumn("__place", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = ranged.groupBy("__range").agg(F.count("*").alias("k"))
+    before = before.select("__range", (F.sum("k").over(Window.orderBy("__range")) - F.col("k")).alias("first"), F.sum("k").over(Window.partitionBy()).alias("total"))
+    ranked = ranged.join(F.broadcast(before), "__range").withColumn("rank", F.col("first") + F.col("__place"))
     third = F.least(F.floor(F.col("rank") / F.greatest(F.lit(1), F.floor(F.col("total") / 3))), F.lit(2))
     return ranked.select("conv_id", "n_student", F.when(third == 0, "short").when(third == 1, "mid").otherwise("long").alias("tercile"))
 

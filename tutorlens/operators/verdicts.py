@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tutorlens.operators.profile import todo
@@ -18,8 +19,28 @@ from tutorlens.operators.sampling import KEY
 from tutorlens.params import FORMS, MOVES
 
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
+#: Called with the counts of a finished run: verdicts, messages that failed, and the first error.
+Progress = Callable[[dict], None]
 VERDICT = "chatlog_id bigint, message_index int, label string, applies boolean, rationale string, evidence string"
+STORED = f"{VERDICT}, schema_version string"
 NO_RATIONALE = "(no rationale returned)"
+#: Messages of one call of a provider.
+MESSAGES_A_CALL = 16
+
+
+class LabelingError(RuntimeError):
+    """A provider failed for good; the verdicts of finished messages are kept."""
+
+
+@dataclass(frozen=True)
+class Sampling:
+    """How verdicts are generated where they are drawn several times; a labeling run has no temperature.
+
+    `runs` and `temperature` reach a provider as columns of the same names.
+    """
+
+    runs: int = 5
+    temperature: float = 0.7
 
 
 def offline(rows: pd.DataFrame) -> pd.DataFrame:
@@ -45,36 +66,103 @@ def fan_out(messages: DataFrame, labels: DataFrame) -> DataFrame:
     return messages.crossJoin(F.broadcast(labels))
 
 
+def _said(frame: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+    said = said.reset_index(drop=True)
+    out = frame[[*KEY, "label"]].reset_index(drop=True)
+    out["applies"] = said["applies"].astype(bool)
+    out["rationale"] = [r or NO_RATIONALE for r in said["rationale"]]
+    out["evidence"] = [e if a else "" for e, a in zip(said["evidence"], said["applies"], strict=True)]
+    return out
+
+
 def ask(pairs: DataFrame, provider: Provider = offline, attempts: int = 4, base_seconds: float = 2.0) -> DataFrame:
-    """Verdicts for (message, label) rows; an empty rationale is said to be missing, evidence is kept where the label applies."""
+    """Verdicts for (message, label) rows; an empty rationale is said to be missing, evidence is kept where the label applies.
+
+    The provider's last failure fails the job; `label_incrementally` keeps what is finished.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                said = with_retries(provider, frame, attempts, base_seconds).reset_index(drop=True)
-                out = frame[[*KEY, "label"]].reset_index(drop=True)
-                out["applies"] = said["applies"].astype(bool)
-                out["rationale"] = [r or NO_RATIONALE for r in said["rationale"]]
-                out["evidence"] = [e if a else "" for e, a in zip(said["evidence"], said["applies"], strict=True)]
-                yield out
+                yield _said(frame, with_retries(provider, frame, attempts, base_seconds))
 
     return pairs.mapInPandas(run, VERDICT)
 
 
-def label_incrementally(spark: SparkSession, messages: DataFrame, labels: DataFrame, path: str, schema_version: str, provider: Provider = offline, attempts: int = 4) -> DataFrame:
+def votes(pairs: DataFrame, provider: Provider, sampling: Sampling = Sampling(), attempts: int = 4, base_seconds: float = 2.0) -> DataFrame:
+    """(run, chatlog_id, message_index, label, applies): every pair asked `sampling.runs` times at its temperature."""
+    every = pairs.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(sampling.runs - 1)))).withColumn("temperature", F.lit(sampling.temperature))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                out = _said(frame, with_retries(provider, frame, attempts, base_seconds))
+                yield out.assign(run=frame["run"].to_numpy())[["run", *KEY, "label", "applies"]]
+
+    return every.mapInPandas(run, "run int, chatlog_id bigint, message_index int, label string, applies boolean")
+
+
+def finished(messages: DataFrame, labels: DataFrame, provider: Provider = offline, attempts: int = 4, base_seconds: float = 2.0, each: int = MESSAGES_A_CALL) -> DataFrame:
+    """Verdicts of whole messages for all labels, and `error`, null for verdicts.
+
+    A message is finished when all its labels are. Where a call fails after its retries, its
+    messages are asked once more one by one; the first that fails gives a row with the error and
+    no label, and its task asks for no more. Labels are definitions, a few dozen rows.
+    """
+    defined = labels.toPandas()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), each):
+                part = frame.iloc[i : i + each]
+                pairs = part.merge(defined, how="cross")
+                if not len(pairs):
+                    continue
+                try:
+                    yield _said(pairs, with_retries(provider, pairs, attempts, base_seconds)).assign(error=None)
+                    continue
+                except Exception:  # the messages that can be finished are kept
+                    pass
+                for k in range(len(part)):
+                    one = part.iloc[[k]].merge(defined, how="cross")
+                    try:
+                        yield _said(one, provider(one)).assign(error=None)
+                    except Exception as broken:
+                        out = one[list(KEY)].head(1).assign(label=None, applies=None, rationale=None, evidence=None, error=str(broken) or type(broken).__name__)
+                        yield out
+                        return
+
+    return messages.mapInPandas(run, f"{VERDICT}, error string")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The verdicts below `path`; none where the folder is missing or empty."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(STORED).parquet(path) if there else spark.createDataFrame([], STORED)
+
+
+def label_incrementally(
+    spark: SparkSession, messages: DataFrame, labels: DataFrame, path: str, schema_version: str, provider: Provider = offline, attempts: int = 4,
+    base_seconds: float = 2.0, each: int = MESSAGES_A_CALL, on_progress: Progress | None = None,
+) -> DataFrame:
     """Asks only for messages without verdicts of this version below `path`, appends them there, and returns this version's.
 
-    What was finished before a failure stays: the next call asks for the rest.
+    What was finished before a failure is committed before LabelingError is raised, so the next
+    call asks for the rest; verdicts of other versions do not count. A lost executor's tasks run
+    again and their rows are committed once. The counts of the run are observed while it writes.
     """
-    try:
-        had = spark.read.parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        had = spark.createDataFrame([], f"{VERDICT}, schema_version string")
-    new = ask(fan_out(todo(messages, had, schema_version), labels), provider, attempts)
-    new.withColumn("schema_version", F.lit(schema_version)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).filter(F.col("schema_version") == schema_version)
+    new = finished(todo(messages, stored(spark, path), schema_version), labels, provider, attempts, base_seconds, each)
+    counts = Observation()
+    failed = F.col("error").isNotNull()
+    seen = new.observe(counts, F.count(F.when(~failed, 1)).alias("verdicts"), F.count(F.when(failed, 1)).alias("failed"), F.min("error").alias("error"))
+    seen.filter(~failed).drop("error").withColumn("schema_version", F.lit(schema_version)).write.mode("append").parquet(path)
+    had = counts.get
+    if on_progress:
+        on_progress(dict(had))
+    if had["failed"]:
+        raise LabelingError(f"{had['failed']} tasks stopped: {had['error']}")
+    return stored(spark, path).filter(F.col("schema_version") == schema_version)
 
 
 def as_maps(long: DataFrame) -> DataFrame:
@@ -103,11 +191,13 @@ def filtered_facets(facets: DataFrame, concepts: list[str]) -> DataFrame:
 
 
 def without_context(messages: DataFrame) -> DataFrame:
-    """The messages as an ablation sees them: no turns before or after."""
-    return messages.withColumn("context", F.filter("context", lambda _: F.lit(False))).withColumn("context_after", F.lit(None).cast("string"))
+    """The messages as an ablation sees them: no turns before or after, and no wait, where that is known."""
+    out = messages.withColumn("context", F.filter("context", lambda _: F.lit(False))).withColumn("context_after", F.lit(None).cast("string"))
+    blank = {"latency_seconds": F.lit(None).cast("double"), "latency_bucket": F.lit("unknown")}
+    return out.withColumns({c: v for c, v in blank.items() if c in messages.columns})
 
 
 def without_sequence(messages: DataFrame) -> DataFrame:
     """The messages without what is known of runs, mode and traceback."""
-    blank = {"pre_pattern": "", "last_run_grader": "", "question_ref": "", "mode": "", "seq_granularity": ""}
+    blank = {"pre_pattern": "", "last_run_grader": "", "mode": "", "seq_granularity": ""}
     return messages.withColumns({k: F.lit(v) for k, v in blank.items()} | {"last_run_minutes": F.lit(None).cast("double"), "last_run_success": F.lit(None).cast("boolean"), "snapshot_traceback": F.lit(False)})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tutorlens.functions import text as T
 from tutorlens.operators import profile, quality, sampling, sequences, summary, turns
 from tutorlens.params import Params
+from tutorlens.plans import audit
 from tutorlens.sources import events as E
 from tutorlens.sources import testdata as D
 
@@ -343,7 +344,7 @@ def abstention_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.abstention(D.verdicts(spark, sf_dir))
 
 
-@query(VERDICTS + " SELECT label, count(CASE WHEN mode = 'tutor' THEN 1 END) AS tutor, count(CASE WHEN mode = 'chatgpt' THEN 1 END) AS chatgpt, count(CASE WHEN mode = '' THEN 1 END) AS unknown FROM verdicts WHERE applies GROUP BY label")
+@query(VERDICTS + " SELECT label, count(CASE WHEN mode = 'tutor' THEN 1 END) AS tutor, count(CASE WHEN mode = 'chatgpt' THEN 1 END) AS chatgpt, count(CASE WHEN mode = '' THEN 1 END) AS unknown, count(CASE WHEN mode NOT IN ('tutor', 'chatgpt', '') THEN 1 END) AS other FROM verdicts WHERE applies GROUP BY label")
 def mode_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.mode_split(D.verdicts(spark, sf_dir))
 
@@ -452,10 +453,9 @@ r3 AS (SELECT chatlog_id, message_index, row_number() OVER (ORDER BY {_H}, chatl
 SELECT *, 'abstained' AS audit_stratum FROM s1 UNION ALL SELECT *, 'high-entropy' FROM s2 UNION ALL SELECT chatlog_id, message_index, 'random' FROM r3 WHERE rn <= 40""")
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the older log, without a mode, count as seen by the instructor and are left out."""
-    pool = D.verdicts(spark, sf_dir).select(*sampling.KEY, "mode", "no_label_fits").distinct()
-    seen = pool.filter("mode = ''")
+    pool = D.messages(spark, sf_dir).filter("mode <> ''").select(*sampling.KEY, D.abstains().alias("no_label_fits"))
     e = quality.vote_entropy(D.votes(spark, sf_dir)).withColumn("max_entropy", F.round("max_entropy", 9))
-    return sampling.audit_sample(sampling.excluded(pool, seen), e, 40, SEED)
+    return sampling.audit_sample(pool, e, 40, SEED)
 
 
 @query(VERDICTS + f""",
@@ -519,11 +519,12 @@ def unlabeled_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.todo(m, done, "new").select(*sampling.KEY)
 
 
-@query(VERDICTS + f" SELECT chatlog_id, message_index, text FROM verdicts WHERE label_ord = 0 AND mode <> '' ORDER BY {_H}, chatlog_id, message_index LIMIT 30")
+@query(VERDICTS + f" SELECT chatlog_id, message_index, text FROM verdicts WHERE label_ord = 0 ORDER BY {_H}, chatlog_id, message_index LIMIT 30")
 def blind_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an annotator sees of a sample: texts, no verdict and no stratum."""
-    m = D.messages(spark, sf_dir).filter("mode <> ''")
-    return m.orderBy(sampling.drawn(SEED, *sampling.KEY), *sampling.KEY).limit(30).select(*sampling.KEY, "text")
+    m = D.messages(spark, sf_dir)
+    sample = m.orderBy(sampling.drawn(SEED, *sampling.KEY), *sampling.KEY).limit(30)
+    return audit.payload(sample, sample)
 
 
 @query(TURNS + """, s AS (SELECT conv_id, count(*) AS n, max(notebook) AS notebook, string_agg('  student: ' || substr(text, 1, 160), chr(10) ORDER BY student_index) FILTER (WHERE student_index < 4) AS lines FROM turns WHERE role = 'student' GROUP BY conv_id)

@@ -6,17 +6,23 @@ definitions. Drafting and verdicts come from injected functions.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorlens.operators import profile, sampling, summary, verdicts
+from tutorlens.functions.text import plain_stratum
+from tutorlens.operators import profile, sampling, summary, turns, verdicts
 from tutorlens.params import CRITERION_WORDS, DESCRIPTION_WORDS, Params, content_hash
 from tutorlens.sources import events, snapshot
 
 
+#: Conversations that a peek reads.
+PEEK_CONVERSATIONS = 40
+
+
 class PhaseError(RuntimeError):
     """The call does not fit the session's phase."""
 
@@ -59,6 +65,59 @@ def drafted(draft: Callable[[str, str], tuple[Label, ...]], intent: str, digest:
     raise ValueError("the draft breaks the caps: " + "; ".join(findings))
 
 
+@dataclass(frozen=True)
+class Concept:
+    name: str
+    description: str = ""
+    positive_criteria: str = ""
+    negative_criteria: str = ""
+    promoted: bool = False
+
+
+#: The criteria that a concept gets when it is promoted without any.
+ENGAGES = "The student message substantively engages {0} ({1})"
+INCIDENTAL = "{0} appears only incidentally (e.g. inside pasted code or output) without the student engaging it"
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What exploring a course found: concepts, and layers of labels that ride below an instructor's own."""
+
+    course: str
+    concepts: tuple[Concept, ...] = ()
+    affect: tuple[Label, ...] = ()
+    intent: tuple[Label, ...] = ()
+    accepted: bool = False
+
+    @property
+    def version(self) -> str:
+        kinds = {"concepts": self.concepts, "affect": self.affect, "intent": self.intent}
+        return content_hash({k: [vars(x) for x in v] for k, v in kinds.items()} | {"course": self.course, "accepted": self.accepted})
+
+    def layers(self) -> tuple[Label, ...]:
+        on = tuple(Label(c.name, c.description, c.positive_criteria, c.negative_criteria) for c in self.concepts if c.promoted)
+        return on + self.affect + self.intent
+
+    def artifacts(self, spark: SparkSession) -> DataFrame:
+        """(where, text) of every string that an explorer wrote."""
+        rows = [(f"{kind}.{x.name}.{f}", getattr(x, f)) for kind in ("concepts", "affect", "intent") for x in getattr(self, kind) for f in ("name", "description", "positive_criteria", "negative_criteria")]
+        return spark.createDataFrame([*rows, ("course", self.course)], "where string, text string")
+
+    def revised(self, deleted: dict[str, list[str]], promoted: list[str]) -> Profile:
+        """Accepted, without what is deleted, with concepts promoted; a name in two layers is refused."""
+        left = {k: tuple(x for x in getattr(self, k) if x.name not in deleted.get(k, ())) for k in ("concepts", "affect", "intent")}
+        lifted = lambda c: replace(c, promoted=True, positive_criteria=c.positive_criteria or ENGAGES.format(c.name, c.description), negative_criteria=c.negative_criteria or INCIDENTAL.format(c.name))
+        left["concepts"] = tuple(lifted(c) if c.name in promoted else c for c in left["concepts"])
+        out = replace(self, accepted=True, **left)
+        ensure_distinct(out.layers(), "across layers")
+        return out
+
+
+def ensure_distinct(labels: tuple[Label, ...], where: str) -> None:
+    if twice := sorted(n for n, k in Counter(x.name for x in labels).items() if k > 1):
+        raise ValueError(f"label name collision {where}: " + ", ".join(twice))
+
+
 @dataclass
 class Session:
     spark: SparkSession
@@ -67,11 +126,16 @@ class Session:
     draft: Callable[[str, str], tuple[Label, ...]]
     provider: verdicts.Provider = verdicts.offline
     params: Params = field(default_factory=Params)
+    wait_seconds: float = 2.0
     phase: str = "idle"
     schema: Schema | None = None
     heads: DataFrame | None = None
     turns: DataFrame | None = None
     error: str = ""
+    profile: Profile | None = None
+    profile_draft: Profile | None = None
+    counts: dict = field(default_factory=dict)
+    _again: Callable[[], object] | None = None
 
     def _need(self, *phases: str) -> None:
         if self.phase not in phases:
@@ -80,18 +144,72 @@ class Session:
     def start(self, intent: str, limit: int | None = None) -> None:
         """Fetches conversations, drafts labels from a digest of at most 40 of them, and waits for review."""
         self._need("idle", "error")
+        self._run(lambda: self._start(intent, limit))
+
+    def _run(self, job: Callable[[], object]) -> object:
+        """Runs a job that ends in a phase of its own; a failure leaves the phase `error`, and `retry` runs it again."""
         try:
-            self.phase = "fetching"
-            self.heads, self.turns = events.fetch(self.log, limit, sample_seed=self.params.seed if limit else None)
-            self.phase = "drafting"
-            some = profile.digest(self.turns).orderBy("conv_id").limit(40)
-            text = "\n".join(r["digest"] for r in some.collect())  # 40 conversations, 4 excerpts each
-            self.schema = Schema(intent, drafted(self.draft, intent, text))
-            self.phase = "review"
+            self._again, self.error = job, ""
+            return job()
         except Exception as broken:
             self.phase, self.error = "error", str(broken)
             raise
 
+    def retry(self) -> object:
+        self._need("error")
+        if self._again is None:
+            raise PhaseError("nothing to retry")
+        return self._run(self._again)
+
+    def peek(self, n: int = 6) -> DataFrame:
+        """Between 1 and 12 messages of at most 40 conversations, with their strata in words; nothing is kept."""
+        self._need("idle")
+        heads, t = events.fetch(self.log, PEEK_CONVERSATIONS)
+        placed = turns.with_position(t, turns.length_terciles(t)).filter("role = 'student'").withColumn("message_index", F.col("turn_index").cast("int"))
+        placed = placed.withColumn("stratum", F.concat("tercile", F.lit("/"), "position"))
+        return sampling.round_robin(placed, min(12, max(1, n)), self.params.seed).select(*sampling.KEY, "text", plain_stratum(F.col("stratum")).alias("stratum"))
+
+    def explore(self, explorer: Callable[[str, list[str]], Profile], materials: DataFrame | None = None, limit: int = 40) -> None:
+        """Drafts a profile from a digest of at most `limit` conversations and the materials' texts; then it awaits review."""
+        self._need("idle")
+
+        def job() -> None:
+            self.phase = "exploring"
+            _, t = events.fetch(self.log, limit, sample_seed=self.params.seed)
+            text = "\n".join(r["digest"] for r in profile.digest(t).orderBy("conv_id").limit(limit).collect())
+            texts = [r["text"] for r in materials.orderBy("path").collect()] if materials is not None else []  # files that a person chose
+            draft = explorer(text, texts)
+            ensure_distilled(draft.artifacts(self.spark), t.filter("role = 'student'").select("text"))
+            self.profile_draft, self.turns, self.phase = draft, t, "profile_review"
+
+        self._run(job)
+
+    def accept_profile(self, deleted: dict[str, list[str]] | None = None, promoted: list[str] | None = None) -> Profile:
+        """The draft after deletions and promotions, if no name collides and nothing quotes a student; else the review goes on."""
+        self._need("profile_review")
+        out = self.profile_draft.revised(deleted or {}, promoted or [])
+        ensure_distilled(out.artifacts(self.spark), self.turns.filter("role = 'student'").select("text"))
+        self.profile, self.profile_draft, self.turns, self.phase = out, None, None, "idle"
+        return out
+
+    def discard_profile(self) -> None:
+        self._need("profile_review", "idle")
+        self.profile = self.profile_draft = None
+        self.phase = "idle"
+
+    def quit(self) -> None:
+        self._need("review", "error", "done", "profile_review")
+        self.phase, self.schema, self.heads, self.turns, self.profile_draft, self._again = "idle", None, None, None, None, None
+
+    def _start(self, intent: str, limit: int | None) -> None:
+        self.phase = "fetching"
+        self.heads, self.turns = events.fetch(self.log, limit, sample_seed=self.params.seed if limit else None)
+        self.phase = "drafting"
+        some = profile.digest(self.turns).orderBy("conv_id").limit(40)
+        text = "\n".join(r["digest"] for r in some.collect())  # 40 conversations, 4 excerpts each
+        self.schema = Schema(intent, drafted(self.draft, intent, text))
+        self.phase = "review"
+
     def messages(self) -> DataFrame:
         t = self.turns.filter("role = 'student'")
         return t.select("chatlog_id", F.col("turn_index").cast("int").alias("message_index"), "conv_id", "text", "mode", "us")
@@ -114,20 +232,34 @@ class Session:
             raise ValueError("; ".join(findings))
         self.schema = self.schema.revised(labels)
 
+    def composed(self) -> Schema:
+        """The instructor's labels on top of the accepted profile's layers; a name in two of them is refused."""
+        if self.profile is None:
+            return self.schema
+        labels = self.schema.labels + self.profile.layers()
+        ensure_distinct(labels, "in composition")
+        return self.schema.revised(labels)
+
     def accept(self) -> str:
-        """Labels every message that this version has not labeled yet and emits a snapshot; returns its path."""
+        """Labels every message that this version has not labeled yet and emits a snapshot; returns its path.
+
+        Where the provider fails, what it has finished is kept, and `retry` asks for the rest.
+        """
         self._need("review", "error")
-        try:
-            self.phase = "mass_labeling"
-            done = verdicts.label_incrementally(self.spark, self.messages(), self.labels(), f"{self.folder}/verdicts", self.schema.version, self.provider)
-            nested = self.turns.groupBy("conv_id", "chatlog_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "role", "text"))).alias("turns"))
-            manifest = {"schema_version": self.schema.version, "params": self.params.version}
-            path = snapshot.emit(self.spark, f"{self.folder}/snapshots", self.schema.version, {"conversations": nested, "labels": verdicts.as_maps(done)}, {"intent": self.schema.intent, "labels": [vars(x) for x in self.schema.labels]}, manifest)
-            self.phase = "done"
-            return path
-        except Exception as broken:
-            self.phase, self.error = "error", str(broken)
-            raise
+        if self.schema is None:
+            raise PhaseError("nothing was drafted yet")
+        return self._run(self._accept)
+
+    def _accept(self) -> str:
+        if not (self.schema.parent_version and self.profile and set(self.profile.layers()) <= set(self.schema.labels)):
+            self.schema = self.composed()
+        self.phase = "mass_labeling"
+        done = verdicts.label_incrementally(self.spark, self.messages(), self.labels(), f"{self.folder}/verdicts", self.schema.version, self.provider, base_seconds=self.wait_seconds, on_progress=self.counts.update)
+        nested = self.turns.groupBy("conv_id", "chatlog_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "role", "text"))).alias("turns"))
+        manifest = {"schema_version": self.schema.version, "params": self.params.version}
+        path = snapshot.emit(self.spark, f"{self.folder}/snapshots", self.schema.version, {"conversations": nested, "labels": verdicts.as_maps(done)}, {"intent": self.schema.intent, "labels": [vars(x) for x in self.schema.labels]}, manifest)
+        self.phase = "done"
+        return path
 
     def back_to_review(self) -> None:
         self._need("done", "error")
@@ -138,13 +270,13 @@ class Session:
     def summary(self) -> DataFrame:
         """Counts of the labels of the accepted version."""
         self._need("done")
-        v = self.spark.read.parquet(f"{self.folder}/verdicts").filter(F.col("schema_version") == self.schema.version).withColumn("no_label_fits", F.lit(False))
+        v = verdicts.stored(self.spark, f"{self.folder}/verdicts").filter(F.col("schema_version") == self.schema.version).withColumn("no_label_fits", F.lit(False))
         return summary.prevalence(v, self.labels())
 
     def examples(self, label: str, n: int = 5) -> DataFrame:
         """Between 1 and 25 random messages that the label applies to."""
         self._need("done")
-        v = self.spark.read.parquet(f"{self.folder}/verdicts").filter((F.col("schema_version") == self.schema.version) & (F.col("label") == label) & F.col("applies"))
+        v = verdicts.stored(self.spark, f"{self.folder}/verdicts").filter((F.col("schema_version") == self.schema.version) & (F.col("label") == label) & F.col("applies"))
         return sampling.example_sample(v.select(*sampling.KEY, "rationale"), self.messages().select(*sampling.KEY, "text"), min(25, max(1, n)), self.params.seed)
 
 

@@ -7,6 +7,9 @@ notebook_json). Times are integers, so results do not depend on a session's time
 
 from __future__ import annotations
 
+import os
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +18,21 @@ PAYLOAD = "conversation_id string, notebook string, question string, response st
 TALK = ("tutor_query", "tutor_response")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str = "events", **options: str) -> DataFrame:
-    """The raw table over JDBC; filters and columns are pushed down by Spark."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_jdbc(spark: SparkSession, url: str | None = None, table: str = "events", kinds: Sequence[str] = (), partition_column: str = "id", bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """The raw table over JDBC, read in `partitions` ranges of `partition_column` between `bounds`.
+
+    Without `url`, the environment's EVENTS_JDBC_URL is taken. `kinds` of events are filtered, and
+    columns picked, by the database. Without `bounds`, they are asked for: one row.
+    """
+    at = url or os.environ.get("EVENTS_JDBC_URL")
+    if not at:
+        raise ValueError("give a url or set EVENTS_JDBC_URL")
+    read = spark.read.format("jdbc").options(url=at, **options)
+    if bounds is None:
+        least = read.option("query", f"SELECT min({partition_column}) AS low, max({partition_column}) AS high FROM {table}").load().collect()[0]
+        bounds = (int(least[0] or 0), int(least[1] or 0) + 1)
+    raw = read.options(dbtable=table, partitionColumn=partition_column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions)).load()
+    return raw.filter(F.col("event_type").isin(*kinds)) if kinds else raw
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -53,7 +68,7 @@ def conversation_count(log: DataFrame) -> DataFrame:
     return log.filter(F.col("event_type").isin(*TALK)).agg(F.countDistinct("conv_id").alias("n_conversations"))
 
 
-def assemble_turns(log: DataFrame) -> DataFrame:
+def assemble_turns(log: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Turns in order: queries with text, and responses with text after the first such query.
 
     Columns: conv_id, chatlog_id, turn_index and student_index (from 0; null for the tutor), role,
@@ -72,7 +87,7 @@ def assemble_turns(log: DataFrame) -> DataFrame:
         "conv_id", "chatlog_id", (F.row_number().over(order) - 1).alias("turn_index"), role.alias("role"),
         F.when(F.col("asked"), F.col("question")).otherwise(F.col("response")).alias("text"),
         F.when(F.col("asked"), before - 1).cast("int").alias("student_index"),
-        "us", F.when(F.col("asked"), F.coalesce("mode", F.lit(""))).otherwise("").alias("mode"), "event_id", "user_key", "notebook",
+        "us", F.when(F.col("asked"), F.coalesce("mode", F.lit(""))).otherwise("").alias("mode"), "event_id", "user_key", "notebook", *extra,
     )
 
 

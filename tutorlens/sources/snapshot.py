@@ -39,8 +39,11 @@ def emit(spark: SparkSession, folder: str, name: str, tables: dict[str, DataFram
         n = 1
         while True:
             final = path(base, name if n == 1 else f"{name}-{n}")
-            if not fs.exists(final) and fs.rename(staging, final):
-                return final.toString()
+            if not fs.exists(final):
+                if fs.rename(staging, final):
+                    return final.toString()
+                if not fs.exists(final):  # not taken by another writer in between
+                    raise OSError(f"cannot rename {staging} to {final}")
             n += 1
     except BaseException:
         fs.delete(staging, True)

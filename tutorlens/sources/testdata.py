@@ -49,9 +49,13 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Student turns of the log with their k: the messages that labels are about."""
-    the_log = log(spark, sf_dir)
-    turns = assemble_turns(the_log).filter("role = 'student'")
-    return turns.join(the_log.select("event_id", "k"), "event_id").select("chatlog_id", F.col("turn_index").alias("message_index"), "conv_id", "text", "mode", "us", "k")
+    turns = assemble_turns(log(spark, sf_dir), extra=("k",)).filter("role = 'student'")
+    return turns.select("chatlog_id", F.col("turn_index").alias("message_index"), "conv_id", "text", "mode", "us", "k")
+
+
+def abstains() -> F.Column:
+    """Whether no label fits a message, by its k."""
+    return (F.col("k") % 2 != 0) & (F.col("k") % 3 != 0) & (F.col("k") % 5 == 0)
 
 
 def labels(spark: SparkSession) -> DataFrame:
@@ -62,7 +66,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per message and label: applies, rationale, and whether the message abstained."""
     m = messages(spark, sf_dir).crossJoin(F.broadcast(labels(spark)))
     applies = F.col("k") % F.col("divisor") == 0
-    none = (F.col("k") % 2 != 0) & (F.col("k") % 3 != 0) & (F.col("k") % 5 == 0)
+    none = abstains()
     said = F.concat(F.col("label"), F.lit(" because the student wrote "), F.col("text"))
     return m.select("chatlog_id", "message_index", "conv_id", "mode", "us", "k", "label", "label_ord", applies.alias("applies"), F.when(applies, said).otherwise("").alias("rationale"), none.alias("no_label_fits"))
 

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tutorlens.operators.verdicts import Provider, ask, fan_out, offline
+from tutorlens.operators.sampling import KEY
+from tutorlens.operators.verdicts import Progress, Provider, label_incrementally, offline
 
 
-def label_stream(spark: SparkSession, messages: DataFrame, labels: DataFrame, target: str, checkpoint: str, schema_version: str, provider: Provider = offline) -> StreamingQuery:
+def label_stream(
+    spark: SparkSession, messages: DataFrame, labels: DataFrame, target: str, checkpoint: str, schema_version: str, provider: Provider = offline, on_progress: Progress | None = None,
+) -> StreamingQuery:
     """Verdicts for the messages of a stream, appended to `target` once each; ends when the source is drained.
 
-    `messages` has a us column; a message that comes again within a day of event time is dropped.
+    Every micro-batch is one incremental run: what `target` holds is asked for no more, however
+    late a message comes again and whatever its time, and no first-seen message is lost. So no
+    state grows with the stream, and a batch that is replayed after a failure adds nothing twice.
     """
-    timed = messages.withColumn("at", F.timestamp_micros("us")).withWatermark("at", "1 day")
-    fresh = timed.dropDuplicatesWithinWatermark(["chatlog_id", "message_index"])
-    out = ask(fan_out(fresh, labels), provider).withColumn("schema_version", F.lit(schema_version))
-    return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+    def take(batch: DataFrame, _: int) -> None:
+        label_incrementally(batch.sparkSession, batch.dropDuplicates(list(KEY)), labels, target, schema_version, provider, on_progress=on_progress)
+
+    return messages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
