@@ -21,9 +21,10 @@ def lint_overlap(artifacts: DataFrame, student: DataFrame, width: int = 8) -> Da
     """
 
     def grams(df: DataFrame, *keep: str) -> DataFrame:
-        # the words are a column of their own, so that they are cut out once and not for every shingle
+        # the words are a column of their own, so that they are cut out once and not for every shingle; an outer
+        # generator has no filter on the size of its array inferred, for which it would be computed twice
         words = df.select(*keep, lint_words(F.col("text")).alias("words")).filter(F.size("words") >= width)
-        return words.select(*keep, F.explode(shingle_hashes(F.col("words"), width)).alias("g"))
+        return words.select(*keep, F.explode_outer(shingle_hashes(F.col("words"), width)).alias("g"))
 
     own = grams(artifacts, "where").distinct()
     wanted = own.select("g").distinct()
