@@ -5,6 +5,8 @@
 2. Every shingle's document frequency is counted over the whole corpus. Shingles of one
    document only link nothing, so a document of which less than 80 % is shared with others has
    no partner and is done.
+   Shingles that very many documents share are found while sets are measured, by counts of
+   blocks; there are 65,536 at most, so they are broadcast, and their postings meet nowhere.
 3. Of the rest, shingles are ordered by frequency, then hash. Two documents that link share a
    shingle among the first n - ceil(0.8 n) + 1 of each, counting the unshared ones first: the
    prefix. Documents that share a prefix shingle are a bucket.
@@ -34,6 +36,8 @@ from tutorlens.llm.tables import settled, table
 from tutorlens.llm.words import mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
+#: Documents of a block that make a shingle count towards the heavy ones; the count at which the order by frequency goes over to that by hash.
+HEAVY, MOST_COUNT = 8, 65_535
 #: Candidate ids that may be broadcast (about 16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -48,32 +52,70 @@ def _doc_ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): the size and fingerprint of each row's set."""
+    """(kind, doc_id, n_shingles, f1, f2): kind 0 is the size and fingerprint of each row's set.
+
+    The same pass counts shingles for `heavy_shingles`: kind 1 is a shingle (f1) with its number of
+    documents (n_shingles) in a block of a task where it has HEAVY or more, copies counted once;
+    kind 2 says that there was a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tutorlens.llm.words import slices
 
+        def rows(kind: int, ids: pa.Array, n: np.ndarray | list, f1: np.ndarray | list, f2: np.ndarray | list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int8)), ids, *[pa.array(x, pa.int64()) for x in (n, f1, f2)]], ["kind", "doc_id", "n_shingles", "f1", "f2"])
+
+        def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            h, n = np.r_[h[n >= HEAVY].view(np.int64), 0], np.r_[n[n >= HEAVY], 0]
+            out = rows(1, pa.nulls(len(h), pa.int64()), n, h, np.zeros(len(h), np.int64))
+            return out.set_column(0, "kind", pa.array(np.r_[np.full(len(h) - 1, 1, np.int8), np.int8(2)]))
+
+        seen, parts, size = set(), [], 0
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 n, f1, f2 = [], [], []
                 for own in shingle_sets(batch.column("text"), width):
                     a, b = _fingerprint(own)
                     n.append(len(own)), f1.append(a), f2.append(b)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["doc_id", "n_shingles", "f1", "f2"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint")
+                    if len(own) and a not in seen:
+                        seen.add(a)
+                        parts.append(own)
+                        size += len(own)
+                yield rows(0, batch.column("doc_id"), n, f1, f2)
+                if size >= P.BLOCK:
+                    yield counted(parts)
+                    seen, parts, size = set(), [], 0
+        if size:
+            yield counted(parts)
+
+    return docs.mapInArrow(run, "kind tinyint, doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint")
+
+
+def heavy_shingles(sized: DataFrame) -> np.ndarray:
+    """The sorted hashes of shingles that very many documents share, from the rows of `set_sizes`.
+
+    They have 2 * HEAVY documents a block on the mean, counting only blocks with HEAVY or more;
+    so every shingle with 3 * HEAVY a block is among them, and as a block has about P.BLOCK
+    postings, there are P.BLOCK / (2 * HEAVY) = 65,536 at most, at any size of the corpus.
+    """
+    blocks = sized.filter("kind = 2").count()
+    heavy = sized.filter("kind = 1").groupBy("f1").agg(F.sum("n_shingles").alias("n")).filter(F.col("n") >= 2 * HEAVY * max(blocks, 1))
+    return np.sort(np.array([r["f1"] for r in heavy.select("f1").collect()], np.int64).view(np.uint64))
 
 
-def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def shared_shingles(docs: DataFrame, heavy: np.ndarray, width: int, percent: int) -> DataFrame:
     """(doc_id, shared, rarest): how many shingles occur in other documents too, and the rarest of these in order.
 
     No more than the prefix can need is kept, about a fifth. Copies within a block of a task
-    count once: the smallest posts for them.
+    count once: the smallest posts for them. Postings of `heavy` shingles do not meet: they are
+    known to be shared, come last in the order, and go straight to their documents.
     """
     parts = P.parts_for(docs, "text")
+    known = docs.sparkSession.sparkContext.broadcast(heavy)  # 65,536 hashes at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = P.Block()
+        block, heavy = P.Block(), known.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, d, f = block.take()
@@ -83,6 +125,12 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 least[print_] = min(least.get(print_, doc), doc)
             on = np.isin(d, np.fromiter(least.values(), np.int64))
             h, d = h[on], d[on]
+            if len(heavy):
+                hot = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
+                if hot.any():
+                    w, e = h[hot], d[hot]
+                    yield P.pack(1, P.bucket_of(e, parts), e, (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.full(len(w), MOST_COUNT, np.uint32), P.part_of(w, parts).astype(np.uint32))
+                    h, d = h[~hot], d[~hot]
             yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), P.NONE)
 
         for batch in P.texts(batches):
@@ -94,6 +142,8 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield from flush()
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() == 1:
+            return rows
         doc, low, _, _ = P.unpack(rows)
         order, starts = P.groups([low])
         d, m = doc[order], low[order]
@@ -101,9 +151,9 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
         count = np.diff(np.r_[starts, len(d)])
         group = P.spread(starts, len(d)) if len(d) else np.zeros(0, np.int64)
         on = common[group]
-        d, m, c = d[on], m[on], np.minimum(count[group][on], 65535).astype(np.uint32)
+        d, m, c = d[on], m[on], np.minimum(count[group][on], MOST_COUNT).astype(np.uint32)
         order = np.argsort(d, kind="stable")
-        packed = P.pack(1, P.bucket_of(d[order], parts), d[order], m[order], c[order], np.full(len(d), key[0].as_py(), np.uint32))
+        packed = P.pack(1, P.bucket_of(d[order], parts), d[order], m[order], c[order], np.full(len(d), key[1].as_py(), np.uint32))
         return pa.Table.from_batches([packed], schema=P.SCHEMA)
 
     def gather(rows: pa.Table) -> pa.Table:
@@ -111,12 +161,14 @@ def shared_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
         token = (part.astype(np.uint64) << np.uint64(32) | low).view(np.int64)
         order = np.lexsort((token, count, doc))
         doc, token = doc[order], token[order]
+        once = np.r_[True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])] if len(doc) else np.zeros(0, bool)
+        doc, token = doc[once], token[once]  # rows that repeat a document may have posted from several blocks
         new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
         shared = np.diff(np.r_[new, len(doc)])
         need = [token[a : a + n - -(-percent * n // 100) + 1] for a, n in zip(new, shared, strict=True)]
         return pa.table({"doc_id": pa.array(doc[new], pa.int64()), "shared": pa.array(shared, pa.int64()), "rarest": pa.array(need, pa.list_(pa.int64()))})
 
-    met = docs.mapInArrow(emit, P.CHUNK).groupBy("part").applyInArrow(meet, P.CHUNK)
+    met = docs.mapInArrow(emit, P.CHUNK).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
     return met.groupBy("part").applyInArrow(gather, "doc_id bigint, shared bigint, rarest array<bigint>")
 
 
@@ -156,15 +208,19 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     Two documents link when their shingle sets overlap by `percent` of the union or more;
     component_id is the smallest doc_id that links reach, the document itself included. Texts
     without words, null ones included, link with nothing, and so do rows without doc_id, whose
-    component_id is null. Repeated rows are copies of each other. Other columns are not read.
+    component_id is null. Repeated rows are copies of each other. Texts are cut whole, however
+    long: a task works on slices of about 2 MB, and a longer text is a slice of its own. Other
+    columns are not read.
     """
     docs = docs.select("doc_id", "text")
     sized = settled(set_sizes(docs, width))
+    heavy = heavy_shingles(sized)
+    sized = sized.filter("kind = 0").drop("kind")
     known = sized.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = settled(known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     prefixed = (
-        shared_shingles(docs, width, percent)
+        shared_shingles(docs, heavy, width, percent)
         .join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
         .filter(F.col("shared") >= need)
         .select("doc_id", "n", (F.col("n") - F.col("shared")).alias("alone"), F.posexplode(F.slice("rarest", 1, (F.col("shared") - need + 1).cast("int"))).alias("at", "token"))

@@ -21,7 +21,7 @@ from tutorlens.llm.words import mix
 CHUNK = "kind tinyint, part int, docs binary, runs binary, low binary, pos binary, more binary"
 SCHEMA = pa.schema([("kind", pa.int8()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("docs", "runs", "low", "pos", "more")]])
 #: Postings gathered by a task before it packs them, and bytes of text for each part.
-BLOCK, PART_BYTES = 1 << 20, 8 << 20
+BLOCK, PART_BYTES = 1 << 20, 4 << 20
 NONE = np.zeros(0, np.uint8)
 
 
@@ -97,10 +97,6 @@ def spread(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(out)
 
 
-def empty() -> pa.Table:
-    return SCHEMA.empty_table()
-
-
 def by_document(found: DataFrame, name: str) -> DataFrame:
     """(doc_id, `name`) from packed rows dealt by document: the sorted distinct places as a binary of 32-bit numbers."""
 
