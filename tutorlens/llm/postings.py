@@ -97,18 +97,27 @@ def spread(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(out)
 
 
-def by_document(found: DataFrame, name: str) -> DataFrame:
-    """(doc_id, `name`) from packed rows dealt by document: the sorted distinct places as a binary of 32-bit numbers."""
+def by_document(found: DataFrame, name: str, marks: bool = False) -> DataFrame:
+    """(doc_id, `name`) from packed rows dealt by document: the sorted distinct places as a binary of 32-bit numbers.
+
+    With `marks`, a second binary `marks` has the hash bits (`low`) of each place; a place with
+    several comes several times.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        doc, _, pos, _ = unpack(rows)
-        order, starts = groups([doc, pos])
+        doc, low, pos, _ = unpack(rows)
+        keys = [doc, pos, low] if marks else [doc, pos]
+        order, starts = groups(keys)
         doc, pos = doc[order][starts], pos[order][starts]
         new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        ends = [*new[1:], len(doc)]
-        return pa.table({"doc_id": pa.array(doc[new], pa.int64()), name: pa.array([pos[a:b].tobytes() for a, b in zip(new, ends if len(new) else [], strict=True)], pa.binary())})
-
-    return found.groupBy("part").applyInArrow(run, f"doc_id bigint, {name} binary")
+        ends = [*new[1:], len(doc)] if len(new) else []
+        out = {"doc_id": pa.array(doc[new], pa.int64()), name: pa.array([pos[a:b].tobytes() for a, b in zip(new, ends, strict=True)], pa.binary())}
+        if marks:
+            low = low[order][starts]
+            out["marks"] = pa.array([low[a:b].tobytes() for a, b in zip(new, ends, strict=True)], pa.binary())
+        return pa.table(out)
+
+    return found.groupBy("part").applyInArrow(run, f"doc_id bigint, {name} binary" + ", marks binary" * marks)
 
 
 class Block:

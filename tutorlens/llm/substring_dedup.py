@@ -89,22 +89,22 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return P.by_document(met, "anchors")
 
 
-def _repeats_in_block(high: np.ndarray, low: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _repeats_in_block(high: np.ndarray, low: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int, marks: bool) -> Iterator[pa.RecordBatch]:
     """Kind 1: windows that start in a smaller document of this block. Kind 0: those of the block's smallest, for the others."""
     order, _ = P.groups([high, low, doc])
     h, m, d, p = high[order], low[order], doc[order], pos[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])])
     later = d != d[first][P.spread(first, len(d))]
     if later.any():
-        yield P.pack(1, P.bucket_of(d[later], parts), d[later], P.NONE, p[later])
+        yield P.pack(1, P.bucket_of(d[later], parts), d[later], m[later] if marks else P.NONE, p[later])
     on = ~later
     back = np.argsort(order[on], kind="stable")
     h, m, d, p = h[on][back], m[on][back], d[on][back], p[on][back]
     yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), p, m)
 
 
-def repeated_windows(anchored: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, repeats): the places of windows that also start in a document with a smaller doc_id.
+def repeated_windows(anchored: DataFrame, parts: int, marks: bool = False) -> DataFrame:
+    """(doc_id, repeats): the places of windows that also start in a document with a smaller doc_id; with `marks`, 32 bits of each one's hash too.
 
     `anchored` has doc_id, text and anchors, null for documents without. Only windows that hold a shared anchor are hashed.
     """
@@ -126,9 +126,9 @@ def repeated_windows(anchored: DataFrame, parts: int) -> DataFrame:
             h, m, at = h[kept], m[kept], at[kept]
             row = np.searchsorted(starts, at, side="right") - 1
             if len(h) and block.add(h, (m >> np.uint64(32)).astype(np.uint32), _doc_ids(batch)[row], (at - starts[row]).astype(np.uint32)):
-                yield from _repeats_in_block(*block.take(), parts)
+                yield from _repeats_in_block(*block.take(), parts, marks)
         if block.n:
-            yield from _repeats_in_block(*block.take(), parts)
+            yield from _repeats_in_block(*block.take(), parts, marks)
 
     def meet(rows: pa.Table) -> pa.Table:
         if rows.num_rows == 0 or rows.column("kind")[0].as_py() == 1:
@@ -137,12 +137,29 @@ def repeated_windows(anchored: DataFrame, parts: int) -> DataFrame:
         order, starts = P.groups([low, more])
         d = doc[order]
         later = d != np.minimum.reduceat(d, starts)[P.spread(starts, len(d))]
-        d, p = d[later], pos[order][later]
+        d, p, m = d[later], pos[order][later], more[order][later]
         order = np.lexsort((p, d))
-        return pa.Table.from_batches([P.pack(1, P.bucket_of(d[order], parts), d[order], P.NONE, p[order])], schema=P.SCHEMA)
+        return pa.Table.from_batches([P.pack(1, P.bucket_of(d[order], parts), d[order], m[order] if marks else P.NONE, p[order])], schema=P.SCHEMA)
 
     met = anchored.mapInArrow(emit, P.CHUNK).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
-    return P.by_document(met, "repeats")
+    return P.by_document(met, "repeats", marks)
+
+
+def _marked(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The repeats of each row that its own text has at that place: those of another row with its doc_id are left out."""
+    hashes, starts = words(batch.column("text"), fold=False)
+    m, at = windows(hashes, starts, WINDOW, seed=1)
+    out: list[bytes | None] = []
+    for i, (places, marks) in enumerate(zip(batch.column("repeats").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
+        if places:
+            p = np.frombuffer(places, np.uint32).astype(np.int64)
+            a, b = np.searchsorted(at, [starts[i], starts[i + 1]])
+            place, own = at[a:b] - starts[i], (m[a:b] >> np.uint64(32)).astype(np.uint32)
+            k = np.minimum(np.searchsorted(place, p), max(len(place) - 1, 0))
+            same = (place[k] == p) & (own[k] == np.frombuffer(marks, np.uint32)) if len(place) else np.zeros(len(p), bool)
+            places = np.unique(p[same]).astype(np.uint32).tobytes()
+        out.append(places)
+    return out
 
 
 def _kept_words(text: str, repeats: bytes | None) -> tuple[int, int, bytes]:
@@ -163,20 +180,24 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of `docs`, which has doc_id and text.
 
     `kept` are the words that are left, joined by one space. Null and empty texts have no words
-    and an empty `kept`. Rows without doc_id are compared with nothing and keep their words. Rows
-    that repeat a doc_id do not remove each other's words; they should repeat the text too: a
-    place that is removed in one of them is removed in all. Other columns are not read.
+    and an empty `kept`; texts of any length are compared whole. Rows without doc_id are compared
+    with nothing and keep their words. Rows that repeat a doc_id do not remove each other's words.
+    Where such rows differ in text, which is looked for first, places are told apart by the hash
+    of their window, so each row loses its own repeats only. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
     parts = P.parts_for(docs, "text")
+    body = F.xxhash64("text")
+    marks = not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(body).alias("low"), F.max(body).alias("high")).filter("low <> high").isEmpty()
     anchors = settled(shared_anchors(docs, parts))
     # both joins are left joins of the same table on doc_id, so Spark deals out the texts once
-    repeats = repeated_windows(docs.join(anchors, "doc_id", "left"), parts)
+    repeats = repeated_windows(docs.join(anchors, "doc_id", "left"), parts, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                out = [_kept_words(t or "", r) for t, r in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist(), strict=True)]
+                repeats = _marked(batch) if marks else batch.column("repeats").to_pylist()
+                out = [_kept_words(t or "", r) for t, r in zip(batch.column("text").to_pylist(), repeats, strict=True)]
                 n, gone, kept = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
