@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_reshard": sharding.op8_reshard,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        # parts of ops 4 and 8 that SQL can express
+        "mix_targets": mixing.mix_targets,
+        "shard_laws": sharding.shard_laws,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
+    return {
+        "op1_ngram_join": ngram_join.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE,
+        "mix_targets": mixing.TARGETS_ORACLE, "shard_laws": sharding.LAWS_ORACLE,
+    }
