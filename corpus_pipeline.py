@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutorlens.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from tutorlens.llm.tables import settled, table
+from tutorlens.llm.tables import added, settled, table
 
 #: A prediction surer than this is accepted; two machines that are both undecided give 0.25.
 LEAST_SCORE = 0.3
@@ -19,15 +19,25 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; texts without letters, null ones included, go."""
     model = language_id.fit_documents(docs)
-    sure = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)
+    lang, score = added(docs, "lang_pred", "score")
+    sure = (F.col(lang) != language_id.UND) & (F.col(score) >= LEAST_SCORE)
     return language_id.identify(docs, model).filter(sure).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id. Documents without words or id are no duplicates."""
-    joined = ngram_join.ngram_join(docs)
+    """One document of each group of near duplicates: that with the smallest doc_id. Documents without words or id are no duplicates.
+
+    Of rows that repeat an id and its text one stays; ids that repeat are few or none, and only
+    their rows are compared. Rows that share the id of a dropped copy go with it.
+    """
+    joined = settled(ngram_join.ngram_join(docs))
     copies = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    again = settled(joined.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and slot, shards near equal in bytes."""
-    return sharding.shard(docs).select(*docs.columns, "size", "shard", "slot")
+    return sharding.shard(docs).select(*docs.columns, *[c for c in added(docs, "size", "text_crc32", "old_shard", "block", "shard", "slot") if c.startswith(("size", "shard", "slot"))])
 
 
 STAGES = [
