@@ -34,7 +34,7 @@ from tutorlens.llm.tables import settled, table
 from tutorlens.llm.words import mix, slices, utf8
 
 #: Words with a class of their own, classes by ending, words that may be broadcast besides, and the width of the hidden layer.
-OWN, ENDINGS, VOCABULARY, HIDDEN = 63, 32, 50_000, 24
+OWN, ENDINGS, VOCABULARY, HIDDEN = 63, 32, 150_000, 24
 #: Places around the predicted word; class 0 stands for what lies outside the document.
 WINDOW = (-2, -1, 1, 2)
 #: Epochs, positions in a step, learning rate, pieces of the model.
@@ -83,7 +83,8 @@ class Vocabulary:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts: lower-cased runs of characters other than space and the controls 9 to 13."""
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")
-    return docs.select(F.explode(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    # an outer generator has no filter on its array inferred, for which texts would be split twice
+    return docs.select(F.explode_outer(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
@@ -158,21 +159,21 @@ class Network:
         table_, bias, out, prior = self.parts
         n = len(target)
         h = self.hidden(context)
-        z = h @ out + prior
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), target] -= 1
-        z /= n
+        z = h @ out
+        z += prior
+        np.exp(z, out=z)  # tanh and the weights bound z well inside the range of exp
+        z /= z.sum(axis=1, keepdims=True) * np.float32(n)
+        z[np.arange(n), target] -= np.float32(1 / n)
         back = (z @ out.T) * (1 - h * h)
         out -= rate * (h.T @ z)
         prior -= rate * z.sum(axis=0)
         bias -= rate * back.sum(axis=0)
-        rows = np.arange(n)
-        for k in range(len(WINDOW)):
-            one = np.zeros((n, CLASSES), np.float32)
-            one[rows, context[:, k]] = 1
-            table_[k] -= rate * (one.T @ back)
+        # the gradients of one entry of the class tables are added up in the order of positions
+        flat = (context + np.arange(len(WINDOW), dtype=np.int32) * CLASSES).ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        table_.reshape(-1, HIDDEN)[flat[first]] -= rate * np.add.reduceat(back[order // len(WINDOW)], first, axis=0)
 
 
 def contexts(cls: np.ndarray, starts: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -344,7 +345,7 @@ def scored(encoded: DataFrame, counts: DataFrame, net: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(sums, pa.float64())], ["row", "doc_id", "n_tokens", "pll"])
 
     known = encoded.select("row", "doc_id", "n_tokens", "base", "cls").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, pll double")
-    rare = encoded.filter("tail <> ''").select("row", F.explode(F.split("tail", " ")).alias("word"))
+    rare = encoded.filter("tail <> ''").select("row", F.explode_outer(F.split("tail", " ")).alias("word"))
     logs = counts.select("word", F.round(F.log("n") * UNIT).cast("bigint").alias("log"))
     added = rare.join(logs, "word").groupBy("row").agg(F.sum("log").alias("more"))
     return known.join(added, "row", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("more", F.lit(0)) / F.lit(float(UNIT))).alias("pll"))
