@@ -69,6 +69,35 @@ def test_recall_at_the_production_shape(spark):
     assert len(links) >= 295 and 0.9 * len(links) <= got <= len(links)
 
 
+def test_chains_large_groups_and_extreme_vectors(spark, monkeypatch):
+    """A chain of neighbours, a group larger than a block, and vectors whose squares overflow or vanish."""
+    monkeypatch.setattr(E, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    angle = math.acos(0.93)
+    chain = [[math.cos(k * angle), math.sin(k * angle), *[0.0] * 14] for k in range(9)]
+    centre = rng.standard_normal(16)
+    group = [(centre + rng.standard_normal(16) * 0.08).tolist() for _ in range(300)]
+    base = np.abs(rng.standard_normal(16)) + 0.5
+    extreme = [(base * f).tolist() for f in (1e200, 3e-200, 1.0, 1e-300)]
+    rows = [(i, v, 0) for i, v in enumerate([*chain, *group, *extreme])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    ok = [(i, E.scaled(np.array([v]))[0]) for i, v, _ in rows]
+    links = [(a, b) for k, (a, x) in enumerate(ok) for b, y in ok[k + 1 :] if x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.9]
+    want, count = brute_components([i for i, *_ in rows], links), {i: sum(i in p for p in links) for i, *_ in rows}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(df, recall=0.999999).collect()}
+    assert got == {i: (count[i], want[i]) for i in want}
+    assert want[8] == 0 and count[len(rows) - 1] >= 3
+
+
+def test_embedding_query(spark, tmp_path):
+    rows = vectors(2)
+    spark.createDataFrame(rows, VECTORS).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = E.op10_embedding_dedup(spark, str(tmp_path)).collect()
+    links, want = brute(rows)
+    assert len(got) == len(rows) and set(got[0].asDict()) >= {"vec_id", "n_links", "component_id", "kept"}
+    assert sum(r["n_links"] for r in got) >= 0.95 * 2 * len(links)
+
+
 def test_empty_vectors(spark):
     assert E.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
@@ -111,6 +140,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["shard"])
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Rows that repeat an id and its text leave the second stage once, those without words or id all stay."""
+    rows = documents()[:150]
+    again = [rows[3], rows[3], rows[4], (None, rows[5][1], "en", "s", 0), (None, rows[5][1], "en", "s", 0), (600, "", "en", "s", 0), (600, "", "en", "s", 0)]
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows + again), str(tmp_path)).collect()]
+    assert sorted(k for k in kept if k is not None) == [*range(150), 600, 600] and kept.count(None) == 2
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ("score", "lang_pred", "size", "shard", "slot", "spans", "copies", "component_id")
+    docs = frame(spark, documents()[:40]).withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).collect()
+        assert out and all(r[c] == f"{c}{r['doc_id']}" for r in out for c in names), name
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
