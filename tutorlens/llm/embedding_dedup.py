@@ -1,15 +1,20 @@
 """Near-duplicates among embeddings: random-hyperplane hashing, exact cosines, components.
 
 Every vector gets one short code per table, the signs of its products with random hyperplanes.
-Vectors that share a code in some table are compared exactly, in double precision, as blocks of
-one matrix product. Bits and tables follow from the number of vectors: a bucket keeps about the
-same size at every scale, and there are enough tables for a pair right at the threshold to be
-met with the probability `recall`; closer pairs are met more often.
-
-Equal vectors are one class with a multiplicity, so copies cost nothing. A bucket that is still
-large is cut into blocks, and every pair of its blocks is a task of its own: nothing is dropped,
-no task holds a whole large bucket, and pairs are counted inside the block, not sent. A pair
-counts in the first table in which its two codes are equal, so it counts once.
+Bits and tables follow from the number of vectors: a bucket keeps about the same size at every
+scale, and there are enough tables for a pair right at the threshold to be met with the
+probability `recall`; closer pairs are met more often.
+
+What is dealt out once per table is a vector's id and its sketch, all its signs as bits, never
+the vector. In each bucket, sketches that differ in too many bits for the threshold (seven
+standard deviations beyond what it lets expect) rule a pair out. Vectors are joined only to the
+few ids that are left, each for the first table in which it shares a code with a partner, and
+compared exactly there, in double precision, as blocks of one matrix product. So every pair is
+judged by its cosine once.
+
+Equal vectors are one class with a multiplicity, so copies cost nothing. A bucket that is large
+is cut into blocks, and every pair of its blocks is dealt out on its own: nothing is dropped, no
+task holds a whole large bucket, and pairs are counted inside the block, not sent.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from tutorlens.llm.tables import settled, table
 THRESHOLD, RECALL = 0.9, 0.98
 #: Vectors in a usual bucket, and in a block of a large one.
 BUCKET, BLOCK = 64, 1024
+#: Bits of a sketch at least, rows that a task compares at a time, parts at least, and large buckets whose names may be broadcast (about 16 MB).
+SKETCH, ROWS_A_PART, LEAST_PARTS, BROADCAST_BUCKETS = 384, 40_000, 32, 500_000
 
 
 def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
@@ -41,62 +48,148 @@ def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in column])
+def width(bits: int, tables: int) -> int:
+    """Signs of a sketch: those of the tables, SKETCH at least."""
+    return bits * max(tables, -(-SKETCH // bits))
 
 
-def signatures(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """(rep, dim, codes) from (rep, v): `codes` packs one 32-bit code per table."""
+def signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """The signs of each row's products with the hyperplanes, those of the tables first."""
+    return x @ planes(x.shape[1], bits, width(bits, tables) // bits, seed) > 0
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component lies in [0.5, 1): squares neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -power[:, None])
+
+
+def _rows(column: pa.Array, kind: type) -> np.ndarray:
+    """A matrix from a column of binaries of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0), kind)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(len(column), -1).view(kind)
+
+
+def coded(classes: DataFrame, kind: type, bits: int, tables: int, seed: int) -> DataFrame:
+    """(rep, m, dim, v, sketch, each) from (rep, m, e): the scaled vector, its signs as bits, and its code in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.array([len(x.as_buffer()) // 8 for x in batch.column("v")], np.int64)
+            dims = np.diff(batch.column("e").offsets.to_numpy())
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                signs = (_matrix(part.column("v")) @ planes(int(dim), bits, tables, seed) > 0).reshape(part.num_rows, tables, bits)
-                codes = (signs << np.arange(bits)).sum(axis=2).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(np.full(part.num_rows, dim, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(codes.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["rep", "dim", "codes", "each"])
-
-    return vectors.mapInArrow(run, "rep bigint, dim int, codes binary, each array<bigint>")
-
-
-def _compare(threshold: float):
-    """For one block pair of a bucket: kind 0 are (vector, number of vectors it links with), kind 1 links that join them."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        t, i, j = key[0].as_py(), key[3].as_py(), key[4].as_py()
-        rep, m, side = (rows.column(c).to_numpy() for c in ("rep", "m", "side"))
-        x = _matrix(rows.column("v").chunk(0)) if rows.num_rows else np.zeros((0, 1))
-        codes = np.stack([np.frombuffer(c.as_buffer(), np.uint32) for c in rows.column("codes").chunk(0)])
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        a, b = (np.flatnonzero(side == i), np.flatnonzero(side == j))
-        count, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        links: list[tuple[np.ndarray, np.ndarray]] = []
-        for s in range(0, len(a), 256):
-            own = a[s : s + 256]
-            near = (x[own] @ x[b].T) / np.outer(norm[own], norm[b]) >= threshold
-            if i == j:
-                near &= own[:, None] < b[None, :]
-            p, q = np.nonzero(near)
-            p, q = own[p], b[q]
-            fresh = ~(codes[p, :t] == codes[q, :t]).any(axis=1)
-            np.add.at(count, p[fresh], m[q[fresh]])
-            np.add.at(count, q[fresh], m[p[fresh]])
-            links.append((p, q))
-        p, q = (np.concatenate(z) if links else np.zeros(0, np.int64) for z in (zip(*links, strict=True) if links else ([], [])))
-        while len(p):  # every vector takes the least label of its partners until none changes
-            before = label.copy()
-            np.minimum.at(label, p, label[q])
-            np.minimum.at(label, q, label[p])
-            label = label[label]
-            if np.array_equal(label, before):
-                break
-        some, moved = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(rep)))
+                x = scaled(part.column("e").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim))
+                on = signs(x, bits, tables, seed)
+                codes = (on[:, : bits * tables].reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
+                packed = np.packbits(np.pad(on, ((0, 0), (0, -on.shape[1] % 64))), axis=1)
+                columns = [part.column("rep"), part.column("m"), pa.array(np.full(len(x), dim, np.int32)), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "m", "dim", "v", "sketch", "each"])
+
+    return classes.mapInArrow(run, "rep bigint, m bigint, dim int, v binary, sketch binary, each array<bigint>")
+
+
+#: A block pair of a bucket.
+_GROUP = ("t", "code", "dim", "i", "j")
+
+
+def _buckets(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each block pair in the rows: its table and the indices of its two sides, which are one where they are the same block."""
+    keys = [rows.column(c).to_numpy() for c in _GROUP]
+    side, i, j = rows.column("side").to_numpy(), keys[3], keys[4]
+    order = np.lexsort(keys[::-1])
+    change = np.zeros(len(order), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    cuts = np.flatnonzero(change)
+    for a, b in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+        own = order[a:b]
+        if len(own) > 1:
+            first = own[0]
+            if i[first] == j[first]:
+                yield int(keys[0][first]), own, own
+            else:
+                yield int(keys[0][first]), own[side[own] == i[first]], own[side[own] == j[first]]
+
+
+def _fresh(x: np.ndarray, y: np.ndarray, t: int, bits: int) -> np.ndarray:
+    """Whether sketches that share their code in table t share none in the tables before."""
+    if t == 0 or not len(x):
+        return np.ones(len(x), bool)
+    bytes_ = -(-t * bits // 8)
+    apart = np.unpackbits((x ^ y).view(np.uint8)[:, :bytes_], axis=1)[:, : t * bits]
+    return apart.reshape(len(x), t, bits).any(axis=2).all(axis=1)
+
+
+def _near(threshold: float, bits: int, n: int):
+    """Of the rows of some buckets, those that may link with another one there and share no code with it in an earlier table."""
+    p = math.acos(threshold) / math.pi
+    most = n * p + 7 * math.sqrt(n * p * (1 - p))
+
+    def run(rows: pa.Table) -> pa.Table:
+        sketch = _rows(rows.column("sketch"), np.uint64)
+        on = np.zeros(rows.num_rows, bool)
+        for t, a, b in _buckets(rows):
+            y = sketch[b]
+            for s in range(0, len(a), 64):
+                own = a[s : s + 64]
+                apart = np.bitwise_count(sketch[own][:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.uint16)
+                near = apart <= most
+                if a is b:
+                    near &= np.arange(s, s + len(own))[:, None] < np.arange(len(b))[None, :]
+                q, r = np.nonzero(near)
+                keep = _fresh(sketch[own[q]], y[r], t, bits)
+                on[own[q[keep]]] = True
+                on[b[r[keep]]] = True
+        return rows.filter(pa.array(on)).select([*_GROUP, "side", "rep"])
+
+    return run
+
+
+def _compare(threshold: float, kind: type, bits: int):
+    """For some buckets: kind 0 are (vector, number of vectors it links with), kind 1 links that join them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rep, m = (rows.column(c).to_numpy() for c in ("rep", "m"))
+        sketch = _rows(rows.column("sketch"), np.uint64)
+        vectors = rows.column("v").combine_chunks()
+        count, far, near_ = np.zeros(len(rep), np.int64), [], []
+        for t, a, b in _buckets(rows):
+            x, y = (_rows(vectors.take(pa.array(k)), kind).astype(np.float64) for k in (a, b))
+            nx, ny = (np.sqrt(np.einsum("ij,ij->i", z, z)) for z in (x, y))
+            links: list[tuple[np.ndarray, np.ndarray]] = []
+            for s in range(0, len(a), 256):
+                near = (x[s : s + 256] @ y.T) / np.outer(nx[s : s + 256], ny) >= threshold
+                if a is b:
+                    near &= np.arange(s, s + len(near))[:, None] < np.arange(len(b))[None, :]
+                p, q = np.nonzero(near)
+                fresh = _fresh(sketch[a[p + s]], sketch[b[q]], t, bits)
+                np.add.at(count, a[p[fresh] + s], m[b[q[fresh]]])
+                np.add.at(count, b[q[fresh]], m[a[p[fresh] + s]])
+                links.append((a[p + s], b[q]))
+            p, q = (np.concatenate(z) for z in zip(*links, strict=True))
+            nodes, at = np.unique(np.r_[p, q], return_inverse=True)
+            p, q, label = at[: len(p)], at[len(p) :], np.arange(len(nodes))
+            while len(p):  # every vector takes the least label of its partners until none changes
+                before = label.copy()
+                np.minimum.at(label, p, label[q])
+                np.minimum.at(label, q, label[p])
+                label = label[label]
+                if np.array_equal(label, before):
+                    break
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            far.append(rep[nodes[moved]])
+            near_.append(rep[nodes[label[moved]]])
+        some = np.flatnonzero(count)
+        far, near_ = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (far, near_))
         return pa.table({
-            "kind": pa.array([0] * len(some) + [1] * len(moved), pa.int8()),
-            "a": pa.array(np.r_[rep[some], rep[moved]], pa.int64()),
-            "b": pa.array(np.r_[count[some], rep[label[moved]]], pa.int64()),
+            "kind": pa.array([0] * len(some) + [1] * len(far), pa.int8()),
+            "a": pa.array(np.r_[rep[some], far], pa.int64()),
+            "b": pa.array(np.r_[count[some], near_], pa.int64()),
         })
 
     return run
@@ -107,38 +200,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
     vectors of different lengths not with each other, and rows without vec_id with nothing
-    (their component_id is null and kept is false). Repeated rows count as vectors of their own.
-    Other columns are not read; an empty table gives an empty one.
+    (their component_id is null and kept is false). Components of any finite size are compared,
+    as each vector is scaled by a power of two first. Repeated rows count as vectors of their
+    own; unlike vectors that share a vec_id are one node. Other columns are not read; an empty
+    table gives an empty one.
     """
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     sound = F.col("vec_id").isNotNull() & F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
     good = vectors.filter(sound).withColumns({"k1": F.xxhash64("e"), "k2": F.xxhash64(F.lit(1), "e")})
-    classes = settled(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
-    n = classes.count()
+    named = settled(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
+    n = named.count()
     bits, tables = shape(n, threshold, recall)
-
-    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e = batch.column("e")
-            at, data = e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("m"), pa.array([data[s:t].tobytes() for s, t in zip(at, at[1:], strict=False)], pa.binary())], ["rep", "m", "v"])
-
-    # of equal rows that share the smallest vec_id, one stands for the class
-    reps = good.join(classes, ["k1", "k2"]).filter(F.col("vec_id") == F.col("rep")).groupBy("rep", "m").agg(F.first("e").alias("e"))
-    reps = settled(reps.mapInArrow(raw, "rep bigint, m bigint, v binary"))
-    codes = settled(signatures(reps.select("rep", "v"), bits, tables, seed))
-    places = codes.select("rep", "dim", F.posexplode("each").alias("t", "code"))
-    full = places.groupBy("t", "code", "dim").agg(F.count("*").alias("k")).filter("k > 1").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
-    placed = places.join(full, ["t", "code", "dim"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("o", other).select("rep", "t", "code", "dim", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side")
-    rows = placed.join(reps.join(codes.select("rep", "codes"), "rep"), "rep").select("t", "code", "dim", "i", "j", "side", "rep", "m", "v", "codes")
-    found = settled(rows.groupBy("t", "code", "dim", "i", "j").applyInArrow(_compare(threshold), "kind tinyint, a bigint, b bigint"))
+    # copies meet after a map-side step that keeps one of each
+    classes = good.groupBy("k1", "k2").agg(F.min(F.struct("vec_id", "e")).alias("x"), F.count("*").alias("m")).select("k1", "k2", F.col("x.vec_id").alias("rep"), "m", F.col("x.e").alias("e"))
+    codes = settled(coded(classes.select("rep", "m", "e"), kind, bits, tables, seed))
+    places = codes.select("rep", "dim", "sketch", F.posexplode("each").alias("t", "code"))
+    # only the buckets that must be cut are known by name; they are few, as each has many vectors
+    hot = settled(codes.select("dim", F.posexplode("each").alias("t", "code")).groupBy("t", "code", "dim").agg(F.count("*").alias("k")).filter(F.col("k") > BLOCK).select("t", "code", "dim", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    cut = places.join(F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot, ["t", "code", "dim"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    side, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = cut.withColumn("side", side).withColumn("o", other).select("rep", "sketch", "t", "code", "dim", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side")
+    dealt = lambda df, rows: df.withColumn("part", F.pmod(F.xxhash64(*_GROUP), F.lit(max(LEAST_PARTS, rows // ROWS_A_PART)))).groupBy("part")
+    near = settled(dealt(placed, n * tables).applyInArrow(_near(threshold, bits, width(bits, tables)), "t int, code bigint, dim int, i int, j int, side int, rep bigint"))
+    rows = near.join(codes.select("rep", "m", "v", "sketch"), "rep")
+    found = settled(dealt(rows, 8 * near.count()).applyInArrow(_compare(threshold, kind, bits), "kind tinyint, a bigint, b bigint"))
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     joined = components(found.filter("kind = 1").select("a", "b"))
-    named = classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("k1", "k2", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = good.join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    out = good.select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     rest = vectors.filter(~sound).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
