@@ -177,3 +177,23 @@ def test_round_robin_is_the_same_at_any_partitioning(spark):
     counts = {s: sum(r[2] == s for r in one) for s in "abc"}
     assert max(counts.values()) - min(counts.values()) <= 1
     assert sampling.round_robin(rows, None, 3).count() == 60 and sampling.round_robin(rows, 1000, 3).count() == 60
+
+
+def test_jdbc_is_read_in_ranges_with_filters_pushed(spark, monkeypatch, tmp_path):
+    """Against an embedded database: ranges of ids, bounds asked for where none are given, kinds filtered there."""
+    url, driver = "jdbc:derby:memory:events;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    kinds = ["tutor_query", "tutor_response", "session_start"]
+    raw = spark.createDataFrame([(i, kinds[i % 3], f"u{i % 4}", "{}") for i in range(90)], "ID bigint, EVENT_TYPE string, USER_EMAIL string, PAYLOAD string")
+    try:
+        raw.write.format("jdbc").options(url=url, dbtable="EVENTS", driver=driver, createTableColumnTypes="EVENT_TYPE VARCHAR(40), USER_EMAIL VARCHAR(40)").mode("overwrite").save()
+    except Exception as missing:
+        pytest.skip(f"no embedded database: {str(missing)[:80]}")
+    with pytest.raises(ValueError):
+        E.read_jdbc(spark)
+    monkeypatch.setenv("EVENTS_JDBC_URL", url)
+    got = E.read_jdbc(spark, table="EVENTS", kinds=kinds[:2], partitions=4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 60
+    plan = got.select("user_email")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*In(EVENT_TYPE" in plan and "PAYLOAD" not in plan.split("ReadSchema")[-1]
+    assert E.read_jdbc(spark, url, "EVENTS", bounds=(0, 90), partitions=3, driver=driver).rdd.getNumPartitions() == 3

@@ -27,11 +27,11 @@ def read_jdbc(spark: SparkSession, url: str | None = None, table: str = "events"
     at = url or os.environ.get("EVENTS_JDBC_URL")
     if not at:
         raise ValueError("give a url or set EVENTS_JDBC_URL")
-    read = spark.read.format("jdbc").options(url=at, **options)
+    read = lambda: spark.read.format("jdbc").options(url=at, **options)
     if bounds is None:
-        least = read.option("query", f"SELECT min({partition_column}) AS low, max({partition_column}) AS high FROM {table}").load().collect()[0]
+        least = read().option("query", f"SELECT min({partition_column}) AS low, max({partition_column}) AS high FROM {table}").load().collect()[0]
         bounds = (int(least[0] or 0), int(least[1] or 0) + 1)
-    raw = read.options(dbtable=table, partitionColumn=partition_column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions)).load()
+    raw = read().options(dbtable=table, partitionColumn=partition_column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions)).load()
     return raw.filter(F.col("event_type").isin(*kinds)) if kinds else raw
 
 
