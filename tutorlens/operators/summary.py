@@ -19,10 +19,15 @@ def _per_message(verdicts: DataFrame) -> DataFrame:
 
 
 def totals(verdicts: DataFrame) -> DataFrame:
-    m = _per_message(verdicts)
-    with_label = F.count(F.when(F.col("n_labels") > 0, 1))
-    return m.agg(
-        F.count("*").alias("messages"), F.countDistinct("chatlog_id").alias("conversations"), with_label.alias("with_label"),
+    """Messages, conversations, messages with a label, and labels for each of these.
+
+    Dealt by conversation once: messages and conversations are both counted there.
+    """
+    m = _per_message(verdicts.repartition("chatlog_id"))
+    c = m.groupBy("chatlog_id").agg(F.count("*").alias("messages"), F.count(F.when(F.col("n_labels") > 0, 1)).alias("with_label"), F.sum("n_labels").alias("n_labels"))
+    with_label = F.coalesce(F.sum("with_label"), F.lit(0))
+    return c.agg(
+        F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"), F.count("chatlog_id").alias("conversations"), with_label.alias("with_label"),
         F.coalesce(F.bround(F.try_divide(F.sum("n_labels"), with_label), 1), F.lit(0.0)).cast("double").alias("labels_per_labeled"),
     )
 
