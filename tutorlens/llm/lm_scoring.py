@@ -356,7 +356,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Texts without words, null ones included, have 0 tokens, a pll of 0 and no mean. Rows without
     doc_id are scored like others, and repeated rows get equal scores; all of them count in
-    training. Other columns are not read. An empty table gives an empty one.
+    training. Texts are read whole: tasks work on slices of a megabyte, or on one longer text
+    alone. Scores do not depend on partitioning. Other columns are not read. An empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
     vocab = vocabulary(docs)
