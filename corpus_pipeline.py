@@ -14,6 +14,8 @@ from tutorlens.llm.tables import added, settled, table
 
 #: A prediction surer than this is accepted; two machines that are both undecided give 0.25.
 LEAST_SCORE = 0.3
+#: Ids of dropped copies that may be broadcast (about 50 MB as a hash table).
+BROADCAST_COPIES = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     their rows are compared. Rows that share the id of a dropped copy go with it.
     """
     joined = settled(ngram_join.ngram_join(docs))
-    copies = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    copies = settled(joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies  # texts stay where they are
+    left = docs.join(few, "doc_id", "left_anti").select(docs.columns)
     again = settled(joined.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if again.isEmpty():
         return left
