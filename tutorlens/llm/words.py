@@ -17,6 +17,9 @@ SEGMENT = 1 << 21
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between terms: all of ASCII but digits and letters.
+NOT_TERM = np.ones(256, bool)
+NOT_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,17 +66,17 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(array: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def words(array: pa.Array, fold: bool, gaps: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every row, and where each row's words begin.
 
-    Words are runs of bytes other than space and the controls 9 to 13; `fold` treats A-Z as
-    a-z. Returns (hashes, starts) with len(starts) == rows + 1; a null row has no words.
+    Words are runs of bytes that are not `gaps` (space and the controls 9 to 13); `fold` treats
+    A-Z as a-z. Returns (hashes, starts) with len(starts) == rows + 1; a null row has no words.
     """
     data, offsets = utf8(array)
     n = len(data)
     if n == 0:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    gap = _SEP[data]
+    gap = gaps[data]
     fresh = np.zeros(n + 1, bool)
     fresh[offsets] = True
     first = ~gap
