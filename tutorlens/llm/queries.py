@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorlens.llm import decontaminate, embedding_dedup, language_id, lexical_search, license_scan, lm_scoring, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
+from tutorlens.llm import alignment, decontaminate, embedding_dedup, language_id, lexical_search, license_scan, lm_scoring, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_reshard": sharding.op8_reshard,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_align_tokens": alignment.op11_align_tokens,
         "op12_license_scan": license_scan.op12_license_scan,
         "op13_lexical_search": lexical_search.op13_lexical_search,
         # parts of ops 4 and 8 that SQL can express
