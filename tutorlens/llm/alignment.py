@@ -74,8 +74,9 @@ def sentence_pieces(path: str) -> Side:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     crosses = any("▁" in n.lstrip("▁") for n in names)
     known = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
-    # the library adds the space that each piece begins with
-    return Side(re.compile("(?s).+") if crosses else PIECES_B, "", known, lambda texts: model.encode([t[1:] for t in texts], num_threads=1))
+    # the library adds the space that each piece begins with, but not to an empty string
+    alone = model.encode("a ")[len(model.encode("a")) :]
+    return Side(re.compile("(?s).+") if crosses else PIECES_B, "", known, lambda texts: [x if t != " " else alone for t, x in zip(texts, model.encode([t[1:] for t in texts], num_threads=1), strict=True)])
 
 
 class Memo:
