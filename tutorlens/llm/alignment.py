@@ -37,8 +37,8 @@ _SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-
 PIECES_A = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A piece of a text for B: no entry of its vocabulary goes on over a space behind another character.
 PIECES_B = re.compile(" +[^ ]*")
-#: Events of a block, characters of pieces remembered by a worker, (id, id) pairs that are broadcast (13 bytes each), and pairs that a task gathers before it hands on their counts.
-BLOCK, MEMO_CHARS, BROADCAST_PAIRS, GATHERED = 4096, 16 << 20, 2_000_000, 1 << 21
+#: Events of a block, characters of pieces remembered by a worker for each side (a few hundred thousand pieces, 300 bytes each with their tables), (id, id) pairs that are broadcast (13 bytes each), and pairs that a task gathers before it hands on their counts.
+BLOCK, MEMO_CHARS, BROADCAST_PAIRS, GATHERED = 4096, 2 << 20, 2_000_000, 1 << 21
 EVENTS = "doc_id bigint, text_hash bigint, at bigint, side tinyint, ids binary"
 SWEPT = "doc_id bigint, text_hash bigint, copies bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, times binary"
 
