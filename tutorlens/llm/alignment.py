@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -32,100 +33,101 @@ from tutorlens.llm.postings import narrow
 from tutorlens.llm.tables import fresh_folder, settled, table
 from tutorlens.llm.token_counts import _byte_letters
 
-#: The byte-level tokenizer's pattern, with its classes spelled out for characters below U+0100.
-_SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-PIECES_A = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: A piece of a text for B: no entry of its vocabulary goes on over a space behind another character.
-PIECES_B = re.compile(" +[^ ]*")
-#: Events of a block, characters of pieces remembered by a worker for each side (a few hundred thousand pieces, 300 bytes each with their tables), (id, id) pairs that are broadcast (13 bytes each), and pairs that a task gathers before it hands on their counts.
-BLOCK, MEMO_CHARS, BROADCAST_PAIRS, GATHERED = 4096, 2 << 20, 2_000_000, 1 << 21
+#: The byte-level tokenizer's pattern for pieces of a text.
+PIECES_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces of a text for B: no entry of its vocabulary goes on over a space behind another character, or has a line feed.
+PIECES_B = r" +[^ \n]*|\n|[^ \n]+"
+#: Texts with longer runs of one kind of characters go to the libraries whole.
+LONG_RUN = 500
+#: Events of a block, (id, id) pairs that are broadcast (13 bytes each), and pairs that a task gathers before it hands on their counts.
+BLOCK, BROADCAST_PAIRS, GATHERED = 4096, 2_000_000, 1 << 21
 EVENTS = "doc_id bigint, text_hash bigint, at bigint, side tinyint, ids binary"
 SWEPT = "doc_id bigint, text_hash bigint, copies bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, times binary"
 
 
 class Side(NamedTuple):
-    """A tokenizer: the bytes of each id, and the ids of whole strings (`encode`), which stand for themselves between spaces."""
+    """A tokenizer: the bytes of each id, and the ids of a text that begins with a space.
+
+    `quick` cuts texts of characters below U+0100 by ranks of byte strings and gives numbers that
+    `quick_ids` turns into ids; it is None where the vocabulary was not proven to allow that.
+    """
 
-    pieces: re.Pattern
-    below: str  # texts with characters from this one on go to the library whole; '' where none has to
     token_bytes: list[bytes]
-    encode: Callable[[list[str]], list[list[int]]]
+    whole: Callable[[str], list[int]]
+    quick: object | None
+    quick_ids: np.ndarray
+
+    def tokens(self, text: str) -> np.ndarray | None:
+        """The ids of the text; None where the joined bytes of its tokens are not the text's."""
+        if self.quick is not None and is_plain(text):
+            return self.quick_ids[self.quick.encode_to_numpy(text, disallowed_special=())]
+        ids = self.whole(text)
+        return np.array(ids, np.uint16) if b"".join([self.token_bytes[i] for i in ids]) == text.encode() else None
+
+
+def is_plain(text: str) -> bool:
+    """Whether all characters are below U+0100 and no run of others than white space, or of white space, is long."""
+    low = text.isascii() or max(text) < "\u0100"
+    return low and max(map(len, text.split()), default=0) <= LONG_RUN and not re.search(rf"\s{{{LONG_RUN}}}", text)
+
+
+def _ranked(name: str, pattern: str, entries: list[bytes]) -> object:
+    import tiktoken
+
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks={b: rank for rank, b in enumerate(entries)}, special_tokens={})
 
 
 @functools.lru_cache(maxsize=2)
 def byte_level(path: str) -> Side:
+    """The byte-level tokenizer at `path`.
+
+    Where merges come in the order of the ids that they make and nothing is normalised, its ids
+    are ranks: a pair of neighbours that joins to an entry is the pair that its merge names, as all
+    earlier merges within the entry were made as if it stood alone.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
     letters, names = _byte_letters(), tokenizer.get_vocab(with_added_tokens=True)
     known: list[bytes] = [b""] * (max(names.values()) + 1)
     for name, i in names.items():
         known[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
-    return Side(PIECES_A, "Ā", known, lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    vocabulary, merges = raw["model"]["vocab"], raw["model"]["merges"]
+    made = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
+    proven = raw["normalizer"] is None and raw["pre_tokenizer"]["type"] == "ByteLevel" and raw["pre_tokenizer"]["use_regex"] and made == list(range(256, 256 + len(merges))) and len(vocabulary) == 256 + len(merges)
+    quick = _ranked("a", PIECES_A, known[: len(vocabulary)]) if proven else None
+    return Side(known, lambda text: tokenizer.encode(text, add_special_tokens=False).ids, quick, np.arange(len(known)).astype(np.uint16))
 
 
 @functools.lru_cache(maxsize=2)
 def sentence_pieces(path: str) -> Side:
+    """The sentence-piece tokenizer at `path`.
+
+    It joins the neighbours that make the best entry first, as byte strings by rank do: first its
+    single characters of two bytes, then its longer entries by score. That is proven where no entry
+    crosses a place where texts are cut, and every entry comes back as itself.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    crosses = any("▁" in n.lstrip("▁") for n in names)
-    known = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
-    # the library adds the space that each piece begins with, but not to an empty string
-    alone = model.encode("a ")[len(model.encode("a")) :]
-    return Side(re.compile("(?s).+") if crosses else PIECES_B, "", known, lambda texts: [x if t != " " else alone for t, x in zip(texts, model.encode([t[1:] for t in texts], num_threads=1), strict=True)])
-
-
-class Memo:
-    """Ids of pieces that were seen, as one array, and whether their bytes are those of the piece."""
-
-    def __init__(self, side: Side):
-        self.side = side
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.used, self.chars = np.zeros(1 << 16, np.uint16), 0, 0
-        self.begin, self.count, self.good = [], [], []
-        self.arrays = None
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.index]
-        if not new:
-            return
-        for piece, ids in zip(new, self.side.encode(new), strict=True):
-            self.index[piece] = len(self.begin)
-            self.begin.append(self.used), self.count.append(len(ids))
-            self.good.append(b"".join([self.side.token_bytes[i] for i in ids]) == piece.encode())
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.uint16)]
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.chars += len(piece)
-        self.arrays = np.array(self.begin), np.array(self.count), np.array(self.good)
-
-    def tokens(self, texts: list[str]) -> list[np.ndarray | None]:
-        """The ids of each text; None where their bytes are not the text's."""
-        cut = [self.side.pieces.findall(t) if not self.side.below or t.isascii() or max(t) < self.side.below else [t] for t in texts]
-        if self.chars > MEMO_CHARS:
-            self.clear()
-        self.learn({p for own in cut for p in own})
-        begin, count, good = self.arrays
-        out = []
-        for own in cut:
-            at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            n = count[at]
-            total = int(n.sum())
-            out.append(self.ids[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(total)] if good[at].all() else None)
-        return out
-
-
-@functools.lru_cache(maxsize=4)
-def _memo(kind: Callable[[str], Side], path: str) -> Memo:
-    return Memo(kind(path))
+    is_byte = [re.fullmatch("<0x[0-9A-F]{2}>", n) is not None for n in names]
+    known = [bytes([int(n[3:5], 16)]) if b else n.replace("▁", " ").encode() for n, b in zip(names, is_byte, strict=True)]
+    entries = [i for i in range(len(names)) if not (is_byte[i] or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    one = {known[i]: i for i in entries if len(names[i]) == 1}
+    single = {known[i]: i for i in range(len(names)) if is_byte[i]} | {b: i for b, i in one.items() if len(b) == 1}
+    longer = sorted((i for i in entries if len(names[i]) > 1), key=lambda i: -model.get_score(i))
+    order = [single.get(bytes([b]), 0) for b in range(256)] + [i for b, i in one.items() if len(b) == 2] + longer
+    inner = [names[i] for i in entries if "▁" in names[i].lstrip("▁") or "\n" in names[i]]
+    # the library puts a space before what it is given
+    alone = all(model.encode(names[i][1:].replace("▁", " ")) == [i] for i in entries if names[i].startswith("▁") and len(names[i]) > 1)
+    proven = len(single) == 256 and not inner and alone and len({model.get_score(i) for i in longer}) == len(longer)
+    quick = _ranked("b", PIECES_B, [bytes([b]) for b in range(256)] + [known[i] for i in order[256:]]) if proven else None
+    return Side(known, lambda text: model.encode(text[1:]) if text else [], quick, np.array(order, np.uint16))
 
 
 @functools.lru_cache(maxsize=2)
@@ -148,21 +150,22 @@ def events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tutorlens.llm.words import slices
 
-        memos, lengths = (_memo(byte_level, path_a), _memo(sentence_pieces, path_b)), _lengths(path_a, path_b)
+        sides, lengths = (byte_level(path_a), sentence_pieces(path_b)), _lengths(path_a, path_b)
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 said = [" " + t if t else "" for t in batch.column("text").to_pylist()]
-                row, at, side, ids = [], [], [], []
-                for i, (a, b) in enumerate(zip(*(m.tokens(said) for m in memos), strict=True)):
+                row, at, of, ids = [], [], [], []
+                for i, text in enumerate(said):
+                    a, b = (side.tokens(text) for side in sides)
                     if a is None or b is None or not len(a):
-                        row.append(i), at.append(0), side.append(0), ids.append(b"")
+                        row.append(i), at.append(0), of.append(0), ids.append(b"")
                         continue
                     for k, own in enumerate((a, b)):
                         ends = np.cumsum(lengths[k][own])
                         for j in range(0, len(own), BLOCK):
-                            row.append(i), at.append(int(ends[j - 1]) if j else 0), side.append(k), ids.append(own[j : j + BLOCK].tobytes())
+                            row.append(i), at.append(int(ends[j - 1]) if j else 0), of.append(k), ids.append(own[j : j + BLOCK].tobytes())
                 where = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("text_hash").take(where), pa.array(at, pa.int64()), pa.array(side, pa.int8()), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "at", "side", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("text_hash").take(where), pa.array(at, pa.int64()), pa.array(of, pa.int8()), pa.array(ids, pa.binary())], ["doc_id", "text_hash", "at", "side", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, EVENTS)
 
@@ -186,8 +189,8 @@ class Sweep:
         self.upto(at)
         own = np.frombuffer(ids, np.uint16)
         self.n[side] += len(own)
-        self.ends[side] = np.r_[self.ends[side], at + np.cumsum(lengths[side][own])]
-        self.ids[side] = np.r_[self.ids[side], own]
+        self.ends[side] = np.concatenate([self.ends[side], at + np.cumsum(lengths[side][own])])
+        self.ids[side] = np.concatenate([self.ids[side], own])
 
     def upto(self, at: int | None) -> None:
         """Closes the groups up to byte `at`, to which both sides are known; all of them where it is None."""
@@ -207,7 +210,7 @@ class Sweep:
         self.pairs.append((pairs, times))
         # each group's A ids, then its B ids, with what stands before each
         ga, gb = np.searchsorted(common, ea), np.searchsorted(common, eb)
-        fa, fb = np.r_[True, ga[1:] != ga[:-1]], np.r_[True, gb[1:] != gb[:-1]]
+        fa, fb = np.diff(ga, prepend=-1) > 0, np.diff(gb, prepend=-1) > 0
         codes = np.empty(na + nb, np.int64)
         codes[np.arange(na) + np.searchsorted(gb, ga)] = xa + np.where(fa, 2 << 16, 0)
         codes[np.arange(nb) + np.searchsorted(ga, gb, "right")] = xb + np.where(fb, 1 << 16, 0)
