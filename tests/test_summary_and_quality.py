@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tutorlens.operators import profile, quality, sampling, summary, verdicts
+from tutorlens.operators import labeling, profile, quality, sampling, summary, verdicts
 from tutorlens.params import Params, content_hash
 from tutorlens.plans import audit
-from tutorlens.plans.session import Concept, Label, PhaseError, Profile, Session, accept_profile, ensure_distilled, oversized
+from tutorlens.plans.session import Concept, Label, PhaseError, Profile, Session, accept_profile, described, ensure_distilled, oversized
 from tutorlens.sources import events, snapshot
 from tutorlens.streaming.incremental import label_stream
 
@@ -233,45 +236,150 @@ def test_verdicts(spark, tmp_path):
     assert {tuple(verdicts_) for verdicts_ in (r[0] for r in maps.select(verdicts.applied(F.col("labels"))).collect())} == {("loops",), (), ("thanks",)}
     assert verdicts.as_long(maps).count() == 6
     path = str(tmp_path / "v")
-    assert verdicts.label_incrementally(spark, m.limit(2), labels, path, "s1").count() == 4
-    assert verdicts.label_incrementally(spark, m, labels, path, "s1").count() == 6 and spark.read.parquet(path).count() == 6
-    assert verdicts.label_incrementally(spark, m, labels, path, "s2").count() == 6 and spark.read.parquet(path).count() == 12
+    assert labeling.label_messages(spark, m.limit(2), labels, path, "s1").count() == 2
+    assert labeling.label_messages(spark, m, labels, path, "s1").count() == 3 and spark.read.parquet(path).count() == 3
+    rows = labeling.label_messages(spark, m, labels, path, "s2")
+    assert rows.count() == 3 and spark.read.parquet(path).count() == 6
+    long = {(r["chatlog_id"], r["message_index"], r["label"]): r for r in labeling.as_long(rows, "forms").collect()}
+    assert {k: (r["applies"], r["rationale"], r["evidence"]) for k, r in long.items()} == {k: (r["applies"], r["rationale"], r["evidence"]) for k, r in got.items()}
+    one = {(r["chatlog_id"], r["message_index"]): r for r in rows.collect()}
+    assert one[1, 0]["evidence"] == {"loops": "loop"} and not one[1, 0]["no_label_fits"] and one[1, 2]["no_label_fits"] and one[2, 0]["forms"] == ["nudge"]
 
 
-def test_labeling_keeps_what_is_finished_and_resumes(spark, tmp_path):
-    m = spark.createDataFrame([(i, 0, f"loop {i}") for i in range(40)], "chatlog_id bigint, message_index int, text string").repartition(3)
-    labels = spark.createDataFrame([("loops", "loop"), ("tens", "1")], "label string, cues string")
-    path, log = str(tmp_path / "v"), str(tmp_path / "asked")
+LOOPS = [("loops", "loop"), ("tens", "1")]
 
-    def broken(rows):
-        if (rows["chatlog_id"] == 17).any():
-            raise OSError("no answer for 17")
-        return verdicts.offline(rows)
+
+def many(spark, n=40):
+    m = spark.createDataFrame([(i, 0, f"loop {i}") for i in range(n)], "chatlog_id bigint, message_index int, text string")
+    return m.repartition(3), spark.createDataFrame(LOOPS, "label string, cues string")
+
+
+def noting(path):
+    """The offline provider, which writes down what it is asked for."""
 
     def noted(rows):
-        with open(log, "a") as out:
+        with open(path, "a") as out:
             out.writelines(f"{i}\n" for i in rows["chatlog_id"])
         return verdicts.offline(rows)
 
-    counts = {}
-    with pytest.raises(verdicts.LabelingError, match="no answer for 17"):
-        verdicts.label_incrementally(spark, m, labels, path, "s", broken, attempts=2, base_seconds=0, each=4, on_progress=counts.update)
-    kept = verdicts.stored(spark, path)
-    had = {r["chatlog_id"] for r in kept.collect()}
-    assert 0 < len(had) < 40 and 17 not in had and kept.count() == 2 * len(had) == counts["verdicts"] and counts["failed"] == 1
-    assert verdicts.label_incrementally(spark, m, labels, path, "s", noted).count() == 80
-    asked = {int(x) for x in open(log)}
-    assert asked == set(range(40)) - had
-    assert verdicts.stored(spark, path).select("chatlog_id", "label").distinct().count() == 80
-    # a run that finishes nothing leaves an empty table, and the next one starts from it
+    return noted, lambda: {int(x) for x in open(path)} if os.path.exists(path) else set()
+
+
+def test_failed_messages_hold_back_no_others(spark, tmp_path):
+    m, labels = many(spark, 400)
+    path, counts = str(tmp_path / "v"), {}
+
+    def broken(rows):
+        for i in (17, 203):
+            if (rows["chatlog_id"] == i).any():
+                raise OSError(f"no answer for {i}")
+        return verdicts.offline(rows)
+
+    ask = lambda provider, **more: labeling.label_messages(spark, m, labels, path, "s", provider, attempts=2, base_seconds=0, each=4, a_task=100, **more)
+    with pytest.raises(labeling.LabelingError, match="2 messages.*17/0: no answer for 17; 203/0: no answer for 203"):
+        ask(broken, on_progress=counts.update)
+    kept = labeling.stored(spark, path)
+    assert kept.count() == 398 and not {r["chatlog_id"] for r in kept.collect()} & {17, 203}
+    assert (counts["messages"], counts["verdicts"], counts["failed"], counts["total"]) == (398, 796, 2, 400) and "no answer for 17" in counts["error"]
+    assert {r["chatlog_id"]: r["times"] for r in labeling.failures(spark, path, "s").collect()} == {17: 1, 203: 1}
+    noted, asked = noting(str(tmp_path / "asked"))
+    assert ask(noted).count() == 400 and asked() == {17, 203}
+    assert labeling.failures(spark, path, "s").count() == 0 and ask(broken).count() == 400
+    # a run that finishes nothing ends early, and the next one starts from what it left
     def never(rows):
         raise OSError("away")
 
     empty = str(tmp_path / "e")
-    with pytest.raises(verdicts.LabelingError):
-        verdicts.label_incrementally(spark, m, labels, empty, "s", never, attempts=1)
-    assert verdicts.stored(spark, empty).count() == 0
-    assert verdicts.label_incrementally(spark, m, labels, empty, "s").count() == 80
+    with pytest.raises(labeling.LabelingError, match="400 messages"):
+        labeling.label_messages(spark, m, labels, empty, "s", never, attempts=1, a_task=200)
+    assert labeling.stored(spark, empty).count() == 0 and labeling.ledger(spark, empty).count() <= 3 * labeling.FAILURES_IN_A_ROW
+    assert labeling.label_messages(spark, m, labels, empty, "s").count() == 400
+
+
+def test_messages_that_failed_come_last(spark, tmp_path):
+    m, labels = many(spark)
+    path = str(tmp_path / "v")
+
+    def broken(rows):
+        if (rows["chatlog_id"] < 20).any():
+            raise OSError("poison")
+        return verdicts.offline(rows)
+
+    had = []
+    for _ in range(5):
+        with pytest.raises(labeling.LabelingError):
+            labeling.label_messages(spark, m, labels, path, "s", broken, attempts=1, each=4, a_task=100)
+        had.append(labeling.stored(spark, path).count())
+    assert had == sorted(had) and had[-1] == 20
+
+
+def test_an_answer_is_whole(spark, tmp_path):
+    m, labels = many(spark, 6)
+
+    def short(rows):
+        return verdicts.offline(rows).iloc[: len(rows) - (rows["chatlog_id"] == 3).any()]
+
+    with pytest.raises(labeling.LabelingError, match="1 messages.*3/0: 2 answers to 3 requests"):
+        labeling.label_messages(spark, m, labels, str(tmp_path / "v"), "s", short, attempts=1, each=2)
+    rows = labeling.stored(spark, str(tmp_path / "v")).collect()
+    assert len(rows) == 5 and all(set(r["labels"]) == {"loops", "tens"} and r["forms"] and r["move"] for r in rows)
+
+
+def test_a_run_that_is_cut_keeps_finished_tasks_and_shows_them(spark, tmp_path):
+    m, labels = many(spark, 48)
+    path, gate, seen = str(tmp_path / "v"), str(tmp_path / "gate"), []
+
+    def waiting(rows):
+        if (rows["chatlog_id"] >= 40).any():
+            while not os.path.exists(gate):
+                time.sleep(0.1)
+        return verdicts.offline(rows)
+
+    def cut(counts):
+        seen.append(counts["messages"])
+        if counts["messages"] >= 8:
+            spark.sparkContext.cancelAllJobs()
+
+    with pytest.raises(Exception):
+        labeling.label_messages(spark, m, labels, path, "s", waiting, each=2, a_task=2, on_progress=cut)
+    open(gate, "w").close()
+    had = {r["chatlog_id"] for r in labeling.stored(spark, path).collect()}
+    assert len(had) >= 8 and len(had) < 48 and max(seen) < 48 and len(set(seen)) >= 1
+    noted, asked = noting(str(tmp_path / "asked"))
+    assert labeling.label_messages(spark, m, labels, path, "s", noted).count() == 48
+    assert asked() == set(range(48)) - had
+
+
+def test_counts_rise_while_a_run_goes_on(spark, tmp_path):
+    m, labels = many(spark)
+
+    def slow(rows):
+        time.sleep(0.4)
+        return verdicts.offline(rows)
+
+    seen = []
+    labeling.label_messages(spark, m, labels, str(tmp_path / "v"), "s", slow, each=2, a_task=4, on_progress=lambda c: seen.append(c["messages"]))
+    assert seen == sorted(seen) and seen[-1] == 40 and any(0 < n < 40 for n in seen)
+
+
+def test_requests_say_what_is_known(spark, tmp_path):
+    turns_ = spark.createDataFrame([("c", 1, i, "student" if i % 2 == 0 else "tutor", f"text {i}", i // 2 if i % 2 == 0 else None, i * 60_000_000, "tutor" if i % 2 == 0 else "", "n") for i in range(5)], "conv_id string, chatlog_id bigint, turn_index int, role string, text string, student_index int, us bigint, mode string, notebook string")
+    m = described(turns_, turns_, sequence=False)
+    seen = str(tmp_path / "prompts")
+
+    def reads(rows):
+        with open(seen, "a") as out:
+            out.writelines(json.dumps([int(i), k, p]) + "\n" for i, k, p in zip(rows["message_index"], rows["kind"], rows["prompt"], strict=True))
+        return pd.DataFrame({"applies": True, "rationale": "", "evidence": "t", "forms": [["nudge", "odd"]] * len(rows), "concepts": [["loops", "x"]] * len(rows), "move": "odd", "no_label_fits": False, "note": "unasked"})
+
+    labels = spark.createDataFrame([("asks", "about asking", "a question", "a greeting")], "label string, description string, positive_criteria string, negative_criteria string")
+    rows = labeling.label_messages(spark, m, labels, str(tmp_path / "v"), "s", reads, course="Data", concepts=(("loops", "repeating"),)).collect()
+    assert len(rows) == 3 and all((r["forms"], r["concepts"], r["move"], r["coverage_note"], r["evidence"]) == (["nudge"], ["loops"], "", "", {"asks": "t"}) for r in rows)
+    said = {(i, k): p for i, k, p in map(json.loads, open(seen))}
+    assert len(said) == 6 and "asks: about asking" in said[2, "label"] and "It applies when: a question" in said[2, "label"] and "Course: Data" in said[2, "coverage"] and "- loops: repeating" in said[2, "coverage"]
+    for kind in ("label", "coverage"):
+        assert "student: text 0\ntutor: text 1" in said[2, kind] and "1 minutes (working)" not in said[2, kind] and "60 seconds (rapid)" in said[2, kind] and "Mode: tutor mode" in said[2, kind] and "Message:\ntext 2\nReply:\ntext 3" in said[2, kind]
+        assert "(conversation start)" in said[0, kind] and said[4, kind].endswith("Reply:\n") and "No autograder data" in said[0, kind]
 
 
 def test_votes_are_asked_at_a_temperature(spark):
@@ -297,6 +405,8 @@ def test_audits_are_revealed_after_submission(spark, tmp_path):
     assert snapshot.read_audit(spark, path).count() == 2
     with pytest.raises(Exception):
         audit.submit(spark, answers, str(tmp_path), "ann")
+    with pytest.raises(ValueError, match="more than 20000 messages"):
+        audit.submit(spark, spark.range(20_001).selectExpr("id AS chatlog_id", "0 AS message_index", "'a' AS label", "true AS applies"), str(tmp_path), "bob")
     shown = {r["chatlog_id"]: [a["label"] for a in r["applied"]] for r in audit.reveal(spark, sample, v, str(tmp_path), "ann").collect()}
     assert shown == {1: ["a"], 2: []}
 
@@ -360,27 +470,35 @@ def test_session(spark, tmp_path):
     with pytest.raises(PhaseError):
         s.accept()
     s.start("what is hard")
-    assert s.phase == "review" and s.review(3).count() == 3
+    noted, asked = noting(str(tmp_path / "asked"))
+    s.provider = noted
+    shown = s.review(3).collect()
+    assert s.phase == "review" and len(shown) == 3 and all(r["applied"][0]["label"] == "loops" and r["stratum"] for r in shown) and len(asked()) <= 3
     before = s.schema.version
     s.tweak((Label("loops", cues="loop"), Label("tens", cues="1")))
     assert s.schema.parent_version == before
     path = s.accept()
     counts = snapshot.read_json_file(spark, f"{path}/manifest.json")["row_counts"]
     assert s.phase == "done" and counts == {"conversations": 4, "labels": 12}
+    rows = snapshot.read_labels(spark, f"{path}/labels.jsonl").collect()
+    assert len(rows) == 12 and all(r["labels"]["loops"] and r["forms"] == ["nudge"] and r["latency_bucket"] and r["mode"] == "tutor" and r["attempted"] is None for r in rows)
     assert {r["label"]: r["n"] for r in s.summary().collect()}["loops"] == 12 and s.examples("loops", 99).count() == 12
+    assert s.abstentions().collect()[0]["abstained"] == 0 and s.abstained().count() == 0
     s.back_to_review()
     # a provider that fails once: what it finished stays, and a retry asks for the rest
     def away(rows):
         raise OSError("away")
 
-    s.tweak((Label("loops", cues="loop"),))
+    s.tweak((Label("fives", cues="5"),))
     s.provider, s.wait_seconds = away, 0
-    with pytest.raises(verdicts.LabelingError):
+    with pytest.raises(labeling.LabelingError):
         s.accept()
     assert s.phase == "error" and "away" in s.error and s.counts["failed"] > 0
     s.provider = verdicts.offline
     s.retry()
-    assert s.phase == "done" and s.counts["verdicts"] == 12 and s.error == ""
+    assert s.phase == "done" and s.counts["messages"] == 12 and s.error == ""
+    # the classifier is another with other labels, so no verdict of the first is counted
+    assert s.abstentions().collect()[0]["abstained"] == 12 and s.abstained(2).count() == 2 and "none of the cues" in s.abstained(1).collect()[0]["coverage_note"]
     s.quit()
     assert s.phase == "idle"
     failing = Session(spark, a_log(spark), str(tmp_path / "x"), lambda intent, digest: (Label("x", "w " * 30),))
@@ -389,6 +507,20 @@ def test_session(spark, tmp_path):
     assert failing.phase == "error" and failing.error
 
 
+def test_a_session_samples_by_stratum_and_knows_of_runs(spark, tmp_path):
+    talk = [(i, i * 60_000_000, "u", "tutor_query", f"c{i}", "n", f"q1_{i} loop", None, "tutor", None, None, None) for i in range(6)]
+    runs = [(100 + i, i * 60_000_000 - 1, "u", "autograder_info", None, "n", None, None, None, f"q1_{i}", "false" if i % 2 else "true", None) for i in range(6)]
+    schema = "event_id bigint, us bigint, user_key string, event_type string, conv_id string, notebook string, question string, response string, mode string, grader_id string, success string, notebook_json string"
+    s = Session(spark, spark.createDataFrame(talk + runs, schema), str(tmp_path), lambda intent, digest: (Label("loops", cues="loop"),))
+    s.start("x")
+    assert {r["stratum"] for r in s.review(6).collect()} > {"short conversation · early/seq-fail"} or s.messages().select("stratum").distinct().count() >= 2
+    rows = snapshot.read_labels(spark, f"{s.accept()}/labels.jsonl").collect()
+    assert {r["pre_pattern"] for r in rows} == {"fail-then-ask", "pass-then-ask"} and all(r["attempted"] and r["seq_granularity"] == "question" and r["question_ref"].startswith("q1_") for r in rows)
+    with_runs = s.classifier
+    s.sequence = False
+    assert s.classifier != with_runs
+
+
 def test_profiles_are_reviewed(spark, tmp_path):
     found = Profile("c", (Concept("loops", "repeating"), Concept("plots"), Concept("odd")), (Label("sad"),), (Label("asks"),))
     s = Session(spark, a_log(spark), str(tmp_path), lambda intent, digest: (Label("own", cues="loop"),))
@@ -402,10 +534,22 @@ def test_profiles_are_reviewed(spark, tmp_path):
         s.accept_profile(promoted=["sad"])
     s.profile_draft = found
     got = s.accept_profile({"concepts": ["odd"]}, ["loops"])
+    saved = list((tmp_path / "profiles").glob("*.json"))
+    assert len(saved) == 1 and Profile.load(spark, str(saved[0])) == got and got.taught() == (("plots", ""),)
     assert s.phase == "idle" and got.accepted and [x.name for x in got.layers()] == ["loops", "sad", "asks"] and "loops (repeating)" in got.layers()[0].positive_criteria
     s.start("x")
     s.accept()
     assert [x.name for x in s.schema.labels] == ["own", "loops", "sad", "asks"] and s.schema.parent_version
+    # a profile that breaks the caps is asked for once more
+    said, long = [], Profile("c", (Concept("x", "w " * 21),), (Label("y", positive_criteria="w " * 26),))
+    s.quit()
+    s.explore(lambda digest, materials: said.append(digest) or (long if len(said) == 1 else found))
+    assert len(said) == 2 and said[1].endswith("Keep every field short.") and s.phase == "profile_review" and len(long.oversized()) == 2
+    s.discard_profile()
+    with pytest.raises(ValueError, match="x.description .21w > 20w."):
+        s.explore(lambda digest, materials: long)
+    with pytest.raises(ValueError, match="more than 50 files"):
+        Session(spark, a_log(spark), str(tmp_path), s.draft).explore(lambda digest, materials: found, spark.range(51).selectExpr("CAST(id AS STRING) AS path", "'t' AS text"))
     # a profile that quotes a student is refused, and so is one whose exploration fails
     said = [(i, i, "u", "tutor_query", "c", "n", "i really do not know how to group this table", None, "tutor") for i in range(2)]
     quoting = Session(spark, spark.createDataFrame(said, a_log(spark).schema), str(tmp_path / "q"), s.draft)

@@ -11,25 +11,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tutorlens.operators.profile import todo
 from tutorlens.operators.sampling import KEY
 from tutorlens.params import FORMS, MOVES
 
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
-#: Called with the counts of a finished run: verdicts, messages that failed, and the first error.
-Progress = Callable[[dict], None]
 VERDICT = "chatlog_id bigint, message_index int, label string, applies boolean, rationale string, evidence string"
-STORED = f"{VERDICT}, schema_version string"
 NO_RATIONALE = "(no rationale returned)"
-#: Messages of one call of a provider.
-MESSAGES_A_CALL = 16
-
-
-class LabelingError(RuntimeError):
-    """A provider failed for good; the verdicts of finished messages are kept."""
 
 
 @dataclass(frozen=True)
@@ -44,10 +34,25 @@ class Sampling:
 
 
 def offline(rows: pd.DataFrame) -> pd.DataFrame:
-    """Applies a label to a message that holds one of the label's cue words (a string, separated by commas)."""
+    """Applies a label to a message that holds one of the label's cue words (a string, separated by commas).
+
+    Of a message's coverage it says that no label fits where no cue of any label is held, tells
+    nudges of one or two words from pasted errors and questions, and takes a conversation's
+    opening for a new topic, a rapid message for a response, and any other for the student's own thread.
+    """
     text = rows["text"].fillna("").str.lower()
     hit = [next((c for c in cues.split(",") if c and c in t), "") for t, cues in zip(text, rows["cues"], strict=True)]
-    return pd.DataFrame({"applies": [bool(h) for h in hit], "rationale": [f"mentions {h}" if h else "" for h in hit], "evidence": hit})
+    out = pd.DataFrame({"applies": [bool(h) for h in hit], "rationale": [f"mentions {h}" if h else "" for h in hit], "evidence": hit})
+    if "kind" not in rows:
+        return out
+    form = ["nudge" if len(t.split()) < 3 else "pasted-error" if "traceback" in t or "failing" in t else "authored-question" for t in text]
+    waits = rows["latency_bucket"] if "latency_bucket" in rows else [""] * len(rows)
+    move = [{"conversation-opening": MOVES[1], "rapid": MOVES[0]}.get(w, MOVES[2]) for w in waits]
+    names = rows["concept_names"].fillna("")
+    return out.assign(
+        no_label_fits=[not h for h in hit], note=["" if h else f"none of the cues in {len(t)} characters" for h, t in zip(hit, text, strict=True)], forms=[[f] for f in form], move=move,
+        concepts=[[n for n in own.split(",") if n and n.lower() in t] for own, t in zip(names, text, strict=True)],
+    )
 
 
 def with_retries(ask: Provider, rows: pd.DataFrame, attempts: int = 4, base_seconds: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> pd.DataFrame:
@@ -78,7 +83,7 @@ def _said(frame: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
 def ask(pairs: DataFrame, provider: Provider = offline, attempts: int = 4, base_seconds: float = 2.0) -> DataFrame:
     """Verdicts for (message, label) rows; an empty rationale is said to be missing, evidence is kept where the label applies.
 
-    The provider's last failure fails the job; `label_incrementally` keeps what is finished.
+    The provider's last failure fails the job; `labeling.label_messages` keeps what is finished.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,69 +107,6 @@ def votes(pairs: DataFrame, provider: Provider, sampling: Sampling = Sampling(),
     return every.mapInPandas(run, "run int, chatlog_id bigint, message_index int, label string, applies boolean")
 
 
-def finished(messages: DataFrame, labels: DataFrame, provider: Provider = offline, attempts: int = 4, base_seconds: float = 2.0, each: int = MESSAGES_A_CALL) -> DataFrame:
-    """Verdicts of whole messages for all labels, and `error`, null for verdicts.
-
-    A message is finished when all its labels are. Where a call fails after its retries, its
-    messages are asked once more one by one; the first that fails gives a row with the error and
-    no label, and its task asks for no more. Labels are definitions, a few dozen rows.
-    """
-    defined = labels.toPandas()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), each):
-                part = frame.iloc[i : i + each]
-                pairs = part.merge(defined, how="cross")
-                if not len(pairs):
-                    continue
-                try:
-                    yield _said(pairs, with_retries(provider, pairs, attempts, base_seconds)).assign(error=None)
-                    continue
-                except Exception:  # the messages that can be finished are kept
-                    pass
-                for k in range(len(part)):
-                    one = part.iloc[[k]].merge(defined, how="cross")
-                    try:
-                        yield _said(one, provider(one)).assign(error=None)
-                    except Exception as broken:
-                        out = one[list(KEY)].head(1).assign(label=None, applies=None, rationale=None, evidence=None, error=str(broken) or type(broken).__name__)
-                        yield out
-                        return
-
-    return messages.mapInPandas(run, f"{VERDICT}, error string")
-
-
-def stored(spark: SparkSession, path: str) -> DataFrame:
-    """The verdicts below `path`; none where the folder is missing or empty."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(STORED).parquet(path) if there else spark.createDataFrame([], STORED)
-
-
-def label_incrementally(
-    spark: SparkSession, messages: DataFrame, labels: DataFrame, path: str, schema_version: str, provider: Provider = offline, attempts: int = 4,
-    base_seconds: float = 2.0, each: int = MESSAGES_A_CALL, on_progress: Progress | None = None,
-) -> DataFrame:
-    """Asks only for messages without verdicts of this version below `path`, appends them there, and returns this version's.
-
-    What was finished before a failure is committed before LabelingError is raised, so the next
-    call asks for the rest; verdicts of other versions do not count. A lost executor's tasks run
-    again and their rows are committed once. The counts of the run are observed while it writes.
-    """
-    new = finished(todo(messages, stored(spark, path), schema_version), labels, provider, attempts, base_seconds, each)
-    counts = Observation()
-    failed = F.col("error").isNotNull()
-    seen = new.observe(counts, F.count(F.when(~failed, 1)).alias("verdicts"), F.count(F.when(failed, 1)).alias("failed"), F.min("error").alias("error"))
-    seen.filter(~failed).drop("error").withColumn("schema_version", F.lit(schema_version)).write.mode("append").parquet(path)
-    had = counts.get
-    if on_progress:
-        on_progress(dict(had))
-    if had["failed"]:
-        raise LabelingError(f"{had['failed']} tasks stopped: {had['error']}")
-    return stored(spark, path).filter(F.col("schema_version") == schema_version)
-
-
 def as_maps(long: DataFrame) -> DataFrame:
     """One row per message with maps label -> applies, rationale, evidence, as snapshots keep them."""
     one = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", c)))).alias

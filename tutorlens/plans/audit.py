@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tutorlens.operators.sampling import KEY
 
 
+#: Messages that one annotator judges at most.
+MOST_ANSWERS = 20_000
+
+
 class NotSubmitted(RuntimeError):
     """Verdicts are shown only when the annotator's answers are final."""
 
@@ -27,11 +31,13 @@ def _answers(spark: SparkSession, folder: str, annotator: str):
 def submit(spark: SparkSession, answers: DataFrame, folder: str, annotator: str) -> str:
     """Writes the judged pairs (key, label, applies) as the annotator's final file, once, and returns its path.
 
-    An audit has as many rows as one person judges, so they are written by the driver.
+    An audit has as many messages as one person judges, MOST_ANSWERS at most, so they are written by the driver.
     """
     fs, at = _answers(spark, folder, annotator)
-    rows = answers.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("label", "applies"))).alias("labels")).orderBy(*KEY)
-    said = [{"chatlog_id": r["chatlog_id"], "message_index": r["message_index"], "labels": dict(r["labels"])} for r in rows.collect()]
+    rows = answers.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("label", "applies"))).alias("labels")).limit(MOST_ANSWERS + 1).collect()
+    if len(rows) > MOST_ANSWERS:
+        raise ValueError(f"one annotator's answers are for more than {MOST_ANSWERS} messages")
+    said = [{"chatlog_id": r["chatlog_id"], "message_index": r["message_index"], "labels": dict(r["labels"])} for r in sorted(rows, key=lambda r: (r["chatlog_id"], r["message_index"]))]
     out = fs.create(at, False)  # a second submission fails
     out.write(bytearray(json.dumps({"rows": said, "strata": {}}, sort_keys=True).encode()))
     out.close()

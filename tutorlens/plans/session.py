@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorlens.functions.text import plain_stratum
-from tutorlens.operators import profile, sampling, summary, turns, verdicts
-from tutorlens.params import CRITERION_WORDS, DESCRIPTION_WORDS, Params, content_hash
+from tutorlens.functions import prompts
+from tutorlens.functions.text import plain_stratum, question_ref
+from tutorlens.operators import labeling, profile, sampling, sequences, summary, turns, verdicts
+from tutorlens.params import CRITERION_WORDS, DESCRIPTION_WORDS, FORMS, MOVES, Params, content_hash
 from tutorlens.sources import events, snapshot
 
-
-#: Conversations that a peek reads.
-PEEK_CONVERSATIONS = 40
+#: Conversations that a peek reads, and files of materials that an explorer is given (20,000 characters each).
+PEEK_CONVERSATIONS, MATERIALS = 40, 50
+#: What the facts of test runs are made from; a log without these columns has no such facts.
+RUN_COLUMNS = {"grader_id", "success", "notebook_json"}
 
 
 class PhaseError(RuntimeError):
@@ -56,13 +58,21 @@ def oversized(labels: tuple[Label, ...]) -> list[str]:
     return [f"{x.name}.{f} ({n}w > {cap}w)" for x in labels for f, cap in caps if (n := len(getattr(x, f).split())) > cap]
 
 
+SHORTER = "\nKeep every field short."
+
+
+def _within_caps(draft: Callable[[str], object], said: str, findings: Callable[[object], list[str]]) -> object:
+    """What `draft` returns; where that breaks the caps it is asked again once, then refused."""
+    for text in (said, said + SHORTER):
+        out = draft(text)
+        if not (found := findings(out)):
+            return out
+    raise ValueError("the draft breaks the caps: " + "; ".join(found))
+
+
 def drafted(draft: Callable[[str, str], tuple[Label, ...]], intent: str, digest: str) -> tuple[Label, ...]:
-    """Labels from the drafting function; one that breaks the caps is asked again once, then refused."""
-    for said in (digest, digest + "\nKeep every field short."):
-        labels = draft(intent, said)
-        if not (findings := oversized(labels)):
-            return labels
-    raise ValueError("the draft breaks the caps: " + "; ".join(findings))
+    """Labels from the drafting function, within the caps."""
+    return _within_caps(lambda text: draft(intent, text), digest, oversized)
 
 
 @dataclass(frozen=True)
@@ -94,6 +104,25 @@ class Profile:
         kinds = {"concepts": self.concepts, "affect": self.affect, "intent": self.intent}
         return content_hash({k: [vars(x) for x in v] for k, v in kinds.items()} | {"course": self.course, "accepted": self.accepted})
 
+    def oversized(self) -> list[str]:
+        """Fields with more words than their cap, of concepts and of both layers."""
+        long = [f"{c.name}.description ({n}w > {DESCRIPTION_WORDS}w)" for c in self.concepts if (n := len(c.description.split())) > DESCRIPTION_WORDS]
+        return oversized(self.affect + self.intent) + long
+
+    def taught(self) -> tuple[tuple[str, str], ...]:
+        """Names and descriptions of the concepts that are not labels: facets of a message's coverage."""
+        return tuple((c.name, c.description) for c in self.concepts if not c.promoted)
+
+    def save(self, spark: SparkSession, path: str) -> str:
+        """Writes the profile as JSON, over one that is there, and returns its path."""
+        return snapshot.write_json(spark, path, asdict(self) | {"version": self.version})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Profile:
+        raw = snapshot.read_json_file(spark, path)
+        own = {"concepts": Concept, "affect": Label, "intent": Label}
+        return cls(raw["course"], accepted=raw["accepted"], **{k: tuple(kind(**x) for x in raw[k]) for k, kind in own.items()})
+
     def layers(self) -> tuple[Label, ...]:
         on = tuple(Label(c.name, c.description, c.positive_criteria, c.negative_criteria) for c in self.concepts if c.promoted)
         return on + self.affect + self.intent
@@ -118,6 +147,26 @@ def ensure_distinct(labels: tuple[Label, ...], where: str) -> None:
         raise ValueError(f"label name collision {where}: " + ", ".join(twice))
 
 
+def described(log: DataFrame, found: DataFrame, params: Params = Params(), sequence: bool = True) -> DataFrame:
+    """Student turns of `found` with what is known of them: the turns around, the wait, the mode, the runs, the stratum, and all of it in words.
+
+    With `sequence`, runs and notebooks are taken from `log`; without, nothing is said of them.
+    """
+    t = turns.with_defection(turns.with_latency(turns.with_context(found, params.window_turns), params))
+    t = turns.with_position(t, turns.length_terciles(t)).filter("role = 'student'")
+    ref = question_ref(F.col("text"))
+    if sequence:
+        runs = sequences.bracket_runs(log, params.before_minutes, params.outcome_minutes)
+        t = sequences.message_facts(t, runs, sequences.traceback_flags(log, found), ref)
+    else:
+        none = {"last_run_minutes": "double", "last_run_success": "boolean", "attempted": "boolean", "error_verified": "boolean"}
+        blank = {"pre_pattern": F.lit(""), "seq_granularity": F.lit(""), "last_run_grader": F.lit(""), "snapshot_traceback": F.lit(False)}
+        t = t.withColumn("question_ref", ref).withColumns(blank | {c: F.lit(None).cast(kind) for c, kind in none.items()})
+    t = t.withColumn("message_index", F.col("turn_index").cast("int"))
+    t = t.withColumn("stratum", sequences.stratum(F.col("tercile"), F.col("position"), F.col("pre_pattern"), F.col("defected")))
+    return t.withColumn("shown", labeling.shown(t, params.before_minutes))
+
+
 @dataclass
 class Session:
     spark: SparkSession
@@ -135,6 +184,9 @@ class Session:
     profile: Profile | None = None
     profile_draft: Profile | None = None
     counts: dict = field(default_factory=dict)
+    course: str = ""
+    model: str = "offline"
+    sequence: bool = True
     _again: Callable[[], object] | None = None
 
     def _need(self, *phases: str) -> None:
@@ -177,8 +229,10 @@ class Session:
             self.phase = "exploring"
             _, t = events.fetch(self.log, limit, sample_seed=self.params.seed)
             text = "\n".join(r["digest"] for r in profile.digest(t).orderBy("conv_id").limit(limit).collect())
-            texts = [r["text"] for r in materials.orderBy("path").collect()] if materials is not None else []  # files that a person chose
-            draft = explorer(text, texts)
+            texts = [r["text"] for r in materials.orderBy("path").limit(MATERIALS + 1).collect()] if materials is not None else []
+            if len(texts) > MATERIALS:
+                raise ValueError(f"more than {MATERIALS} files of materials")
+            draft = _within_caps(lambda said: explorer(said, texts), text, Profile.oversized)
             ensure_distilled(draft.artifacts(self.spark), t.filter("role = 'student'").select("text"))
             self.profile_draft, self.turns, self.phase = draft, t, "profile_review"
 
@@ -189,6 +243,7 @@ class Session:
         self._need("profile_review")
         out = self.profile_draft.revised(deleted or {}, promoted or [])
         ensure_distilled(out.artifacts(self.spark), self.turns.filter("role = 'student'").select("text"))
+        out.save(self.spark, f"{self.folder}/profiles/{content_hash(out.course)}.json")
         self.profile, self.profile_draft, self.turns, self.phase = out, None, None, "idle"
         return out
 
@@ -211,22 +266,40 @@ class Session:
         self.phase = "review"
 
     def messages(self) -> DataFrame:
-        t = self.turns.filter("role = 'student'")
-        return t.select("chatlog_id", F.col("turn_index").cast("int").alias("message_index"), "conv_id", "text", "mode", "us")
+        """Student turns with their facts and strata, as a provider is told of them."""
+        m = described(self.log, self.turns, self.params, self.sequence and set(self.log.columns) >= RUN_COLUMNS)
+        return m.drop("turn_index", "role", "student_index", "n_student", "event_id")
 
     def labels(self) -> DataFrame:
-        return self.spark.createDataFrame([(i, x.name, x.cues) for i, x in enumerate(self.schema.labels)], "label_ord int, label string, cues string")
+        rows = [(i, x.name, x.description, x.positive_criteria, x.negative_criteria, x.cues) for i, x in enumerate(self.schema.labels)]
+        return self.spark.createDataFrame(rows, "label_ord int, label string, description string, positive_criteria string, negative_criteria string, cues string")
+
+    @property
+    def classifier(self) -> str:
+        """What verdicts depend on: labels, course, concepts, parameters, model, taxonomies, and the wording of requests. Verdicts of another one are never taken over."""
+        taught = self.profile.taught() if self.profile else ()
+        wording = [prompts.label_request(vars(x) | {"label": x.name}, self.course) for x in self.schema.labels] + [prompts.coverage_request([], self.course, taught)]
+        return content_hash({"schema": self.schema.version, "params": self.params.version, "model": self.model, "wording": wording, "taxonomies": [FORMS, MOVES], "sequence": self.sequence})
+
+    def _label(self, messages: DataFrame) -> DataFrame:
+        """Finished rows of this classifier for `messages`; only those without one are asked for."""
+        rows = labeling.label_messages(
+            self.spark, messages, self.labels(), f"{self.folder}/verdicts", self.classifier, self.provider, base_seconds=self.wait_seconds, on_progress=self.counts.update,
+            course=self.course, concepts=self.profile.taught() if self.profile else (),
+        )
+        return rows.join(messages.select(*sampling.KEY), list(sampling.KEY), "left_semi")
 
     def review(self, n: int = 12) -> DataFrame:
-        """A sample with the labels that apply and why, for the reviewer."""
+        """A sample of every stratum in turn, with the labels that apply and why, for the reviewer. Its verdicts are stored, and count when all is labeled."""
         self._need("review")
-        sample = self.messages().orderBy(sampling.drawn(self.params.seed, *sampling.KEY), *sampling.KEY).limit(n)
-        said = verdicts.ask(verdicts.fan_out(sample, self.labels()), self.provider)
-        applied = said.filter("applies").groupBy(*sampling.KEY).agg(F.array_sort(F.collect_list(F.struct("label", "rationale"))).alias("applied"))
-        return sample.join(applied, list(sampling.KEY), "left")
+        sample = sampling.round_robin(self.messages(), n, self.params.seed)
+        said = self._label(sample)
+        on = F.filter(F.transform(F.map_keys("labels"), lambda k: F.struct(k.alias("label"), F.col("rationales")[k].alias("rationale"), F.col("labels")[k].alias("applies"))), lambda x: x["applies"])
+        applied = said.select(*sampling.KEY, F.array_sort(F.transform(on, lambda x: F.struct(x["label"], x["rationale"]))).alias("applied"), "no_label_fits", "coverage_note")
+        return sample.select(*sampling.KEY, "conv_id", "text", "mode", "us", plain_stratum(F.col("stratum")).alias("stratum")).join(applied, list(sampling.KEY), "left")
 
     def tweak(self, labels: tuple[Label, ...]) -> None:
-        """Another version of the labels, chained to the one before."""
+        """Another version of the labels, chained to the one before; verdicts of the one before do not count for it."""
         self._need("review")
         if findings := oversized(labels):
             raise ValueError("; ".join(findings))
@@ -247,36 +320,51 @@ class Session:
         """
         self._need("review", "error")
         if self.schema is None:
-            raise PhaseError("nothing was drafted yet")
+            raise PhaseError("there is no draft")
         return self._run(self._accept)
 
     def _accept(self) -> str:
         if not (self.schema.parent_version and self.profile and set(self.profile.layers()) <= set(self.schema.labels)):
             self.schema = self.composed()
         self.phase = "mass_labeling"
-        done = verdicts.label_incrementally(self.spark, self.messages(), self.labels(), f"{self.folder}/verdicts", self.schema.version, self.provider, base_seconds=self.wait_seconds, on_progress=self.counts.update)
+        messages = self.messages()
+        done = labeling.with_facts(self._label(messages), messages)
         nested = self.turns.groupBy("conv_id", "chatlog_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "role", "text"))).alias("turns"))
-        manifest = {"schema_version": self.schema.version, "params": self.params.version}
-        path = snapshot.emit(self.spark, f"{self.folder}/snapshots", self.schema.version, {"conversations": nested, "labels": verdicts.as_maps(done)}, {"intent": self.schema.intent, "labels": [vars(x) for x in self.schema.labels]}, manifest)
+        manifest = {"schema_version": self.schema.version, "params": self.params.version, "classifier": self.classifier, "model": self.model, "profile": self.profile.version if self.profile else None}
+        context = {"before_minutes": self.params.before_minutes, "outcome_minutes": self.params.outcome_minutes, "enabled": self.sequence}
+        path = snapshot.emit(self.spark, f"{self.folder}/snapshots", self.schema.version, {"conversations": nested, "labels": done}, {"intent": self.schema.intent, "labels": [vars(x) for x in self.schema.labels]}, manifest | {"sequence_context": context})
         self.phase = "done"
         return path
 
     def back_to_review(self) -> None:
         self._need("done", "error")
         if self.schema is None:
-            raise PhaseError("nothing was drafted yet")
+            raise PhaseError("there is no draft")
         self.phase = "review"
 
+    def _stored(self, *keep: str) -> DataFrame:
+        return labeling.as_long(labeling.stored(self.spark, f"{self.folder}/verdicts", self.classifier), *keep)
+
     def summary(self) -> DataFrame:
         """Counts of the labels of the accepted version."""
         self._need("done")
-        v = verdicts.stored(self.spark, f"{self.folder}/verdicts").filter(F.col("schema_version") == self.schema.version).withColumn("no_label_fits", F.lit(False))
-        return summary.prevalence(v, self.labels())
+        return summary.prevalence(self._stored("no_label_fits"), self.labels())
+
+    def abstentions(self) -> DataFrame:
+        """(abstained, messages, rate) of the accepted version: how often no label fitted."""
+        self._need("done")
+        return summary.abstention(self._stored("no_label_fits"))
+
+    def abstained(self, n: int = 3) -> DataFrame:
+        """The latest messages that no label fits, with the notes about them."""
+        self._need("review", "mass_labeling", "done")
+        rows = labeling.stored(self.spark, f"{self.folder}/verdicts", self.classifier).filter("no_label_fits").select(*sampling.KEY, "coverage_note")
+        return sampling.recent(rows.join(self.messages().select(*sampling.KEY, "text", "us"), list(sampling.KEY)), n)
 
     def examples(self, label: str, n: int = 5) -> DataFrame:
         """Between 1 and 25 random messages that the label applies to."""
         self._need("done")
-        v = verdicts.stored(self.spark, f"{self.folder}/verdicts").filter((F.col("schema_version") == self.schema.version) & (F.col("label") == label) & F.col("applies"))
+        v = self._stored().filter((F.col("label") == label) & F.col("applies"))
         return sampling.example_sample(v.select(*sampling.KEY, "rationale"), self.messages().select(*sampling.KEY, "text"), min(25, max(1, n)), self.params.seed)
 
 

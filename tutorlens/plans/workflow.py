@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutorlens.functions import prompts
-from tutorlens.operators import quality, sampling, summary, verdicts
+from tutorlens.operators import labeling, quality, sampling, summary, turns, verdicts
 from tutorlens.params import Params
 from tutorlens.plans import audit
-from tutorlens.plans.catalogue import AUDIT, ENTROPY, FACTS, HEADS, LOG, SEED, TURNS, VERDICTS, _facts, _flip, query
+from tutorlens.plans.catalogue import AUDIT, BEFORE, ENTROPY, FACTS, HEADS, LATENCY, LOG, SEED, TURNS, VERDICTS, _facts, _flip, query
 from tutorlens.sources import events as E
 from tutorlens.sources import snapshot
 from tutorlens.sources import testdata as D
@@ -48,15 +48,56 @@ def _fails_on_some(rows: pd.DataFrame) -> pd.DataFrame:
     return verdicts.offline(rows)
 
 
-@query(CUED + f" {SAID}")
+CONCEPTS = (("groupby", "splitting tables"), ("question", "exercises"))
+FACETS = CUED + LATENCY + f""", said AS ({SAID}), none AS (SELECT chatlog_id, message_index, bool_and(NOT applies) AS none FROM said GROUP BY ALL),
+facets AS (SELECT t.chatlog_id, t.turn_index AS message_index, n.none AS no_label_fits, CASE WHEN n.none THEN 'none of the cues in ' || length(t.text) || ' characters' ELSE '' END AS coverage_note,
+  CASE WHEN contains(lower(t.text), 'failing') THEN 'pasted-error' ELSE 'authored-question' END AS forms, array_to_string(list_filter(['groupby', 'question'], lambda c: contains(lower(t.text), c)), ',') AS concepts,
+  CASE b.latency_bucket WHEN 'conversation-opening' THEN 'initiates-new-topic' WHEN 'rapid' THEN 'responds-to-tutor' ELSE 'continues-own-thread' END AS move
+  FROM turns t JOIN none n ON n.chatlog_id = t.chatlog_id AND n.message_index = t.turn_index JOIN bucketed b ON b.conv_id = t.conv_id AND b.turn_index = t.turn_index WHERE t.role = 'student')"""
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Student turns with what a provider is told: the turns around them, the wait, the mode."""
+    t = turns.with_latency(turns.with_context(E.assemble_turns(D.log(spark, sf_dir), extra=("k",)))).filter("role = 'student'")
+    m = t.select("chatlog_id", F.col("turn_index").cast("int").alias("message_index"), "text", "k", "mode", "context", "context_after", "latency_seconds", "latency_bucket")
+    return m.withColumn("shown", labeling.shown(m, BEFORE))
+
+
+def _with_facets(rows: DataFrame) -> DataFrame:
+    joined = {c: F.array_join(c, ",") for c in ("forms", "concepts")}
+    return labeling.as_long(rows, "no_label_fits", "coverage_note", "forms", "concepts", "move").withColumns(joined)
+
+
+@query(FACETS + " SELECT s.*, no_label_fits, coverage_note, forms, concepts, move FROM said s JOIN facets USING (chatlog_id, message_index)")
 def labels_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run whose provider fails on some messages, and a second one that asks only for what the first left."""
-    folder, messages, labels = fresh_folder(spark, "verdicts"), settled(_student(spark, sf_dir)), _cued(spark)
+    folder, messages, labels = fresh_folder(spark, "verdicts"), settled(_described(spark, sf_dir)), _cued(spark)
     try:
-        verdicts.label_incrementally(spark, messages, labels, folder, "v1", _fails_on_some, attempts=1)
-    except verdicts.LabelingError:
+        labeling.label_messages(spark, messages, labels, folder, "v1", _fails_on_some, attempts=1, each=4, concepts=CONCEPTS)
+    except labeling.LabelingError:
         pass  # what was finished is stored
-    return verdicts.label_incrementally(spark, messages, labels, folder, "v1").drop("schema_version")
+    return _with_facets(labeling.label_messages(spark, messages, labels, folder, "v1", concepts=CONCEPTS))
+
+
+def _reads_prompts(rows: pd.DataFrame) -> pd.DataFrame:
+    """A provider that looks at nothing but the prompt: whether the turns before a message hold a reply, and what the prompt says of the wait."""
+    waits = [p.split("Wait since the tutor's last turn: ")[1].split("\n")[0] for p in rows["prompt"]]
+    before = [p.split("Turns before:\n")[1].split("\nWait since")[0] for p in rows["prompt"]]
+    return pd.DataFrame({
+        "applies": ["tutor: " in b for b in before], "rationale": waits, "evidence": "",
+        "no_label_fits": [b == "(conversation start)" for b in before], "note": "opening", "move": "responds-to-tutor", "forms": [["nudge", "made up"]] * len(rows),
+    })
+
+
+@query(TURNS + LATENCY + """, w AS (SELECT conv_id, turn_index, chatlog_id, role, count(CASE WHEN role = 'tutor' THEN 1 END) OVER x AS replies, count(*) OVER x AS n FROM turns WINDOW x AS (PARTITION BY conv_id ORDER BY turn_index ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
+SELECT w.chatlog_id, w.turn_index AS message_index, replies > 0 AS applies, CASE WHEN opening THEN '(conversation opening)' WHEN latency_seconds IS NULL THEN '(unknown)' ELSE '(' || latency_bucket || ')' END AS wait, n = 0 AS no_label_fits, CASE WHEN n = 0 THEN 'opening' ELSE '' END AS coverage_note, 'nudge' AS forms
+FROM w JOIN bucketed USING (conv_id, turn_index) WHERE w.role = 'student'""")
+def prompts_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a provider reads in the prompts of messages: context, wait, and typed answers about coverage."""
+    rows = labeling.label_messages(spark, _described(spark, sf_dir), _cued(spark).limit(1), fresh_folder(spark, "verdicts"), "v1", _reads_prompts)
+    long = labeling.as_long(rows, "no_label_fits", "coverage_note", "forms")
+    wait = F.concat(F.lit("("), F.substring_index("rationale", "(", -1))
+    return long.select(*sampling.KEY, "applies", wait.alias("wait"), "no_label_fits", "coverage_note", F.array_join("forms", ",").alias("forms"))
 
 
 def _draws(rows: pd.DataFrame) -> pd.DataFrame:
@@ -115,8 +156,8 @@ FETCHED = TURNS + f", picked AS (SELECT * FROM heads ORDER BY md5('{SEED}:' || c
 @query(FETCHED + " SELECT p.conv_id, p.chatlog_id, p.notebook, p.started_us, count(*) AS n_turns FROM picked p JOIN turns t USING (conv_id) GROUP BY ALL")
 def fetched_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample of 200 heads with their turns; those without turns have counted and are dropped."""
-    heads, turns = E.fetch(D.log(spark, sf_dir), 200, sample_seed=SEED)
-    return heads.join(turns.groupBy("conv_id").agg(F.count("*").alias("n_turns")), "conv_id").select("conv_id", "chatlog_id", "notebook", "started_us", "n_turns")
+    heads, found = E.fetch(D.log(spark, sf_dir), 200, sample_seed=SEED)
+    return heads.join(found.groupBy("conv_id").agg(F.count("*").alias("n_turns")), "conv_id").select("conv_id", "chatlog_id", "notebook", "started_us", "n_turns")
 
 
 @query(LOG + " SELECT event_id, us, CAST(user_key AS VARCHAR) AS user_key, event_type, conv_id, notebook, question, response, mode, grader_id, success, notebook_json FROM log")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABELS = "chatlog_id bigint, message_index int, labels map<string,boolean>, rationales map<string,string>, evidence map<string,string>, no_label_fits boolean, coverage_note string, forms array<string>, concepts array<string>, move string, mode string, pre_pattern string, attempted boolean, error_verified boolean"
+LABELS = "chatlog_id bigint, message_index int, labels map<string,boolean>, rationales map<string,string>, evidence map<string,string>, no_label_fits boolean, coverage_note string, forms array<string>, concepts array<string>, move string, latency_seconds double, latency_bucket string, mode string, defected boolean, question_ref string, pre_pattern string, seq_granularity string, attempted boolean, error_verified boolean"
 AUDIT = "rows array<struct<chatlog_id:bigint,message_index:int,labels:map<string,boolean>,no_label_fits:boolean>>"
 
 
@@ -50,6 +50,15 @@ def emit(spark: SparkSession, folder: str, name: str, tables: dict[str, DataFram
         raise
 
 
+def write_json(spark: SparkSession, path: str, value: dict) -> str:
+    """Writes a small JSON file, a profile or a schema, over one that is there."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(json.dumps(value, sort_keys=True, indent=1).encode()))
+    out.close()
+    return at.toString()
+
+
 def read_json_file(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))  # a schema or manifest
 
@@ -60,7 +69,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(LABELS).json(path)
     fill = {"rationales": "map<string,string>", "evidence": "map<string,string>", "forms": "array<string>", "concepts": "array<string>"}
     df = df.withColumns({c: F.coalesce(c, empty(kind)) for c, kind in fill.items()})
-    return df.withColumn("no_label_fits", F.coalesce("no_label_fits", F.lit(False))).na.fill("", ["coverage_note", "move", "mode", "pre_pattern"])
+    df = df.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("no_label_fits", "defected")})
+    return df.na.fill("", ["coverage_note", "move", "latency_bucket", "mode", "question_ref", "pre_pattern", "seq_granularity"])
 
 
 def read_audit(spark: SparkSession, path: str, annotator: int = 0) -> DataFrame:
