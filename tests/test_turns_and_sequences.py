@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +200,61 @@ def test_jdbc_is_read_in_ranges_with_filters_pushed(spark, monkeypatch, tmp_path
     plan = got.select("user_email")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [*In(EVENT_TYPE" in plan and "PAYLOAD" not in plan.split("ReadSchema")[-1]
     assert E.read_jdbc(spark, url, "EVENTS", bounds=(0, 90), partitions=3, driver=driver).rdd.getNumPartitions() == 3
+
+
+def random_log(spark, seed=0, n=400):
+    """Queries, replies and runs of a few users; one user has two thirds of the runs, some of them at one time."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        user = "hot" if rng.random() < 0.66 else f"u{rng.randrange(3)}"
+        us = rng.randrange(0, 600) * 60_000_000
+        kind = rng.choice(["tutor_query", "tutor_response", "autograder_info", "autograder_info"])
+        asked = rng.choice(["q1 please", "q1_1 fails", "question 1.2", "nothing", "q2_1", ""])
+        rows.append((i, us, user, kind, f"{user}-{us // 9_000_000_000}", rng.choice(["n", "m"]), asked if kind == "tutor_query" else None, "r" if kind == "tutor_response" else None, "tutor", rng.choice(["q1", "q1_1", "q1_1_2", "q1_10", "q2_1", None]) if kind == "autograder_info" else None, rng.choice(["true", "false", None]) if kind == "autograder_info" else None, None))
+    return rows, spark.createDataFrame(rows, LOG)
+
+
+@pytest.mark.parametrize("before,after", [(45, 20), (300, 0), (0, 0)])
+def test_interval_join_meets_every_run_once(spark, before, after):
+    rows, log = random_log(spark)
+    convs, minute = {}, sequences.MINUTE
+    for r in rows:
+        if r[3] == "tutor_query":
+            convs.setdefault((r[4], r[2], r[5]), []).append(r[1])
+    want = Counter()
+    for (conv, user, notebook), times in convs.items():
+        for r in rows:
+            if r[3] == "autograder_info" and r[10] and (r[2], r[5]) == (user, notebook) and min(times) - before * minute <= r[1] <= max(times) + after * minute:
+                want[conv, r[1], r[0]] += 1
+    got = Counter((r["conv_id"], r["run_us"], r["run_id"]) for r in sequences.bracket_runs(log, before, after).collect())
+    assert got == want and (sum(want.values()) > 50 or before < 60)
+    # sweeping windows at once is as good as one join for each
+    windows = [(before, after), (before + 30, after + 200)]
+    one = {}
+    for b, a in windows:
+        for r in sequences.sequences(log, b, a).groupBy("pre", "outcome").count().collect():
+            one[b, a, r["pre"], r["outcome"]] = r["count"]
+    assert {tuple(r)[:4]: r["n"] for r in sequences.window_sweep(log, windows).collect()} == one
+
+
+def test_facts_of_a_turn_come_from_one_order(spark):
+    _, log = random_log(spark, 3)
+    found = sequences.bracket_runs(log, 120, 60)
+    t = E.assemble_turns(log)
+    flags = sequences.traceback_flags(log, t)
+    got = sequences.message_facts(t, found, flags, T.question_ref(F.col("text"))).collect()
+    by_conv = {}
+    for r in found.collect():
+        by_conv.setdefault(r["conv_id"], []).append(r)
+    assert len(got) == t.filter("role = 'student'").count() > 50
+    for r in got:
+        own = by_conv.get(r["conv_id"], [])
+        hits = [x for x in own if r["question_ref"] and x["grader_id"] and (x["grader_id"] == r["question_ref"] or x["grader_id"].startswith(r["question_ref"] + "_"))]
+        pool = [x for x in (hits or own) if x["run_us"] <= r["us"]]
+        last = max(pool, key=lambda x: (x["run_us"], x["run_id"]), default=None)
+        assert r["seq_granularity"] == ("question" if hits else "notebook")
+        assert r["pre_pattern"] == ("ask-first" if last is None else "pass-then-ask" if last["success"] else "fail-then-ask")
+        assert r["last_run_grader"] == ((last["grader_id"] or "") if last else "")
+    plan = sequences.message_facts(t, found, flags, T.question_ref(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    # runs are in the union, and meet turns in no join of their own
+    assert plan.count("Union") == 1 and "run_us" not in "".join(line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Join") and "turn_index" in line)

@@ -41,12 +41,21 @@ def prevalence(verdicts: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def weekly(verdicts: DataFrame, weeks: DataFrame, least_weeks: int = 3) -> DataFrame:
-    """(week, label, label_ord, share): of the messages of each week; empty with fewer populated weeks or with fewer than two labels in use."""
-    dated = verdicts.join(weeks.filter(F.col("week").isNotNull()).select("chatlog_id", "week"), "chatlog_id")
-    in_week = dated.groupBy("week").agg(F.countDistinct(*KEY).alias("n_week"))
-    hits = dated.groupBy("week", "label", "label_ord").agg(F.sum(F.col("applies").cast("bigint")).alias("n"))
-    used = verdicts.filter("applies").agg(F.countDistinct("label").alias("used")).crossJoin(in_week.agg(F.count("*").alias("n_weeks")))
-    out = hits.join(in_week, "week").crossJoin(F.broadcast(used)).filter((F.col("n_weeks") >= least_weeks) & (F.col("used") >= 2))
+    """(week, label, label_ord, share): of the messages of each week; empty with fewer populated weeks or with fewer than two labels in use.
+
+    Verdicts are read once: gathered by message, then counted by week and label, with one more
+    row for each message itself. What follows has a row for each week and label.
+    """
+    own = verdicts.groupBy(*KEY).agg(F.collect_list(F.struct("label", "label_ord", "applies")).alias("v"))
+    dated = own.join(weeks.select("chatlog_id", "week"), "chatlog_id", "left")
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("label_ord"), F.lit(False).alias("applies")))
+    each = dated.select("week", F.explode(F.concat(itself, F.col("v").cast("array<struct<label:string,label_ord:int,applies:boolean>>"))).alias("v")).select("week", "v.*")
+    n = each.groupBy("week", "label", "label_ord").agg(F.sum(F.col("applies").cast("bigint")).alias("n"), F.count("*").alias("k"))
+    in_week = F.max(F.when(F.col("label").isNull(), F.col("k"))).over(Window.partitionBy("week"))
+    every = Window.partitionBy()  # weeks times labels
+    n = n.withColumn("n_week", in_week).withColumn("used", F.size(F.collect_set(F.when(F.col("n") > 0, F.col("label"))).over(every)))
+    n = n.withColumn("n_weeks", F.count(F.when(F.col("label").isNull() & F.col("week").isNotNull(), 1)).over(every))
+    out = n.filter(F.col("week").isNotNull() & F.col("label").isNotNull() & (F.col("n_weeks") >= least_weeks) & (F.col("used") >= 2))
     return out.select("week", "label", "label_ord", (F.col("n") / F.col("n_week")).alias("share"))
 
 

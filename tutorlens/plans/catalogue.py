@@ -16,6 +16,8 @@ from tutorlens.sources import testdata as D
 
 #: Minutes before and after a conversation; the synthetic log is sparse, so its windows are wide.
 BEFORE, AFTER = 1440, 720
+#: Windows of the sweep: the library's own, and wider ones.
+WINDOWS = ((45, 20), (720, 360), (1440, 720))
 SEED = Params.seed
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,15 +82,24 @@ def sequence_runs_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.bracket_runs(D.log(spark, sf_dir), BEFORE, AFTER)
 
 
-@query(SEQUENCES.replace("classed AS", "unused AS") + "".join(f" {'UNION ALL' if i else ''} SELECT {b} AS before_minutes, {a} AS after_minutes, count(*) AS n, count(CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.user_key = c.user_key AND r.notebook = c.notebook AND r.run_us BETWEEN c.t0 - {b * 60_000_000} AND c.t0) THEN 1 END) AS with_run_before FROM convs c" for i, (b, a) in enumerate(((45, 20), (720, 360), (1440, 720)))))
+@query(SEQUENCES.replace("classed AS", "unused AS") + "".join(f" {'UNION ALL' if i else ''} SELECT {b} AS before_minutes, {a} AS after_minutes, count(*) AS n, count(CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.user_key = c.user_key AND r.notebook = c.notebook AND r.run_us BETWEEN c.t0 - {b * 60_000_000} AND c.t0) THEN 1 END) AS with_run_before FROM convs c" for i, (b, a) in enumerate(WINDOWS)))
 def window_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many conversations have a run before them, for several windows: one join with the widest, then counts."""
-    log, out = D.log(spark, sf_dir), None
-    for before, after in ((45, 20), (720, 360), (1440, 720)):
-        s = sequences.sequences(log, before, after).agg(F.count("*").alias("n"), F.count(F.when(F.col("pre") != "ask-first", 1)).alias("with_run_before"))
-        one = s.select(F.lit(before).alias("before_minutes"), F.lit(after).alias("after_minutes"), "n", "with_run_before")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return sequences.runs_before(D.log(spark, sf_dir), WINDOWS)
+
+
+_PLACED = ", ".join(f"({b}, {a})" for b, a in WINDOWS)
+
+
+@query(LOG + BRACKETS + f""", w AS (SELECT * FROM (VALUES {_PLACED}) w(before_minutes, after_minutes)),
+s AS (SELECT w.*, c.*, (SELECT arg_max({{'s': r.success}}, (r.run_us, r.run_id)) FROM runs r WHERE r.user_key = c.user_key AND r.notebook = c.notebook AND r.run_us BETWEEN c.t0 - CAST(w.before_minutes AS BIGINT) * 60000000 AND c.t0) AS last,
+  EXISTS (SELECT 1 FROM runs r WHERE r.user_key = c.user_key AND r.notebook = c.notebook AND r.success = 'true' AND r.run_us BETWEEN c.t1 AND c.t1 + CAST(w.after_minutes AS BIGINT) * 60000000) AS passed,
+  EXISTS (SELECT 1 FROM runs r WHERE r.user_key = c.user_key AND r.notebook = c.notebook AND r.run_us BETWEEN c.t1 AND c.t1 + CAST(w.after_minutes AS BIGINT) * 60000000) AS ran FROM convs c, w)
+SELECT before_minutes, after_minutes, CASE WHEN last.s IS NULL THEN 'ask-first' WHEN last.s = 'false' THEN 'fail-then-ask' ELSE 'pass-then-ask' END AS pre,
+  CASE WHEN passed THEN 'quick-pass' WHEN ran THEN 'fail-after' ELSE 'no-run-after' END AS outcome, count(*) AS n FROM s GROUP BY ALL""")
+def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns and outcomes under several windows, from one join."""
+    return sequences.window_sweep(D.log(spark, sf_dir), WINDOWS)
 
 
 FLAGS = """,
