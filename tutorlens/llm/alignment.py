@@ -21,6 +21,7 @@ import hashlib
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -50,25 +51,34 @@ class Side(NamedTuple):
 
     `quick` cuts texts of characters below U+0100 by ranks of byte strings and gives numbers that
     `quick_ids` turns into ids; it is None where the vocabulary was not proven to allow that.
+    Texts that hold `unless` are not cut so.
     """
 
     token_bytes: list[bytes]
     whole: Callable[[str], list[int]]
     quick: object | None
     quick_ids: np.ndarray
+    unless: str | None
 
     def tokens(self, text: str) -> np.ndarray | None:
         """The ids of the text; None where the joined bytes of its tokens are not the text's."""
-        if self.quick is not None and is_plain(text):
-            return self.quick_ids[self.quick.encode_to_numpy(text, disallowed_special=())]
+        if self.quick is not None and not (self.unless and self.unless in text) and is_plain(text):
+            return self.quick_ids[self.quick.encode_ordinary(text)]
         ids = self.whole(text)
         return np.array(ids, np.uint16) if b"".join([self.token_bytes[i] for i in ids]) == text.encode() else None
 
 
 def is_plain(text: str) -> bool:
-    """Whether all characters are below U+0100 and no run of others than white space, or of white space, is long."""
-    low = text.isascii() or max(text) < "\u0100"
-    return low and max(map(len, text.split()), default=0) <= LONG_RUN and not re.search(rf"\s{{{LONG_RUN}}}", text)
+    """Whether all characters are below U+0100, and no stretch of LONG_RUN of them is without white space or all white space."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    half = LONG_RUN // 2  # a longer run covers one of these stretches
+    return all(_GAP.search(text, i, i + half) and _INK.search(text, i, i + half) for i in range(0, len(text) - half, half))
+
+
+_GAP, _INK = re.compile(r"\s"), re.compile(r"\S")
 
 
 def _ranked(name: str, pattern: str, entries: list[bytes]) -> object:
@@ -100,7 +110,7 @@ def byte_level(path: str) -> Side:
     made = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
     proven = raw["normalizer"] is None and raw["pre_tokenizer"]["type"] == "ByteLevel" and raw["pre_tokenizer"]["use_regex"] and made == list(range(256, 256 + len(merges))) and len(vocabulary) == 256 + len(merges)
     quick = _ranked("a", PIECES_A, known[: len(vocabulary)]) if proven else None
-    return Side(known, lambda text: tokenizer.encode(text, add_special_tokens=False).ids, quick, np.arange(len(known)).astype(np.uint16))
+    return Side(known, lambda text: tokenizer.encode(text, add_special_tokens=False).ids, quick, np.arange(len(known)).astype(np.uint16), None)
 
 
 @functools.lru_cache(maxsize=2)
@@ -109,7 +119,8 @@ def sentence_pieces(path: str) -> Side:
 
     It joins the neighbours that make the best entry first, as byte strings by rank do: first its
     single characters of two bytes, then its longer entries by score. That is proven where no entry
-    crosses a place where texts are cut, and every entry comes back as itself.
+    crosses a place where texts are cut, every entry comes back as itself, and no scores are
+    equal but those of runs of spaces, so texts with such runs are left out.
     """
     import sentencepiece
 
@@ -125,9 +136,11 @@ def sentence_pieces(path: str) -> Side:
     inner = [names[i] for i in entries if "▁" in names[i].lstrip("▁") or "\n" in names[i]]
     # the library puts a space before what it is given
     alone = all(model.encode(names[i][1:].replace("▁", " ")) == [i] for i in entries if names[i].startswith("▁") and len(names[i]) > 1)
-    proven = len(single) == 256 and not inner and alone and len({model.get_score(i) for i in longer}) == len(longer)
+    scores = Counter(model.get_score(i) for i in longer)
+    tied = [known[i] for i in longer if scores[model.get_score(i)] > 1]
+    proven = len(single) == 256 and not inner and alone and not b"".join(tied).strip(b" ")
     quick = _ranked("b", PIECES_B, [bytes([b]) for b in range(256)] + [known[i] for i in order[256:]]) if proven else None
-    return Side(known, lambda text: model.encode(text[1:]) if text else [], quick, np.array(order, np.uint16))
+    return Side(known, lambda text: model.encode(text[1:]) if text else [], quick, np.array(order, np.uint16), "  " if tied else None)
 
 
 @functools.lru_cache(maxsize=2)
@@ -199,15 +212,19 @@ class Sweep:
             return
         if at is not None:
             ea, eb = ea[: np.searchsorted(ea, at, "right")], eb[: np.searchsorted(eb, at, "right")]
-        common = np.intersect1d(ea, eb, assume_unique=True)
+        both = np.sort(np.concatenate([ea, eb]), kind="stable")
+        twice = both[1:] == both[:-1]
+        common = both[1:][twice]
         if not len(common):
             return
         na, nb = (int(np.searchsorted(e, common[-1], "right")) for e in (ea, eb))
         ea, eb, xa, xb = ea[:na], eb[:nb], ia[:na].astype(np.int64), ib[:nb].astype(np.int64)
         self.ends, self.ids = [self.ends[0][na:], self.ends[1][nb:]], [ia[na:], ib[nb:]]
-        every = np.union1d(ea, eb)
-        pairs, times = np.unique((xa[np.searchsorted(ea, every)] << 16 | xb[np.searchsorted(eb, every)]).astype(np.uint32), return_counts=True)
-        self.pairs.append((pairs, times))
+        every = both[:-1][~twice]
+        every = np.append(every[: np.searchsorted(every, common[-1])], common[-1])
+        linked = np.sort((xa[np.searchsorted(ea, every)] << 16 | xb[np.searchsorted(eb, every)]).astype(np.uint32))
+        new = np.flatnonzero(np.concatenate([[True], linked[1:] != linked[:-1]]))
+        self.pairs.append((linked[new], np.diff(new, append=len(linked))))
         # each group's A ids, then its B ids, with what stands before each
         ga, gb = np.searchsorted(common, ea), np.searchsorted(common, eb)
         fa, fb = np.diff(ga, prepend=-1) > 0, np.diff(gb, prepend=-1) > 0
