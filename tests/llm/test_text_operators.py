@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tutorlens.llm import decontaminate, language_id, lm_scoring, mixing, ngram_join, secret_scan, sharding, substring_dedup, token_counts
+from tutorlens.llm import decontaminate, language_id, lm_scoring, mixing, ngram_join, postings, secret_scan, sharding, substring_dedup, token_counts
 from tutorlens.llm.components import components
 from tutorlens.llm.prefix_tree import linked
 from tutorlens.llm.words import shingle_sets, windows, words
@@ -109,8 +110,54 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_ngram_join(spark, seed):
+def small_parts(monkeypatch, on):
+    """Parts so small that they come in coarse ones, and blocks are dealt twice."""
+    if on:
+        monkeypatch.setattr(postings, "PART_BYTES", 500)
+        monkeypatch.setattr(postings, "MOST_PARTS", 5)
+        assert postings.parts_of(400_000).fine > 100
+
+
+def test_a_block_is_packed_into_as_many_rows_at_any_size():
+    rng = np.random.default_rng(0)
+    h, doc = rng.integers(0, 1 << 63, 1 << 18, dtype=np.int64).view(np.uint64) * np.uint64(3), np.sort(rng.integers(0, 900, 1 << 18))
+    low, pos = h.astype(np.uint32), rng.integers(0, 70_000, len(h)).astype(np.uint32)
+    for size in (10**6, 3 * 10**10, 10**13, 10**14):
+        parts = postings.parts_of(size)
+        part = postings.part_of(h, parts)
+        assert parts.total * postings.PART_BYTES >= 0.99 * size and parts.fine < 1 << 16 and part.max() < parts.total
+        packed = postings.pack(0, part, doc, low, pos, fine=parts.fine)
+        assert packed.num_rows <= postings.MOST_PARTS
+        got = [x.tolist() for x in postings.unpack(pa.Table.from_batches([packed]))[:3]]
+        order = np.argsort(part // parts.fine, kind="stable")
+        assert got == [doc[order].tolist(), low[order].tolist(), pos[order].tolist()]
+    assert postings.pack(0, part[:0], doc[:0], low[:0], pos[:0], fine=7).num_rows == 0
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_trees_hold_many_sets_whatever_join_comes_before(spark, broadcast):
+    rng = random.Random(2)
+    base = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(base[: rng.randrange(88, 97)] + [f"n{i}_{j}" for j in range(3)]), "en", "s", 0) for i in range(120)]
+    docs = frame(spark, rows)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 120)] + [(1, i) for i in range(2, 60)], "a bigint, b bigint").repartition(7)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        sets = ngram_join.sets_of(docs, docs.select("doc_id"), 5)
+        read = [[(r["a"], r["chunk"], r["b"]) for r in part] for part in ngram_join.trees(pairs, sets).select("a", "chunk", "b").rdd.glom().collect()]
+        got = {(r["a"], r["b"]) for r in ngram_join.verified(pairs, sets, 80).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    runs = [(x[0], x[1]) for part in read for k, x in enumerate(part) if not k or part[k - 1][:2] != x[:2]]
+    assert sorted(runs) == [(0, 0), (1, 0)] and all(x[2] is None for part in read for k, x in enumerate(part) if not k or part[k - 1][:2] != x[:2])
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    assert got == {(r["a"], r["b"]) for r in pairs.collect() if 100 * len(grams[r["a"]] & grams[r["b"]]) >= 80 * len(grams[r["a"]] | grams[r["b"]])}
+
+
+@pytest.mark.parametrize("seed,small", [(0, False), (1, False), (1, True)])
+def test_ngram_join(spark, monkeypatch, seed, small):
+    small_parts(monkeypatch, small)
     rows = corpus(seed)
     sets = {}
     for i, text, *_ in rows:
@@ -163,8 +210,9 @@ def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.ngram_join(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", [0, 2])
-def test_substring_dedup(spark, seed):
+@pytest.mark.parametrize("seed,small", [(0, False), (2, False), (2, True)])
+def test_substring_dedup(spark, monkeypatch, seed, small):
+    small_parts(monkeypatch, small)
     rows = corpus(seed, 80)
     least = {}
     for i, text, *_ in rows:
@@ -185,9 +233,10 @@ def test_substring_dedup(spark, seed):
 def test_substring_dedup_edges(spark):
     assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
     text = " ".join(f"a{i}" for i in range(20))
-    rows = [(5, text, "en", "s", 0), (5, text, "en", "s", 0), (9, text, "en", "s", 0), (None, text, "en", "s", 0)]
-    got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect())
-    assert got == [(-1, 0), (5, 0), (5, 0), (9, 20)]
+    rows = [(5, text, "en", "s", 0), (5, text, "en", "s", 0), (9, text, "en", "s", 0), (None, text, "en", "s", 0), (None, text, "en", "s", 0)]
+    found = substring_dedup.dedup_substrings(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in found) == [(-1, 0), (-1, 0), (5, 0), (5, 0), (9, 20)]
+    assert all(r["kept"] == text for r in found if r["doc_id"] is None)
     # rows that share an id, but not the text, lose their own repeats only
     other = " ".join(f"b{i}" for i in range(30))
     rows = [(1, text, "en", "s", 0), (9, text + " tail", "en", "s", 0), (9, other, "en", "s", 0), (12, "head " + other, "en", "s", 0)]
@@ -329,7 +378,8 @@ def test_token_counts_are_the_librarys(spark):
     want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(50, None), (51, None), (0, texts[0])]
     got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_tokens", F.lit("x")), path).collect()
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == sorted([*enumerate(want), (50, 0), (51, 0), (0, want[0])])
+    assert sorted((r["doc_id"], r["n_tokens_"]) for r in got) == sorted([*enumerate(want), (50, 0), (51, 0), (0, want[0])]) and all(r["n_tokens"] == "x" for r in got)
+    assert token_counts.token_counts(spark.createDataFrame([], "doc_id bigint, text string"), path).count() == 0
     assert "hello" in token_counts.proven_whole(path)
     monkey = token_counts.MEMO
     try:
@@ -669,6 +719,36 @@ def test_sharding(spark):
     plain = sharding.shard(frame(spark, rows))
     assert plain.columns == [*frame(spark, []).columns, "size", "text_crc32", "old_shard", "block", "shard", "slot"]
     assert sharding.shard(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError, match="without an old shard"):
+        sharding.reshard(sharding.sized(docs).withColumn("__sh_old", F.lit(None).cast("int")), "__sh_size", "__sh_old", "__sh_at", "__sh_key")
+
+
+def test_rows_of_equal_texts_share_a_shard(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(20, 60))) for _ in range(9000)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)] + [(20_000 + i, texts[i // 3], None, None, 0) for i in range(600)] + [(40_000 + i, "one text that a third of all rows have", None, None, 0) for i in range(4800)]
+    got = sharding.shard(frame(spark, rows)).collect()
+    of, load, text = defaultdict(set), Counter(), dict((i, t) for i, t, *_ in rows)
+    for r in got:
+        of[text[r["doc_id"]]].add(r["shard"])
+        load[r["shard"]] += r["size"]
+    assert all(len(of[t]) == 1 for t in texts[:200]) and len(of["one text that a third of all rows have"]) > 10
+    assert max(load.values()) - min(load.values()) < 0.05 * sum(load.values()) / 16
+
+
+def test_moved_bytes_are_near_the_least(spark):
+    """Against every assignment of a few blocks: none that is as even moves fewer bytes by more than a block."""
+    rng = random.Random(9)
+    for _ in range(40):
+        blocks = {(s, b): rng.randrange(1, 60) for s in range(2) for b in range(4)}
+        capacity = sharding.even(sum(blocks.values()), 2)
+        to = sharding.transfers(blocks, capacity)
+        keys = sorted(blocks)
+        missed = lambda at: max(abs(sum(blocks[k] for k, j in zip(keys, at) if j == s) - capacity[s]) for s in range(2))
+        moved = lambda at: sum(blocks[k] for k, j in zip(keys, at) if j != k[0])
+        own = [to[k] for k in keys]
+        least = min(moved(at) for at in itertools.product(range(2), repeat=len(keys)) if missed(at) <= missed(own))
+        assert moved(own) <= least + max(blocks.values())
 
 
 def test_rewrite_touches_only_affected_shards(spark, tmp_path):

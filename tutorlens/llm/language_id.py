@@ -203,6 +203,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with lang_pred and score for every whole text, however long; see `added` for names that clash.
 
     A text that is null or has no letter is `und` with score 0. Only the text is looked at.
+    Rows are kept one by one, repeated ones and null ids included; an empty table stays empty.
     """
     names = added(docs, "lang_pred", "score")
 

@@ -38,6 +38,8 @@ from tutorlens.llm.words import mix, shingle_sets
 WIDTH, PERCENT = 5, 80
 #: Documents of a block that make a shingle count towards the heavy ones; the count at which the order by frequency goes over to that by hash.
 HEAVY, MOST_COUNT = 8, 65_535
+#: Sets of one prefix tree, about, and their bytes at most.
+TREE, TREE_BYTES = 512, 8 << 20
 #: Candidate ids that may be broadcast (about 16 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -129,9 +131,9 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray, width: int, percent: int
                 hot = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
                 if hot.any():
                     w, e = h[hot], d[hot]
-                    yield P.pack(1, P.bucket_of(e, parts), e, (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.full(len(w), MOST_COUNT, np.uint32), P.part_of(w, parts).astype(np.uint32))
+                    yield P.pack(1, P.bucket_of(e, parts), e, (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.full(len(w), MOST_COUNT, np.uint32), P.part_of(w, parts).astype(np.uint32), parts.fine)
                     h, d = h[~hot], d[~hot]
-            yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), P.NONE)
+            yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), P.NONE, fine=parts.fine)
 
         for batch in P.texts(batches):
             sets = list(shingle_sets(batch.column("text"), width))
@@ -153,7 +155,7 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray, width: int, percent: int
         on = common[group]
         d, m, c = d[on], m[on], np.minimum(count[group][on], MOST_COUNT).astype(np.uint32)
         order = np.argsort(d, kind="stable")
-        packed = P.pack(1, P.bucket_of(d[order], parts), d[order], m[order], c[order], np.full(len(d), key[1].as_py(), np.uint32))
+        packed = P.pack(1, P.bucket_of(d[order], parts), d[order], m[order], c[order], np.full(len(d), key[1].as_py(), np.uint32), parts.fine)
         return pa.Table.from_batches([packed], schema=P.SCHEMA)
 
     def gather(rows: pa.Table) -> pa.Table:
@@ -168,8 +170,8 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray, width: int, percent: int
         need = [token[a : a + n - -(-percent * n // 100) + 1] for a, n in zip(new, shared, strict=True)]
         return pa.table({"doc_id": pa.array(doc[new], pa.int64()), "shared": pa.array(shared, pa.int64()), "rarest": pa.array(need, pa.list_(pa.int64()))})
 
-    met = docs.mapInArrow(emit, P.CHUNK).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
-    return met.groupBy("part").applyInArrow(gather, "doc_id bigint, shared bigint, rarest array<bigint>")
+    met = P.dealt(docs.mapInArrow(emit, P.CHUNK), parts).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
+    return P.dealt(met, parts).groupBy("part").applyInArrow(gather, "doc_id bigint, shared bigint, rarest array<bigint>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -183,23 +185,45 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.join(few, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, grams binary")
 
 
+def trees(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, chunk, b, grams) in the order in which `verified` reads them: for each `a` and chunk of its partners the set of `a` first, with null for b, then theirs.
+
+    The partners of one `a` are dealt into chunks of about TREE sets, so a group of any size is
+    spread over tasks, and each chunk is together in one, whatever joins Spark chooses before.
+    """
+    many = pairs.groupBy("a").agg(F.count("*").alias("k"))
+    each = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / TREE)).cast("int").alias("chunk"))
+    theirs = each.join(sets.select(F.col("doc_id").alias("b"), "grams"), "b").select("a", "chunk", "b", "grams")
+    queries = each.select("a", "chunk").distinct().join(sets.select(F.col("doc_id").alias("a"), "grams"), "a")
+    both = theirs.unionByName(queries.select("a", "chunk", F.lit(None).cast("bigint").alias("b"), "grams"))
+    return both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Rows of one `a` come together, and its partners form the prefix tree that `a` walks."""
+    """The pairs (a, b) that link. The partners of one `a` form prefix trees that `a` walks; a task holds one tree, up to 8 MB of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            ours, theirs = batch.column("ga"), batch.column("gb")
-            cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-            found: list[int] = []
-            for i, j in zip(cuts, np.r_[cuts[1:], len(a)] if len(cuts) else cuts, strict=True):
-                query = np.frombuffer(ours[int(i)].as_buffer(), np.uint64)
-                found += [int(i) + k for k in linked(query, [np.frombuffer(theirs[k].as_buffer(), np.uint64) for k in range(int(i), int(j))], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[found], pa.int64()), pa.array(b[found], pa.int64())], ["a", "b"])
+        now, query, members, held = None, None, [], 0
+
+        def walked() -> pa.RecordBatch:
+            found = [members[i][0] for i in linked(query, [m[1] for m in members], percent)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), now[0]), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
 
-    members = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
-    both = members.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a")
-    return both.select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint")
+        for batch in batches:
+            for a, chunk, b, grams in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "b", "grams")), strict=True):
+                own = np.frombuffer(grams, np.uint64)
+                if members and (now != (a, chunk) or held > TREE_BYTES):
+                    yield walked()
+                    members, held = [], 0
+                if b is None:
+                    now, query = (a, chunk), own
+                else:
+                    members.append((b, own))
+                    held += len(grams)
+        if members:
+            yield walked()
+
+    return trees(pairs, sets).mapInArrow(run, "a bigint, b bigint")
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -229,7 +253,6 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     )
     prefixed = settled(prefixed)
 
-
     def fits(x: str, y: str) -> F.Column:
         """Whether a pair can link if this token is its first in common: both must have as much left as the overlap that is asked for."""
         asked = F.ceil((F.col(f"{x}.n") + F.col(f"{y}.n")) * percent / (100 + percent) - 1e-9)

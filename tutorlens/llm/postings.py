@@ -2,13 +2,19 @@
 
 A posting says that a hash occurs in a document at a place. Tasks gather a block of postings,
 deal them by hash into parts, and send one packed row for each part; a part's rows meet in one
-task, are sorted there, and what is found goes back in packed rows dealt by document. Per
-posting this moves six to ten bytes, where a row of its own would take over thirty.
+task, are sorted there, and what is found goes back in packed rows dealt by document.
+
+A part has the postings of about 4 MB of text, so there are more of them the more text there is.
+A block is cut into MOST_PARTS rows at most, 128 postings each: beyond that number, parts come in
+coarse ones of `fine` parts each. Blocks are dealt to the coarse parts, what comes together there is
+gathered to blocks again, and these are dealt to the fine parts by a second shuffle. So a posting
+takes six to ten bytes in a shuffle at any size, and is shuffled once more from 32 GB of text on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,25 +23,39 @@ from pyspark.sql import functions as F
 
 from tutorlens.llm.words import mix
 
-#: A packed row: runs of postings of one document each. `low` are hash bits below those of the part.
-CHUNK = "kind tinyint, part int, docs binary, runs binary, low binary, pos binary, more binary"
-SCHEMA = pa.schema([("kind", pa.int8()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("docs", "runs", "low", "pos", "more")]])
-#: Postings gathered by a task before it packs them, and bytes of text for each part.
-BLOCK, PART_BYTES = 1 << 20, 4 << 20
+#: A packed row: runs of postings of one document each. `low` are hash bits below those of the part; `sub` the fine parts, where `part` is a coarse one.
+CHUNK = "kind tinyint, part int, sub binary, docs binary, runs binary, low binary, pos binary, more binary"
+SCHEMA = pa.schema([("kind", pa.int8()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("sub", "docs", "runs", "low", "pos", "more")]])
+#: Postings gathered by a task before it packs them, bytes of text for each part, and parts that a block is dealt to.
+BLOCK, PART_BYTES, MOST_PARTS = 1 << 20, 4 << 20, 8192
 NONE = np.zeros(0, np.uint8)
 
 
-def parts_for(docs: DataFrame, text: str) -> int:
-    """How many parts hold the postings of these texts: in proportion to their bytes, so a part's size stays the same."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).collect()[0]["n"] or 0
-    return max(64, int(total // PART_BYTES))
+class Parts(NamedTuple):
+    coarse: int
+    fine: int
+
+    @property
+    def total(self) -> int:
+        return self.coarse * self.fine
+
+
+def parts_of(n_bytes: int) -> Parts:
+    """How many parts hold the postings of so many bytes of text: in proportion to them, so a part's size stays the same."""
+    total = max(64, n_bytes // PART_BYTES)
+    fine = -(-total // MOST_PARTS)
+    return Parts(-(-total // fine), fine)
 
 
-def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+def parts_for(docs: DataFrame, text: str) -> Parts:
+    return parts_of(int(docs.agg(F.sum(F.octet_length(text)).alias("n")).collect()[0]["n"] or 0))
 
 
-def bucket_of(docs: np.ndarray, parts: int) -> np.ndarray:
+def part_of(hashes: np.ndarray, parts: Parts) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts.total) >> np.uint64(32)).astype(np.int32)
+
+
+def bucket_of(docs: np.ndarray, parts: Parts) -> np.ndarray:
     return part_of(mix(docs.view(np.uint64)), parts)
 
 
@@ -44,20 +64,58 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint16 if len(a) == 0 or a.max() < 65536 else np.uint32)
 
 
-def pack(kind: int, part: np.ndarray, doc: np.ndarray, low: np.ndarray, pos: np.ndarray, more: np.ndarray = NONE) -> pa.RecordBatch:
-    """One row for each part that occurs. Empty arrays stand for fields that are not used."""
-    order = np.argsort(part, kind="stable")
-    part, doc = part[order], doc[order]
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary for each stretch of `values` between neighbouring bounds; empty ones where there are no values."""
+    offsets = (bounds * values.itemsize if len(values) else np.zeros(len(bounds))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def pack(kind: int, part: np.ndarray, doc: np.ndarray, low: np.ndarray, pos: np.ndarray, more: np.ndarray = NONE, fine: int = 1) -> pa.RecordBatch:
+    """One row for each part that occurs, or for each coarse part where `fine` parts make one. Empty arrays stand for fields that are not used."""
+    coarse = part // fine if fine > 1 else part
+    order = np.argsort(coarse, kind="stable")
+    coarse, doc = coarse[order], doc[order]
+    sub = (part[order] - coarse * fine).astype(np.uint16) if fine > 1 else NONE
     low, pos, more = (x[order] if len(x) else x for x in (low, pos, more))
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-    rows = []
-    for a, b in zip(cuts, np.r_[cuts[1:], len(part)] if len(cuts) else cuts, strict=True):
-        d = doc[a:b]
-        new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        fields = [low[a:b].tobytes(), narrow(pos[a:b]).tobytes() if len(pos) else b"", more[a:b].tobytes()]
-        rows.append((kind, int(part[a]), d[new].tobytes(), np.diff(np.r_[new, b - a]).astype(np.uint32).tobytes(), *fields))
-    columns = zip(*rows, strict=True) if rows else [[] for _ in SCHEMA]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+    n = len(coarse)
+    fresh = np.concatenate([np.ones(min(n, 1), bool), coarse[1:] != coarse[:-1]])
+    cuts = np.flatnonzero(fresh)
+    bounds = np.append(cuts, n)
+    new = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), fresh[1:] | (doc[1:] != doc[:-1])]))
+    runs, at = np.diff(np.append(new, n)).astype(np.uint32), np.searchsorted(new, bounds)
+    fields = [_binary(sub, bounds), _binary(doc[new], at), _binary(runs, at), _binary(low, bounds), _binary(narrow(pos), bounds), _binary(more, bounds)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), kind, np.int8)), pa.array(coarse[cuts].astype(np.int32)), *fields], schema=SCHEMA)
+
+
+def dealt(rows: DataFrame, parts: Parts, more: type = np.uint32) -> DataFrame:
+    """The packed rows with their fine parts: those of coarse parts are gathered to blocks and packed anew. Rows of fine parts stay as they are."""
+    if parts.fine == 1:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[tuple, Block] = {}  # by kind, and by which fields are used
+
+        def flush(key: tuple) -> pa.RecordBatch:
+            part, doc, low, pos, rest = blocks.pop(key).take()
+            return pack(key[0], part, doc, *(x if used else NONE for x, used in zip((low, pos, rest), key[1:], strict=True)))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                sub = row.column("sub")[0].as_py()
+                if not sub:
+                    yield batch.slice(i, 1)
+                    continue
+                doc, low, pos, rest = unpack(row, more)
+                key = (row.column("kind")[0].as_py(), len(low) > 0, len(pos) > 0, len(rest) > 0)
+                part = row.column("part")[0].as_py() * parts.fine + np.frombuffer(sub, np.uint16).astype(np.int32)
+                full = lambda x, t: x if len(x) else np.zeros(len(doc), t)
+                if blocks.setdefault(key, Block()).add(part, doc, full(low, np.uint32), full(pos, np.uint32), full(rest, more)):
+                    yield flush(key)
+        for key in list(blocks):
+            yield flush(key)
+
+    return rows.repartition("part").mapInArrow(run, CHUNK)
 
 
 def unpack(rows: pa.Table, more: type = np.uint32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -74,20 +74,26 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text
     pairs = blobs.withColumn("wanted", wanted).withColumn("body", F.when(F.exists("wanted", lambda w: w["may"]), F.col("body")))
     # copies meet after a map-side step that keeps one row of each blob; bodies of blobs without a hint are already null
     pairs = pairs.groupBy("blob").agg(F.first("body").alias("body"), F.first("wanted").alias("wanted"))
-    todo = pairs.select("blob", "body", F.explode("wanted").alias("w")).select("blob", "w.rule", "w.rule_version", F.when(F.col("w.may"), F.col("body")).alias("body"))
-    if ledger is not None:
-        todo = todo.join(ledger.select("blob", "rule", "rule_version"), ["blob", "rule", "rule_version"], "left_anti")
-    known = {r.name: r for r in rules}
+    if ledger is not None:  # what is known of a blob is one row, so a body is met once, whatever rules are new to it
+        done = ledger.groupBy(F.col("blob").alias("known")).agg(F.collect_set(F.struct("rule", "rule_version")).alias("done"))
+        fresh = F.filter("wanted", lambda w: ~F.coalesce(F.array_contains("done", F.struct(w["rule"], w["rule_version"])), F.lit(False)))
+        pairs = pairs.join(done, F.col("blob") == F.col("known"), "left").withColumn("wanted", fresh).drop("known", "done")
+    pairs = pairs.filter(F.size("wanted") > 0)
+    by_name = {r.name: r for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "body"):
-                spans = [[{"start": a, "end": b} for a, b in find(body, known[rule])] for rule, body in zip(batch.column("rule").to_pylist(), batch.column("body").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, SPANS)], ["blob", "rule", "rule_version", "spans"])
+                rows = [
+                    (blob, w["rule"], w["rule_version"], [{"start": a, "end": b} for a, b in find(body, by_name[w["rule"]])] if w["may"] else [])
+                    for blob, body, wanted in zip(*(batch.column(c).to_pylist() for c in ("blob", "body", "wanted")), strict=True) for w in wanted
+                ]
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), SPANS), strict=True)], ["blob", "rule", "rule_version", "spans"])
 
-    none = F.lit(None).cast("array<struct<start:int,end:int>>")
-    clean = todo.filter(F.col("body").isNull()).select("blob", "rule", "rule_version", F.coalesce(none, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-    return todo.filter(F.col("body").isNotNull()).select("blob", "rule", "rule_version", "body").mapInArrow(run, LEDGER).unionByName(clean)
+    may = F.exists("wanted", lambda w: w["may"])
+    clean = pairs.filter(~may).select("blob", F.explode("wanted").alias("w")).select("blob", "w.rule", "w.rule_version", F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return pairs.filter(may).select("blob", "body", "wanted").mapInArrow(run, LEDGER).unionByName(clean)
 
 
 def extend_ledger(spark: SparkSession, versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -108,7 +114,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def findings_by_path(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`versions` with a column `findings`: array of (start, rank, kind, end) in order of start, then of kind as in `rules`.
 
-    Every path that holds a blob gets its findings. See `added` for a caller's column of that name.
+    Every path that holds a blob gets its findings, repeated rows each their own; null where there
+    are none, as for null and empty texts. See `added` for a caller's column of that name.
     """
     ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     current = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])

@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from tutorlens.llm.tables import added, settled, table
 
 SHARDS, BLOCKS = 16, 256
+#: A text whose rows take more than this part of a shard's share is cut into pieces.
+WHOLE = 64
 #: Rows numbered by one task at a time.
 ROWS_A_RUN = 5_000
 #: Runs of rows whose first slots may be broadcast (a few numbers each, about 10 MB).
@@ -117,17 +119,21 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(rows: DataFrame, size: str, old: str, spread: str, shards: int = SHARDS, capacity: Sequence[int] | None = None, blocks: int = BLOCKS, cost: Sequence[Sequence[float]] | None = None) -> DataFrame:
+def reshard(rows: DataFrame, size: str, old: str, spread: str, order: str, shards: int = SHARDS, capacity: Sequence[int] | None = None, blocks: int = BLOCKS, cost: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """`rows` with __sh_block, __sh_new (the new shard) and __sh_slot (its place there, without gaps from 0).
 
-    `size`, `old` and `spread` name columns: bytes, the old shard's number, and a hash that cuts
-    a shard into blocks. Without `capacity`, all bytes are shared evenly. Numbering runs inside
-    small runs of rows and adds what comes before each run, so no shard is ever sorted as a
-    whole. Rows equal in `spread` and size are interchangeable, and lie in one run. Names that begin with __sh_ are kept for this function; an empty table
+    `size`, `old`, `spread` and `order` name columns: bytes, the old shard's number, a hash that
+    cuts a shard into blocks (rows that are equal in it stay together), and a hash of the row, by
+    which it has its place. Without `capacity`, all bytes are shared evenly. Numbering runs inside
+    small runs of rows and adds what comes before each run, so no shard is ever sorted as a whole.
+    Rows equal in `order` and size are interchangeable, and lie in one run. Rows without an old
+    shard are refused. Names that begin with __sh_ are kept for this function; an empty table
     stays empty.
     """
     cut = rows.withColumn("__sh_block", F.pmod(F.col(spread), F.lit(blocks)).cast("int"))
     counts = cut.groupBy(old, "__sh_block").agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()  # shards x blocks rows
+    if any(r[old] is None for r in counts):
+        raise ValueError("rows without an old shard; give them one first")
     sizes = {(r[old], r["__sh_block"]): r["bytes"] for r in counts}
     capacity = capacity or even(sum(sizes.values()), shards)
     to = transfers(sizes, capacity, cost)
@@ -136,25 +142,35 @@ def reshard(rows: DataFrame, size: str, old: str, spread: str, shards: int = SHA
     # as many runs as a block of its rows needs, however unlike blocks are
     runs = rows.sparkSession.createDataFrame([(r[old], r["__sh_block"], -(-r["n"] // ROWS_A_RUN)) for r in counts], "__sh_from int, __sh_of int, __sh_runs bigint")
     placed = placed.join(F.broadcast(runs), (F.col(old) == F.col("__sh_from")) & (F.col("__sh_block") == F.col("__sh_of"))).drop("__sh_from", "__sh_of")
-    placed = placed.withColumn("__sh_run", F.pmod(F.shiftright(spread, 20), F.col("__sh_runs"))).drop("__sh_runs")
+    placed = placed.withColumn("__sh_run", F.pmod(F.col(order), F.col("__sh_runs"))).drop("__sh_runs")
     run = [old, "__sh_block", "__sh_run"]
     before = placed.groupBy("__sh_new", *run).agg(F.count("*").alias("__sh_n"))
     before = before.select(*[F.col(c).alias(f"{c}__sh_r") for c in run], (F.sum("__sh_n").over(Window.partitionBy("__sh_new").orderBy(*run)) - F.col("__sh_n")).alias("__sh_first"))
-    numbered = placed.withColumn("__sh_place", F.row_number().over(Window.partitionBy(*run).orderBy(spread, size)) - 1)
+    numbered = placed.withColumn("__sh_place", F.row_number().over(Window.partitionBy(*run).orderBy(order, size)) - 1)
     same = [F.col(c) == F.col(f"{c}__sh_r") for c in run]
-    out = numbered.join(F.broadcast(before) if len(counts) * 8 <= BROADCAST_RUNS else before, same[0] & same[1] & same[2])
+    out = numbered.join(F.broadcast(before) if sum(-(-r["n"] // ROWS_A_RUN) for r in counts) <= BROADCAST_RUNS else before, same[0] & same[1] & same[2])
     return out.withColumn("__sh_slot", (F.col("__sh_first") + F.col("__sh_place")).cast("bigint")).drop("__sh_first", "__sh_place", "__sh_run", *[f"{c}__sh_r" for c in run])
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """`docs` with __sh_size (UTF-8 bytes of the text and 1; 1 for null), __sh_crc32, __sh_old by a hash of the id, and __sh_at, a hash of id and text."""
+    """`docs` with __sh_size (UTF-8 bytes of the text and 1; 1 for null), __sh_crc32, __sh_old, __sh_at and __sh_key, a hash of id and text.
+
+    __sh_old and __sh_at, the shard and the block, are hashes of the text, so rows of equal texts
+    are together. Only a text whose rows take more than a 64th of a shard's share, of which there
+    are 64 * shards at most, is cut by ids into pieces of about that size.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({
-        "__sh_size": (F.octet_length(body) + 1).cast("bigint"),
-        "__sh_crc32": F.crc32(body.cast("binary")),
-        "__sh_old": F.pmod(F.xxhash64(F.lit("shard"), F.col(doc_id)), F.lit(shards)).cast("int"),
-        "__sh_at": F.xxhash64(F.lit("block"), F.col(doc_id), F.col(text)),
-    })
+    own = docs.withColumns({
+        "__sh_size": (F.octet_length(body) + 1).cast("bigint"), "__sh_crc32": F.crc32(body.cast("binary")),
+        "__sh_text": F.xxhash64(F.lit("text"), body), "__sh_key": F.xxhash64(F.lit("row"), F.col(doc_id), F.col(text)),
+    })
+    share = F.greatest(F.lit(1.0), F.lit((own.agg(F.sum("__sh_size").alias("n")).collect()[0]["n"] or 0) / (shards * WHOLE)))
+    large = own.groupBy(F.col("__sh_text").alias("__sh_of")).agg(F.sum("__sh_size").alias("n")).filter(F.col("n") > share)
+    large = large.select("__sh_of", F.ceil(F.col("n") / share).alias("__sh_pieces"))
+    cut = own.join(F.broadcast(large), F.col("__sh_text") == F.col("__sh_of"), "left")
+    piece = F.pmod(F.col("__sh_key"), F.coalesce("__sh_pieces", F.lit(1)))
+    old, at = F.pmod(F.xxhash64(F.lit("shard"), "__sh_text", piece), F.lit(shards)).cast("int"), F.xxhash64(F.lit("block"), "__sh_text", piece)
+    return cut.withColumns({"__sh_old": old, "__sh_at": at}).drop("__sh_text", "__sh_of", "__sh_pieces")
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -162,10 +178,11 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
 
     A column of the caller is never replaced: where it has the name of a new one, the new one
     gets an underscore behind its name. A null text has size 1; rows of any length stay whole,
-    so one text larger than a shard's share makes that shard larger.
+    so one text larger than a shard's share makes that shard larger. Rows of equal texts get one
+    shard, unless together they take more than a 64th of a shard's share.
     """
     names = added(docs, "size", "text_crc32", "old_shard", "block", "shard", "slot")
-    out = reshard(sized(docs, doc_id, text, shards), "__sh_size", "__sh_old", "__sh_at", shards)
+    out = reshard(sized(docs, doc_id, text, shards), "__sh_size", "__sh_old", "__sh_at", "__sh_key", shards)
     own = ("__sh_size", "__sh_crc32", "__sh_old", "__sh_block", "__sh_new", "__sh_slot")
     return out.select(*docs.columns, *[F.col(c).alias(n) for c, n in zip(own, names, strict=True)])
 
@@ -179,7 +196,7 @@ def rewrite(spark: SparkSession, source: str, target: str, shards: int, doc_id:
     rows = spark.read.parquet(source).withColumnRenamed("shard", "__sh_was")
     columns = [c for c in rows.columns if c not in ("__sh_was", "slot")]
     rows = sized(rows.drop("slot"), doc_id, text).withColumn("__sh_old", F.col("__sh_was").cast("int"))
-    new = reshard(rows, "__sh_size", "__sh_old", "__sh_at", shards, capacity)
+    new = reshard(rows, "__sh_size", "__sh_old", "__sh_at", "__sh_key", shards, capacity)
     moved = new.filter(F.col("__sh_new") != F.col("__sh_old")).select(F.explode(F.array("__sh_new", "__sh_old")).alias("s")).distinct()
     touched = sorted(r["s"] for r in moved.collect())  # shard numbers only
     old = sorted(r["__sh_old"] for r in rows.select("__sh_old").distinct().collect())
@@ -190,7 +207,7 @@ def rewrite(spark: SparkSession, source: str, target: str, shards: int, doc_id:
 
 def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = reshard(settled(sized(docs).drop("text")), "__sh_size", "__sh_old", "__sh_at")
+    placed = reshard(settled(sized(docs).drop("text")), "__sh_size", "__sh_old", "__sh_at", "__sh_key")
     return placed.select(
         "doc_id", F.col("__sh_size").alias("size"), F.col("__sh_crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
         F.col("__sh_new").alias("shard"), F.col("__sh_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

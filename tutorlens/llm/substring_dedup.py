@@ -37,7 +37,7 @@ def _doc_ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _shared_in_block(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _shared_in_block(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: P.Parts) -> Iterator[pa.RecordBatch]:
     """Kind 1: places already known to be shared, by document. Kind 0: postings that other blocks must see, by hash."""
     order, starts = P.groups([hashes, doc])
     h, d, p = hashes[order], doc[order], pos[order]
@@ -45,15 +45,15 @@ def _shared_in_block(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts
     group = P.spread(first, len(h))
     common = (d[first] != d[np.r_[first[1:], len(h)] - 1])[group]
     if common.any():
-        yield P.pack(1, P.bucket_of(d[common], parts), d[common], P.NONE, p[common])
+        yield P.pack(1, P.bucket_of(d[common], parts), d[common], P.NONE, p[common], fine=parts.fine)
     on = ~common
     on[first] = True
     back = np.argsort(order[on], kind="stable")  # document order again, for longer runs
     h, d, p = h[on][back], d[on][back], p[on][back]
-    yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), p)
+    yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), p, fine=parts.fine)
 
 
-def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, parts: P.Parts) -> DataFrame:
     """(doc_id, anchors): the places of a document's anchors that occur in another document too.
 
     The hashes that decide have 32 bits and those of the part; a chance match only proposes
@@ -83,27 +83,27 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
         common = common[P.spread(starts, len(d))]
         d, p = d[common], pos[order][common]
         order = np.lexsort((p, d))
-        return pa.Table.from_batches([P.pack(1, P.bucket_of(d[order], parts), d[order], P.NONE, p[order])], schema=P.SCHEMA)
+        return pa.Table.from_batches([P.pack(1, P.bucket_of(d[order], parts), d[order], P.NONE, p[order], fine=parts.fine)], schema=P.SCHEMA)
 
-    met = docs.mapInArrow(emit, P.CHUNK).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
-    return P.by_document(met, "anchors")
+    met = P.dealt(docs.mapInArrow(emit, P.CHUNK), parts).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
+    return P.by_document(P.dealt(met, parts), "anchors")
 
 
-def _repeats_in_block(high: np.ndarray, low: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int, marks: bool) -> Iterator[pa.RecordBatch]:
+def _repeats_in_block(high: np.ndarray, low: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: P.Parts, marks: bool) -> Iterator[pa.RecordBatch]:
     """Kind 1: windows that start in a smaller document of this block. Kind 0: those of the block's smallest, for the others."""
     order, _ = P.groups([high, low, doc])
     h, m, d, p = high[order], low[order], doc[order], pos[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])])
     later = d != d[first][P.spread(first, len(d))]
     if later.any():
-        yield P.pack(1, P.bucket_of(d[later], parts), d[later], m[later] if marks else P.NONE, p[later])
+        yield P.pack(1, P.bucket_of(d[later], parts), d[later], m[later] if marks else P.NONE, p[later], fine=parts.fine)
     on = ~later
     back = np.argsort(order[on], kind="stable")
     h, m, d, p = h[on][back], m[on][back], d[on][back], p[on][back]
-    yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), p, m)
+    yield P.pack(0, P.part_of(h, parts), d, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), p, m, parts.fine)
 
 
-def repeated_windows(anchored: DataFrame, parts: int, marks: bool = False) -> DataFrame:
+def repeated_windows(anchored: DataFrame, parts: P.Parts, marks: bool = False) -> DataFrame:
     """(doc_id, repeats): the places of windows that also start in a document with a smaller doc_id; with `marks`, 32 bits of each one's hash too.
 
     `anchored` has doc_id, text and anchors, null for documents without. Only windows that hold a shared anchor are hashed.
@@ -139,10 +139,10 @@ def repeated_windows(anchored: DataFrame, parts: int, marks: bool = False) -> Da
         later = d != np.minimum.reduceat(d, starts)[P.spread(starts, len(d))]
         d, p, m = d[later], pos[order][later], more[order][later]
         order = np.lexsort((p, d))
-        return pa.Table.from_batches([P.pack(1, P.bucket_of(d[order], parts), d[order], m[order] if marks else P.NONE, p[order])], schema=P.SCHEMA)
+        return pa.Table.from_batches([P.pack(1, P.bucket_of(d[order], parts), d[order], m[order] if marks else P.NONE, p[order], fine=parts.fine)], schema=P.SCHEMA)
 
-    met = anchored.mapInArrow(emit, P.CHUNK).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
-    return P.by_document(met, "repeats", marks)
+    met = P.dealt(anchored.mapInArrow(emit, P.CHUNK), parts).groupBy("kind", "part").applyInArrow(meet, P.CHUNK)
+    return P.by_document(P.dealt(met, parts), "repeats", marks)
 
 
 def _marked(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -191,7 +191,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     marks = not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(body).alias("low"), F.max(body).alias("high")).filter("low <> high").isEmpty()
     anchors = settled(shared_anchors(docs, parts))
     # both joins are left joins of the same table on doc_id, so Spark deals out the texts once
-    repeats = repeated_windows(docs.join(anchors, "doc_id", "left"), parts, marks)
+    known = docs.filter("doc_id IS NOT NULL")
+    repeats = repeated_windows(known.join(anchors, "doc_id", "left"), parts, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -201,7 +202,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 n, gone, kept = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(repeats, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    # rows without id meet nothing, and stay where they are
+    alone = docs.filter("doc_id IS NULL").withColumn("repeats", F.lit(None).cast("binary"))
+    alone = alone.withColumn("marks", F.lit(None).cast("binary")) if marks else alone
+    out = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
+    return known.join(repeats, "doc_id", "left").mapInArrow(run, out).unionByName(alone.mapInArrow(run, out))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

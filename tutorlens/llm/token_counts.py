@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorlens.llm.tables import table
+from tutorlens.llm.tables import added, table
 
 #: The vocabulary's own pattern for pre-tokens and its mark for a word's end.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -95,9 +95,10 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
     """`docs` with one more column `out`: the tokens of the whole text.
 
     A null text counts as empty: 0 tokens. Repeated rows and any ids, null included, are kept
-    row by row; a column that already has the name `out` is replaced. Nothing is shuffled.
+    row by row, an empty table stays empty. Nothing is shuffled. See `added` for a caller's column
+    that already has the name `out`.
     """
-    kept = docs.drop(out) if out in docs.columns else docs
+    (out,) = added(docs, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tutorlens.llm.words import slices
@@ -107,8 +108,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
                 texts = batch.column(text).fill_null("").to_pylist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count_texts(texts, path), pa.int64())], [*batch.schema.names, out])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{names}, `{out}` bigint")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{names}, `{out}` bigint")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
