@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tutorlens.functions import text as T
-from tutorlens.operators import sampling, sequences, turns
+from tutorlens.operators import sampling, sequences, sketches, trajectories, turns
 from tutorlens.sources import events as E
+from tutorlens.streaming import sessions
+from tutorlens.streaming.turns import turns_as_they_arrive
 
 MIN, SEC = 60_000_000, 1_000_000
 LOG = "event_id bigint, us bigint, user_key string, event_type string, conv_id string, notebook string, question string, response string, mode string, grader_id string, success string, notebook_json string"
@@ -258,3 +261,119 @@ def test_facts_of_a_turn_come_from_one_order(spark):
     plan = sequences.message_facts(t, found, flags, T.question_ref(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     # runs are in the union, and meet turns in no join of their own
     assert plan.count("Union") == 1 and "run_us" not in "".join(line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Join") and "turn_index" in line)
+
+
+def test_trajectories_group_around_archetypes(spark):
+    rng, names = random.Random(7), ("a", "b", "c")
+    kinds = {"x": "ababababab", "y": "ccccccccc", "z": "abcabcabc"}
+    rows = []
+    for i in range(60):
+        kind = "xxyz"[i % 4]
+        own = list(kinds[kind])
+        if rng.random() < 0.3:
+            own[rng.randrange(len(own))] = rng.choice("abc")
+        rows += [(f"{kind}{i}", t, s) for t, s in enumerate(own)]
+    rows += [("short", 0, "a"), ("gap", 0, "a"), ("gap", 1, None), ("gap", 2, "b"), ("odd", 0, "q"), ("odd", 1, "q")]
+    states = spark.createDataFrame(rows, "conv_id string, turn_index int, state string")
+    # plain Python: the same shares, then the same k-means over all conversations
+    seqs = {}
+    for c, t, s in rows:
+        seqs.setdefault(c, []).append(s)
+    vec = {}
+    for c, own in seqs.items():
+        steps = Counter((a, b) for a, b in zip(own, own[1:]) if a and b)
+        n = sum(steps.values())
+        if any(a in names and b in names for a, b in steps):
+            vec[c] = tuple((2 * 10_000 * steps[a, b] + n) // (2 * n) for a in names for b in names)
+    weight = Counter(vec.values())
+    far = lambda v, cs: min((sum((x - y) ** 2 for x, y in zip(v, c)), i) for i, c in enumerate(cs))
+    cs = [min(weight, key=lambda v: (-weight[v], v))]
+    while len(cs) < 3:
+        cs.append(min(weight, key=lambda v: (-weight[v] * far(v, cs)[0], v)))
+    cs = [list(c) for c in cs]
+    while True:
+        of = {v: far(v, cs)[1] for v in weight}
+        new = []
+        for i, c in enumerate(cs):
+            n = sum(w for v, w in weight.items() if of[v] == i)
+            new.append([(2 * sum(v[j] * w for v, w in weight.items() if of[v] == i) + n) // (2 * n) for j in range(9)] if n else c)
+        if new == cs:
+            break
+        cs = new
+    members, table = trajectories.archetypes(trajectories.transitions(states), names, 3)
+    got = {r["conv_id"]: r for r in members.collect()}
+    assert set(got) == set(vec) and "gap" not in got and "short" not in got and "odd" not in got
+    number = {r: far(vec[c], cs)[1] for c, r in ((c, got[c]["archetype"]) for c in vec)}
+    assert all(number[got[c]["archetype"]] == far(vec[c], cs)[1] and got[c]["distance"] == far(vec[c], cs)[0] for c in vec)
+    assert got["x0"]["archetype"] != got["y2"]["archetype"]
+    rows = table.collect()
+    sizes = {r["archetype"]: r["n"] for r in rows}
+    assert len(rows) == 27 and [sizes[i] for i in sorted(sizes)] == sorted(sizes.values(), reverse=True) and sum(sizes.values()) == len(vec)
+    assert all(got[r["example"]]["archetype"] == r["archetype"] for r in rows)
+    again = trajectories.archetypes(trajectories.transitions(states.repartition(9)), names, 3)
+    assert sorted(map(tuple, again[0].collect())) == sorted(map(tuple, members.collect())) and sorted(map(tuple, again[1].collect())) == sorted(map(tuple, rows))
+    assert trajectories.archetypes(trajectories.transitions(states.limit(0)), names, 3)[0].count() == 0
+    assert len({r["archetype"] for r in trajectories.archetypes(trajectories.transitions(states.filter("conv_id = 'y2'")), names, 3)[0].collect()}) == 1
+
+
+def stream_of(spark, rows, folder, files, kind=LOG):
+    """A stream that reads the rows, shuffled over so many files, one file a batch."""
+    rng = random.Random(1)
+    rows = sorted(rows, key=lambda r: r[1] + rng.randrange(0, 8 * MIN))  # out of order by less than the delay
+    size = -(-len(rows) // files)
+    for i in range(files):
+        spark.createDataFrame(rows[i * size : (i + 1) * size], kind).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def talk(n=300, seed=5):
+    rng, out, us = random.Random(seed), [], 0
+    for i in range(n):
+        us += rng.randrange(1, 5 * MIN)
+        asks = rng.random() < 0.5
+        said = rng.choice(["text", "more", "", None])
+        out.append((i, us, "u", "tutor_query" if asks else "tutor_response", f"c{rng.randrange(4)}", "n", said if asks else None, None if asks else said, rng.choice(["tutor", "chatgpt", "", None]) if asks else None, None, None, None))
+    return out
+
+
+def test_turns_arrive_as_the_batch_has_them(spark, tmp_path):
+    rows = talk()
+    last = rows[-1][1] + 10_000 * MIN
+    end = [(9000 + k, last + k * MIN, "u", "tutor_query", "end", "n", "x", None, "tutor", None, None, None) for k in range(3)]
+    log_ = stream_of(spark, rows + end, str(tmp_path / "in"), 6)
+    turns_as_they_arrive(log_, "10 minutes").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(300)
+    columns = ["conv_id", "chatlog_id", "turn_index", "role", "text", "student_index", "us", "mode", "event_id", "latency_seconds", "latency_bucket", "defected"]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).filter("conv_id <> 'end'").select(columns).collect())
+    batch = turns.with_defection(turns.with_latency(E.assemble_turns(spark.createDataFrame(rows, LOG))))
+    want = sorted(tuple(r) for r in batch.select(columns).collect())
+    assert len(want) > 100 and got == want
+
+
+def test_late_events_are_counted_and_sessions_agree(spark, tmp_path):
+    rows = [(i, us * MIN, u, kind, "c", "n", "q", None, None, None, ok, None) for i, (us, u, kind, ok) in enumerate([(0, "u", "tutor_query", None), (20, "u", "autograder_info", "true"), (49, "u", "tutor_response", None), (90, "u", "tutor_query", None), (5, "v", "autograder_info", "false"), (36, "v", "tutor_query", None)])]
+    by_hand = {("u", 0, 49, 3, 1, 1, 1), ("u", 90, 90, 1, 1, 0, 0), ("v", 5, 5, 1, 0, 1, 0), ("v", 36, 36, 1, 1, 0, 0)}
+    plain = lambda df: {(r["user_key"], r["started_us"] // MIN, r["ended_us"] // MIN, *r[3:]) for r in df.collect()}
+    log_ = spark.createDataFrame(rows, LOG)
+    assert plain(sessions.study_sessions(log_, "30 minutes")) == by_hand
+    assert sessions.study_sessions(log_.withColumn("us", F.lit(None).cast("bigint"))).count() == 0
+    end = [(100, 100_000 * MIN, "w", "tutor_query", "c", "n", "q", None, None, None, None, None)]
+    late = [(101, 10 * MIN, "u", "tutor_query", "c", "n", "q", None, None, None, None, None), (102, 200_000 * MIN, "w", "tutor_query", "c", "n", "q", None, None, None, None, None)]
+    folder = str(tmp_path / "in")
+    for part in (rows, end, late):
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = sessions.study_sessions(stream, "30 minutes", "10 minutes").writeStream.format("memory").queryName("sessions_test").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert {r for r in plain(spark.table("sessions_test")) if r[0] != "w"} == by_hand and sessions.late_rows(query) == 1
+
+
+def test_sketches_merge_within_their_errors(spark):
+    rows = spark.range(60_000).select((F.col("id") % 9000).alias("chatlog_id"), (F.col("id") / 9000).cast("int").alias("message_index"), (F.col("id") % 4).alias("week"), F.when(F.col("id") % 5 > 0, F.col("id") % 1000).cast("double").alias("latency_seconds"))
+    by_week = sketches.sketched(rows.unionByName(rows), "week").cache()
+    assert by_week.count() == 4
+    one = sketches.estimates(sketches.merged(by_week), 0.1, 0.5, 0.9).collect()[0]
+    assert one["n"] == 120_000 and abs(one["n_messages"] - 60_000) <= sketches.COUNT_ERROR * 60_000 and abs(one["n_conversations"] - 9000) <= sketches.COUNT_ERROR * 9000
+    assert all(abs(w - 1000 * r) <= 1000 * sketches.RANK_ERROR + 2 for w, r in zip(one["waits"], (0.1, 0.5, 0.9)))
+    none = sketches.sketched(rows.withColumn("latency_seconds", F.lit(None).cast("double")), "week")
+    assert sketches.estimates(sketches.merged(none), 0.5).collect()[0]["waits"] == [None] and sketches.estimates(by_week, 0.5).filter("week = 1").collect()[0]["waits"][0] is not None

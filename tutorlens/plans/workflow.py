@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutorlens.functions import prompts
-from tutorlens.operators import labeling, quality, sampling, summary, turns, verdicts
+from tutorlens.operators import labeling, quality, sampling, sketches, summary, trajectories, turns, verdicts
 from tutorlens.params import Params
 from tutorlens.plans import audit
 from tutorlens.plans.catalogue import AUDIT, BEFORE, ENTROPY, FACTS, HEADS, LATENCY, LOG, SEED, TURNS, VERDICTS, _facts, _flip, query
@@ -17,6 +17,7 @@ from tutorlens.sources import events as E
 from tutorlens.sources import snapshot
 from tutorlens.sources import testdata as D
 from tutorlens.sources.shared import fresh_folder, settled
+from tutorlens.streaming import sessions
 
 #: Labels of the offline provider with the words that it looks for.
 CUES = (("failing", "keeps failing"), ("lost", "stuck,broken"), ("numbers", "question"))
@@ -239,3 +240,75 @@ def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_seen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct student texts with the event in which each first appears."""
     return sampling.first_seen(E.assemble_turns(D.log(spark, sf_dir)).filter("role = 'student'"), "text", "event_id")
+
+
+#: States of a trajectory: the first label that applies to a message, or none.
+STATES = (*D.LABELS, "other")
+_FIRST = "CASE " + " ".join(f"WHEN k % {n} = 0 THEN '{label}'" for label, n in D.LABELS.items()) + " ELSE 'other' END"
+STEPS = TURNS + f""", placed AS (SELECT conv_id, turn_index, {_FIRST} AS state FROM turns WHERE role = 'student'),
+steps AS (SELECT conv_id, state, next_state, count(*) AS n FROM (SELECT conv_id, state, lead(state) OVER (PARTITION BY conv_id ORDER BY turn_index) AS next_state FROM placed) WHERE next_state IS NOT NULL GROUP BY ALL)"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.coalesce(*[F.when(F.col("k") % n == 0, label) for label, n in D.LABELS.items()], F.lit("other"))
+    return trajectories.transitions(D.messages(spark, sf_dir).select("conv_id", F.col("message_index").alias("turn_index"), state.alias("state")))
+
+
+@query(STEPS + f", total AS (SELECT conv_id, sum(n) AS n FROM steps GROUP BY conv_id) SELECT s.conv_id, s.state, s.next_state, CAST((2 * {trajectories.UNIT} * s.n + t.n) // (2 * t.n) AS BIGINT) AS share FROM steps s JOIN total t USING (conv_id)")
+def trajectory_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of every conversation's transition vector that are not zero, in ten-thousandths."""
+    v = trajectories.vectors(_steps(spark, sf_dir), STATES)
+    names = F.array(*[F.struct(F.lit(a).alias("state"), F.lit(b).alias("next_state")) for a in STATES for b in STATES])
+    return v.select("conv_id", F.posexplode("v").alias("at", "share")).filter("share > 0").select("conv_id", F.get(names, F.col("at"))["state"].alias("state"), F.get(names, F.col("at"))["next_state"].alias("next_state"), "share")
+
+
+@query(None)
+def trajectory_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four archetypes of conversations, with their sizes and most frequent transitions; k-means has no SQL, so plain Python tests it."""
+    return trajectories.archetypes(_steps(spark, sf_dir), STATES, 4)[1].filter("share > 0")
+
+
+@query(STEPS + f", total AS (SELECT conv_id, sum(n) AS n FROM steps GROUP BY conv_id) SELECT count(*) AS conversations, true AS all_placed, true AS nearest FROM total")
+def trajectory_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That every conversation with transitions is in one archetype, and in none that is not the nearest."""
+    members, table = trajectories.archetypes(_steps(spark, sf_dir), STATES, 4)
+    centre = table.groupBy("archetype").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*[F.lit(f"{a}>{b}") for a in STATES for b in STATES]), F.concat("state", F.lit(">"), "next_state")).alias("at"), F.round(F.col("share") * trajectories.UNIT).cast("bigint").alias("x")))), lambda e: e["x"]).alias("c"))
+    own = trajectories.vectors(_steps(spark, sf_dir), STATES).crossJoin(F.broadcast(centre)).groupBy("conv_id").agg(F.min(trajectories._distance(F.col("v"), F.col("c"))).alias("least"))
+    checked = members.join(own, "conv_id", "full")
+    return checked.agg(F.count("*").alias("conversations"), F.bool_and(F.col("archetype").isNotNull()).alias("all_placed"), F.bool_and(F.col("distance") == F.col("least")).alias("nearest"))
+
+
+GAP = 6 * 3600  # seconds; the synthetic log is sparse
+_SESSIONS = f"""cut AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_key ORDER BY us, event_id) <= {GAP * 1_000_000} THEN 0 ELSE 1 END AS fresh FROM log),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_key ORDER BY us, event_id) AS session FROM cut)"""
+
+
+@query(LOG + f""", {_SESSIONS} SELECT user_key, min(us) AS started_us, max(us) AS ended_us, count(*) AS n_events, count(CASE WHEN event_type = 'tutor_query' THEN 1 END) AS n_messages,
+  count(CASE WHEN event_type = 'autograder_info' THEN 1 END) AS n_runs, count(CASE WHEN event_type = 'autograder_info' AND success = 'true' THEN 1 END) AS n_passed FROM numbered GROUP BY user_key, session""")
+def study_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Students' sessions, parted by gaps of more than six hours."""
+    return sessions.study_sessions(D.log(spark, sf_dir), f"{GAP} seconds")
+
+
+@query(TURNS + LATENCY + f""", f AS (SELECT min(started_us) AS first_us FROM heads),
+m AS (SELECT t.chatlog_id, ((h.started_us - f.first_us) // 86400000000) // 7 AS week FROM turns t JOIN heads h USING (chatlog_id), f WHERE t.role = 'student')
+SELECT CAST(week AS BIGINT) AS week, count(*) AS n, true AS messages_hold, true AS conversations_hold, true AS waits_hold FROM m GROUP BY week UNION ALL SELECT NULL, count(*), true, true, true FROM m""")
+def weekly_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by week and, merged from these alone, of all weeks (null): whether their estimates are within the stated errors of the exact values."""
+    log = D.log(spark, sf_dir)
+    t = turns.with_latency(E.assemble_turns(log)).filter("role = 'student'")
+    m = t.select("chatlog_id", F.col("turn_index").alias("message_index"), "latency_seconds").join(turns.conversation_weeks(E.heads(log)).select("chatlog_id", "week"), "chatlog_id")
+    by_week = settled(sketches.sketched(m, "week"))
+    all_weeks = sketches.merged(by_week).withColumn("week", F.lit(None).cast("bigint"))
+    said = sketches.estimates(by_week.unionByName(all_weeks), 0.5)
+    both = m.unionByName(m.withColumn("week", F.lit(None).cast("bigint")))
+    wait = F.get("waits", F.lit(0))
+    # the share of waits below and up to the estimated median shows its rank
+    exact = both.join(said.select(F.col("week").alias("w"), F.col("waits")), F.col("week").eqNullSafe(F.col("w"))).groupBy("week").agg(
+        F.countDistinct("chatlog_id", "message_index").alias("m"), F.countDistinct("chatlog_id").alias("c"),
+        F.avg((F.col("latency_seconds") < wait).cast("double")).alias("below"), F.avg((F.col("latency_seconds") <= wait).cast("double")).alias("upto"),
+    ).withColumnRenamed("week", "w")
+    near = lambda estimate, value: F.abs(F.col(estimate) - F.col(value)) <= F.greatest(F.lit(0.5), sketches.COUNT_ERROR * F.col(value))
+    waits = F.coalesce((F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR), F.lit(True))
+    joined = said.join(exact, F.col("week").eqNullSafe(F.col("w")))
+    return joined.select("week", "n", near("n_messages", "m").alias("messages_hold"), near("n_conversations", "c").alias("conversations_hold"), waits.alias("waits_hold"))
