@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutorlens.functions import prompts
-from tutorlens.operators import labeling, quality, sampling, sketches, summary, trajectories, turns, verdicts
+from tutorlens.operators import clusters, labeling, quality, sampling, sketches, summary, trajectories, turns, verdicts
 from tutorlens.params import Params
 from tutorlens.plans import audit
+from tutorlens.plans.session import accept_profile
 from tutorlens.plans.catalogue import AUDIT, BEFORE, ENTROPY, FACTS, HEADS, LATENCY, LOG, SEED, TURNS, VERDICTS, _facts, _flip, query
 from tutorlens.sources import events as E
 from tutorlens.sources import snapshot
@@ -312,3 +313,45 @@ def weekly_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     waits = F.coalesce((F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR), F.lit(True))
     joined = said.join(exact, F.col("week").eqNullSafe(F.col("w")))
     return joined.select("week", "n", near("n_messages", "m").alias("messages_hold"), near("n_conversations", "c").alias("conversations_hold"), waits.alias("waits_hold"))
+
+
+_BANDS = ", ".join("md5(" + " || '|' || ".join(f"list_min(list_transform(words, lambda w: md5('{b}:{r}:' || w)))" for r in range(clusters.ROWS)) + ")" for b in range(clusters.BANDS))
+
+
+@query(VERDICTS.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1) + f""", m AS (SELECT chatlog_id, message_index, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+'))) AS words FROM verdicts WHERE label_ord = 0 AND no_label_fits),
+t AS MATERIALIZED (SELECT md5(array_to_string(words, ' ')) AS id, words, count(*) AS n FROM m WHERE len(words) > 0 GROUP BY words),
+s AS (SELECT id, words, n, unnest(generate_series(1, {clusters.BANDS})) AS b, unnest([{_BANDS}]) AS signature FROM t),
+d AS (SELECT b, signature, min(id) AS hub FROM s GROUP BY b, signature HAVING sum(n) >= {clusters.LEAST} AND count(*) > 1),
+l AS MATERIALIZED (SELECT DISTINCT d.hub AS a, s.id AS b FROM s JOIN d USING (b, signature) JOIN t h ON h.id = d.hub WHERE s.id <> d.hub AND 100 * len(list_intersect(s.words, h.words)) >= {clusters.PERCENT} * len(list_distinct(list_concat(s.words, h.words)))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT id AS a, id AS c FROM t UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a),
+c AS (SELECT a AS id, min(c) AS cluster FROM r GROUP BY a)
+SELECT cluster, CAST(sum(n) AS BIGINT) AS n_messages, count(*) AS n_texts FROM c JOIN t USING (id) GROUP BY cluster HAVING sum(n) >= {clusters.LEAST}""")
+def abstention_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What messages that no label fits have in common: clusters of like texts."""
+    none = D.messages(spark, sf_dir).filter(D.abstains())
+    return clusters.described(clusters.clusters(none)).select("cluster", "n_messages", "n_texts")
+
+
+def _once_more(rows: pd.DataFrame) -> pd.DataFrame:
+    """A provider that has no answer at the first time of asking."""
+    asked = _once_more.__dict__.setdefault("asked", set())
+    key = (rows["chatlog_id"].iloc[0], rows["message_index"].iloc[0], rows["label"].iloc[0], len(rows))
+    if key not in asked:
+        asked.add(key)
+        raise OSError("busy")
+    return verdicts.offline(rows)
+
+
+@query(CUED + f" {SAID}")
+def labels_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message and label asked of a provider that fails once on each call."""
+    return verdicts.ask(verdicts.fan_out(_student(spark, sf_dir), _cued(spark)), _once_more, base_seconds=0)
+
+
+@query("SELECT n_name AS name, n_regionkey = 1 AS promoted FROM nation WHERE n_regionkey <> 0")
+def profile_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts after a review: some deleted, some promoted."""
+    nation = D.read(spark, sf_dir, "nation")
+    names = {r: [x["n_name"] for x in nation.filter(F.col("n_regionkey") == r).collect()] for r in (0, 1)}
+    return accept_profile(nation.select(F.col("n_name").alias("name")), names[0], names[1])
