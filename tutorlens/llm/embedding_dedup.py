@@ -1,16 +1,17 @@
 """Near-duplicates among embeddings: random-hyperplane hashing, exact cosines, components.
 
-Every vector gets one short code per table, the signs of its products with random hyperplanes.
-Bits and tables follow from the number of vectors: a bucket keeps about the same size at every
-scale, and there are enough tables for a pair right at the threshold to be met with the
-probability `recall`; closer pairs are met more often.
-
-What is dealt out once per table is a vector's id and its sketch, all its signs as bits, never
-the vector. In each bucket, sketches that differ in too many bits for the threshold (seven
-standard deviations beyond what it lets expect) rule a pair out. Vectors are joined only to the
-few ids that are left, each for the first table in which it shares a code with a partner, and
-compared exactly there, in double precision, as blocks of one matrix product. So every pair is
-judged by its cosine once.
+Every vector gets a sketch, the signs of its products with SKETCH random hyperplanes, and one short
+code per table, which is a fixed choice of the sketch's bits. Bits and tables follow from the
+number of vectors: a bucket keeps about the same size at every scale, and there are enough tables
+for a pair right at the threshold to be met with the probability `recall`; closer pairs are met
+more often.
+
+What is dealt out once per table is a vector's id and its sketch, never the vector: 64 bytes at any
+number of tables, as codes follow from it. In each bucket, sketches that differ in too many bits for
+the threshold (seven standard deviations beyond what it lets expect) rule a pair out. Vectors are
+joined only to the few ids that are left, each for the first table in which it shares a code with a
+partner, and compared exactly there, in double precision, as blocks of one matrix product. So every
+pair is judged by its cosine once.
 
 Equal vectors are one class with a multiplicity, so copies cost nothing. A bucket that is large
 is cut into blocks, and every pair of its blocks is dealt out on its own: nothing is dropped, no
@@ -31,31 +32,37 @@ from tutorlens.llm.components import components
 from tutorlens.llm.tables import settled, table
 
 THRESHOLD, RECALL = 0.9, 0.98
+#: Tables at most; 28 bits a code take fewer than half as many for a recall of 0.98 at a cosine of 0.9.
+MOST_TABLES = 2000
 #: Vectors in a usual bucket, and in a block of a large one.
 BUCKET, BLOCK = 64, 1024
-#: Bits of a sketch at least, rows that a task compares at a time, parts at least, and large buckets whose names may be broadcast (about 16 MB).
-SKETCH, ROWS_A_PART, LEAST_PARTS, BROADCAST_BUCKETS = 384, 40_000, 32, 500_000
+#: Bits of a sketch, rows whose signs are made at a time, rows that a task compares at a time, parts at least, and large buckets whose names may be broadcast (about 16 MB).
+SKETCH, SLICE, ROWS_A_PART, LEAST_PARTS, BROADCAST_BUCKETS = 512, 1024, 40_000, 32, 500_000
 
 
 def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
     """Bits of a code and number of tables for n vectors."""
     bits = min(28, max(4, math.ceil(math.log2(max(n, 1) / bucket)) if n > bucket else 4))
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
-
-
-def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
+    # two sketches differ in a binomial number of bits; a table meets if none of its bits is among them
+    p = math.acos(threshold) / math.pi
+    differ = np.arange(SKETCH - bits + 1)
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    chance = np.exp([log(SKETCH, d) + d * math.log(p) + (SKETCH - d) * math.log1p(-p) for d in differ]) if p > 0 else (differ == 0).astype(float)
+    meet = np.exp([log(SKETCH - d, bits) - log(SKETCH, bits) for d in differ])
+    tables = 1
+    while (chance * (1 - (1 - meet) ** tables)).sum() < recall and tables < MOST_TABLES:
+        tables = max(tables + 1, tables * 21 // 20)
+    return bits, tables
 
 
-def width(bits: int, tables: int) -> int:
-    """Signs of a sketch: those of the tables, SKETCH at least."""
-    return bits * max(tables, -(-SKETCH // bits))
+def planes(dim: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((dim, SKETCH))
 
 
-def signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """The signs of each row's products with the hyperplanes, those of the tables first."""
-    return x @ planes(x.shape[1], bits, width(bits, tables) // bits, seed) > 0
+def chosen(bits: int, tables: int, seed: int) -> np.ndarray:
+    """The bits of the sketch that make the code of each table."""
+    rng = np.random.default_rng([seed, bits])
+    return np.stack([rng.choice(SKETCH, bits, replace=False) for _ in range(tables)])
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -77,17 +84,23 @@ def _rows(column: pa.Array, kind: type) -> np.ndarray:
 def coded(classes: DataFrame, kind: type, bits: int, tables: int, seed: int) -> DataFrame:
     """(rep, m, dim, v, sketch, each) from (rep, m, e): the scaled vector, its signs as bits, and its code in each table."""
 
+    which = chosen(bits, tables, seed)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = np.diff(batch.column("e").offsets.to_numpy())
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = scaled(part.column("e").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim))
-                on = signs(x, bits, tables, seed)
-                codes = (on[:, : bits * tables].reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
-                packed = np.packbits(np.pad(on, ((0, 0), (0, -on.shape[1] % 64))), axis=1)
-                columns = [part.column("rep"), part.column("m"), pa.array(np.full(len(x), dim, np.int32)), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "m", "dim", "v", "sketch", "each"])
+        known: dict[int, np.ndarray] = {}  # hyperplanes for each length of vectors
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(k, SLICE)
+                dims = np.diff(batch.column("e").offsets.to_numpy())
+                for dim in np.unique(dims):
+                    part = batch.filter(pa.array(dims == dim))
+                    x = scaled(part.column("e").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim))
+                    if dim not in known:
+                        known[dim] = planes(int(dim), seed)
+                    on = x @ known[dim] > 0
+                    codes = np.stack([(on[:, at].astype(np.int64) << np.arange(bits)).sum(axis=1) for at in which], axis=1)
+                    columns = [part.column("rep"), part.column("m"), pa.array(np.full(len(x), dim, np.int32)), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array([r.tobytes() for r in np.packbits(on, axis=1)], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["rep", "m", "dim", "v", "sketch", "each"])
 
     return classes.mapInArrow(run, "rep bigint, m bigint, dim int, v binary, sketch binary, each array<bigint>")
 
@@ -116,19 +129,24 @@ def _buckets(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 yield int(keys[0][first]), own[side[own] == i[first]], own[side[own] == j[first]]
 
 
-def _fresh(x: np.ndarray, y: np.ndarray, t: int, bits: int) -> np.ndarray:
+def _fresh(x: np.ndarray, y: np.ndarray, t: int, which: np.ndarray) -> np.ndarray:
     """Whether sketches that share their code in table t share none in the tables before."""
-    if t == 0 or not len(x):
-        return np.ones(len(x), bool)
-    bytes_ = -(-t * bits // 8)
-    apart = np.unpackbits((x ^ y).view(np.uint8)[:, :bytes_], axis=1)[:, : t * bits]
-    return apart.reshape(len(x), t, bits).any(axis=2).all(axis=1)
-
-
-def _near(threshold: float, bits: int, n: int):
+    out = np.ones(len(x), bool)
+    alive = np.arange(len(x))
+    apart = np.unpackbits((x ^ y).view(np.uint8), axis=1) if t and len(x) else None
+    for at in which[:t]:  # near copies share a code in the first tables and are soon left out
+        if not len(alive):
+            break
+        fresh = apart[alive][:, at].any(axis=1)
+        out[alive[~fresh]] = False
+        alive = alive[fresh]
+    return out
+
+
+def _near(threshold: float, which: np.ndarray):
     """Of the rows of some buckets, those that may link with another one there and share no code with it in an earlier table."""
     p = math.acos(threshold) / math.pi
-    most = n * p + 7 * math.sqrt(n * p * (1 - p))
+    most = SKETCH * p + 7 * math.sqrt(SKETCH * p * (1 - p))
 
     def run(rows: pa.Table) -> pa.Table:
         sketch = _rows(rows.column("sketch"), np.uint64)
@@ -142,7 +160,7 @@ def _near(threshold: float, bits: int, n: int):
                 if a is b:
                     near &= np.arange(s, s + len(own))[:, None] < np.arange(len(b))[None, :]
                 q, r = np.nonzero(near)
-                keep = _fresh(sketch[own[q]], y[r], t, bits)
+                keep = _fresh(sketch[own[q]], y[r], t, which)
                 on[own[q[keep]]] = True
                 on[b[r[keep]]] = True
         return rows.filter(pa.array(on)).select([*_GROUP, "side", "rep"])
@@ -150,7 +168,7 @@ def _near(threshold: float, bits: int, n: int):
     return run
 
 
-def _compare(threshold: float, kind: type, bits: int):
+def _compare(threshold: float, kind: type, which: np.ndarray):
     """For some buckets: kind 0 are (vector, number of vectors it links with), kind 1 links that join them."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -167,7 +185,7 @@ def _compare(threshold: float, kind: type, bits: int):
                 if a is b:
                     near &= np.arange(s, s + len(near))[:, None] < np.arange(len(b))[None, :]
                 p, q = np.nonzero(near)
-                fresh = _fresh(sketch[a[p + s]], sketch[b[q]], t, bits)
+                fresh = _fresh(sketch[a[p + s]], sketch[b[q]], t, which)
                 np.add.at(count, a[p[fresh] + s], m[b[q[fresh]]])
                 np.add.at(count, b[q[fresh]], m[a[p[fresh] + s]])
                 links.append((a[p + s], b[q]))
@@ -212,6 +230,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     named = settled(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
     n = named.count()
     bits, tables = shape(n, threshold, recall)
+    which = chosen(bits, tables, seed)
     # copies meet after a map-side step that keeps one of each
     classes = good.groupBy("k1", "k2").agg(F.min(F.struct("vec_id", "e")).alias("x"), F.count("*").alias("m")).select("k1", "k2", F.col("x.vec_id").alias("rep"), "m", F.col("x.e").alias("e"))
     codes = settled(coded(classes.select("rep", "m", "e"), kind, bits, tables, seed))
@@ -222,9 +241,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     side, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = cut.withColumn("side", side).withColumn("o", other).select("rep", "sketch", "t", "code", "dim", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side")
     dealt = lambda df, rows: df.withColumn("part", F.pmod(F.xxhash64(*_GROUP), F.lit(max(LEAST_PARTS, rows // ROWS_A_PART)))).groupBy("part")
-    near = settled(dealt(placed, n * tables).applyInArrow(_near(threshold, bits, width(bits, tables)), "t int, code bigint, dim int, i int, j int, side int, rep bigint"))
+    near = settled(dealt(placed, n * tables).applyInArrow(_near(threshold, which), "t int, code bigint, dim int, i int, j int, side int, rep bigint"))
     rows = near.join(codes.select("rep", "m", "v", "sketch"), "rep")
-    found = settled(dealt(rows, 8 * near.count()).applyInArrow(_compare(threshold, kind, bits), "kind tinyint, a bigint, b bigint"))
+    found = settled(dealt(rows, 8 * near.count()).applyInArrow(_compare(threshold, kind, which), "kind tinyint, a bigint, b bigint"))
     counts = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
     joined = components(found.filter("kind = 1").select("a", "b"))
     named = named.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
