@@ -12,8 +12,8 @@ from tutorlens.functions import prompts
 from tutorlens.operators import clusters, labeling, quality, sampling, sketches, summary, trajectories, turns, verdicts
 from tutorlens.params import Params
 from tutorlens.plans import audit
-from tutorlens.plans.session import accept_profile
-from tutorlens.plans.catalogue import AUDIT, BEFORE, ENTROPY, FACTS, HEADS, LATENCY, LOG, SEED, TURNS, VERDICTS, _facts, _flip, query
+from tutorlens.plans.session import Concept, Label, Profile, Session, accept_profile
+from tutorlens.plans.catalogue import AFTER, AUDIT, BEFORE, DEFECT, ENTROPY, FACTS, HEADS, LATENCY, LOG, SEED, TERCILES, TURNS, VERDICTS, WORDS, _facts, _flip, query
 from tutorlens.sources import events as E
 from tutorlens.sources import snapshot
 from tutorlens.sources import testdata as D
@@ -355,3 +355,55 @@ def profile_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = D.read(spark, sf_dir, "nation")
     names = {r: [x["n_name"] for x in nation.filter(F.col("n_regionkey") == r).collect()] for r in (0, 1)}
     return accept_profile(nation.select(F.col("n_name").alias("name")), names[0], names[1])
+
+
+_PLACED = "t.tercile || '/' || CASE WHEN u.student_index < t.n_student / 2.0 THEN 'early' ELSE 'late' END"
+
+
+@query(TURNS.replace("GROUP BY conv_id),\nflagged", "GROUP BY conv_id ORDER BY min(event_id) LIMIT 40),\nflagged") + TERCILES + f""", s AS (SELECT u.chatlog_id, u.turn_index AS message_index, u.text, {_PLACED} AS stratum FROM turns u JOIN terciles t USING (conv_id) WHERE u.role = 'student'),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('{SEED}:' || chatlog_id || ':' || message_index), chatlog_id, message_index) AS rn FROM s)
+SELECT chatlog_id, message_index, text, {WORDS}[split_part(stratum, '/', 1)] || ' · ' || {WORDS}[split_part(stratum, '/', 2)] AS stratum FROM (SELECT * FROM r ORDER BY rn, r.stratum LIMIT 9)""")
+def peeked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session shows before anything is kept: nine messages of its first 40 conversations, a stratum in turn."""
+    return Session(spark, D.log(spark, sf_dir), fresh_folder(spark, "session"), _no_draft).peek(9)
+
+
+def _no_draft(intent: str, digest: str) -> tuple[Label, ...]:
+    return ()
+
+
+def _cue_labels(intent: str, digest: str) -> tuple[Label, ...]:
+    return tuple(Label(name, cues=cues) for name, cues in CUES)
+
+
+@query(FACTS + LATENCY + DEFECT + f""", cued AS (SELECT chatlog_id, turn_index AS message_index, k, c.label, CASE WHEN contains(lower(text), c.one) THEN c.one WHEN contains(lower(text), c.two) THEN c.two ELSE '' END AS evidence
+  FROM turns, (VALUES ('failing', 'keeps failing', 'keeps failing'), ('lost', 'stuck', 'broken'), ('numbers', 'question', 'question')) c(label, one, two) WHERE role = 'student'),
+said AS (SELECT chatlog_id, message_index, coalesce(string_agg(label, ',' ORDER BY label) FILTER (WHERE evidence <> ''), '') AS applied, bool_and(evidence = '') AS no_label_fits FROM cued GROUP BY ALL)
+SELECT f.chatlog_id, f.message_index, applied, no_label_fits, CASE WHEN contains(lower(f.text), 'failing') THEN 'pasted-error' ELSE 'authored-question' END AS forms,
+  CASE b.latency_bucket WHEN 'conversation-opening' THEN 'initiates-new-topic' WHEN 'rapid' THEN 'responds-to-tutor' ELSE 'continues-own-thread' END AS move, f.mode, b.latency_bucket,
+  coalesce(m.mode = 'chatgpt' AND m.mode_before = 'tutor', false) AS defected, question_ref, pre_pattern, seq_granularity, pre_pattern <> 'ask-first' AS attempted, snapshot_traceback OR coalesce(NOT last_run_success, false) AS error_verified
+FROM facts f JOIN said USING (chatlog_id, message_index) JOIN bucketed b ON b.conv_id = f.conv_id AND b.turn_index = f.message_index JOIN modes m ON m.conv_id = f.conv_id AND m.turn_index = f.message_index""")
+def session_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole session: drafted, reviewed on a stratified sample, accepted; the snapshot's label rows with facets and facts."""
+    s = Session(spark, settled(D.log(spark, sf_dir)), fresh_folder(spark, "session"), _cue_labels, params=Params(before_minutes=BEFORE, outcome_minutes=AFTER))
+    s.start("what is hard")
+    s.review(12).count()
+    rows = snapshot.read_labels(spark, f"{s.accept()}/labels.jsonl")
+    joined = {"applied": F.array_join(F.array_sort(verdicts.applied(F.col("labels"))), ","), "forms": F.array_join("forms", ",")}
+    return rows.withColumns(joined).select("chatlog_id", "message_index", "applied", "no_label_fits", "forms", "move", "mode", "latency_bucket", "defected", "question_ref", "pre_pattern", "seq_granularity", "attempted", "error_verified")
+
+
+@query("SELECT item_id, substr(text || chr(10), 1, 200) AS text FROM benchmark")
+def materials_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Course materials, one file each, cut to 200 characters."""
+    folder = fresh_folder(spark, "materials")
+    D.read(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(folder)
+    return snapshot.read_materials(spark, f"{folder}/*", 200).select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("bigint").alias("item_id"), "text")
+
+
+@query("SELECT 'concepts.' || n_name || '.' || field AS where_, CASE field WHEN 'name' THEN n_name WHEN 'description' THEN 'about ' || n_name ELSE '' END AS text FROM nation, (VALUES ('name'), ('description'), ('positive_criteria'), ('negative_criteria')) f(field) UNION ALL SELECT 'course', 'world'")
+def profile_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile saved and loaded, and every string that its explorer wrote."""
+    names = [r["n_name"] for r in D.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    path = Profile("world", tuple(Concept(n, f"about {n}") for n in names)).save(spark, f"{fresh_folder(spark, 'profiles')}/world.json")
+    return Profile.load(spark, path).artifacts(spark).withColumnRenamed("where", "where_")
