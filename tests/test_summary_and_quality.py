@@ -282,6 +282,9 @@ def test_failed_messages_hold_back_no_others(spark, tmp_path):
     assert kept.count() == 398 and not {r["chatlog_id"] for r in kept.collect()} & {17, 203}
     assert (counts["messages"], counts["verdicts"], counts["failed"], counts["total"]) == (398, 796, 2, 400) and "no answer for 17" in counts["error"]
     assert {r["chatlog_id"]: r["times"] for r in labeling.failures(spark, path, "s").collect()} == {17: 1, 203: 1}
+    few = labeling.compacted(spark, path, str(tmp_path / "few"))
+    assert len(list((tmp_path / "few").glob("part-*"))) == 1 < len(list((tmp_path / "v").glob("part-*"))) and labeling.stored(spark, few, "s").count() == 398
+    assert {r["chatlog_id"] for r in labeling.failures(spark, few, "s").collect()} == {17, 203}
     noted, asked = noting(str(tmp_path / "asked"))
     assert ask(noted).count() == 400 and asked() == {17, 203}
     assert labeling.failures(spark, path, "s").count() == 0 and ask(broken).count() == 400

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tutorlens.functions import text as T
-from tutorlens.operators import sampling, sequences, sketches, trajectories, turns
+from tutorlens.operators import clusters, sampling, sequences, sketches, trajectories, turns
+from tutorlens.operators.components import components
 from tutorlens.sources import events as E
 from tutorlens.streaming import sessions
 from tutorlens.streaming.turns import turns_as_they_arrive
@@ -377,3 +378,40 @@ def test_sketches_merge_within_their_errors(spark):
     assert all(abs(w - 1000 * r) <= 1000 * sketches.RANK_ERROR + 2 for w, r in zip(one["waits"], (0.1, 0.5, 0.9)))
     none = sketches.sketched(rows.withColumn("latency_seconds", F.lit(None).cast("double")), "week")
     assert sketches.estimates(sketches.merged(none), 0.5).collect()[0]["waits"] == [None] and sketches.estimates(by_week, 0.5).filter("week = 1").collect()[0]["waits"][0] is not None
+
+
+def test_like_messages_are_a_cluster(spark):
+    """Planted groups come out whole, thin places stay out, and equal texts and word order do not matter."""
+    rng = random.Random(11)
+    kinds = ["how do i merge two tables on a key column", "the kernel died again and my notebook is gone", "can you explain what a p value means here"]
+    rows = []
+    for i in range(90):
+        words = kinds[i % 3].split()
+        if i % 5 == 0:
+            words[rng.randrange(len(words))] = f"odd{i}"
+        if i % 7 == 0:
+            rng.shuffle(words)
+        rows.append((i, 0, " ".join(words).upper() if i % 11 == 0 else " ".join(words)))
+    rows += [(200 + i, 0, f"alone {i} with words{i} of its{i} own{i}") for i in range(20)] + [(300, 0, None), (301, 0, ""), (302, 0, "?!")]
+    m = spark.createDataFrame(rows, "chatlog_id bigint, message_index int, text string")
+    members = clusters.clusters(m.repartition(5))
+    got = {r["chatlog_id"]: r for r in members.collect()}
+    assert len(got) == len(rows) and all(got[i]["cluster"] is None for i in got if i >= 200)
+    names = [{got[i]["cluster"] for i in range(k, 90, 3)} for k in range(3)]
+    assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3 and None not in set.union(*names)
+    assert got[300]["text_id"] is None and got[302]["text_id"] is None
+    told = {r["cluster"]: r for r in clusters.described(members, 2).collect()}
+    assert {r["n_messages"] for r in told.values()} == {30} and all(len(r["examples"]) == 2 and r["n_texts"] < 30 for r in told.values())
+    assert clusters.clusters(m.filter("chatlog_id < 0")).count() == 0 and clusters.clusters(m, least=31).filter("cluster IS NOT NULL").count() == 0
+
+
+def test_components_of_the_core(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(None, 3), (500 + 0, 501)] + [(501 + i, 502 + i) for i in range(30)]
+    least = {x: x for pair in links if None not in pair and pair[0] != pair[1] for x in pair}
+    for _ in range(60):
+        for a, b in links:
+            if a is not None and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == least

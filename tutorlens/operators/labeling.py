@@ -240,3 +240,16 @@ def with_facts(rows: DataFrame, messages: DataFrame) -> DataFrame:
 def shown(messages: DataFrame, before_minutes: int) -> Column:
     """What a prompt says of a message: the turns before it, the wait, the runs, the mode, its text and the reply, where each is known."""
     return prompts.message_block(messages.columns, before_minutes)
+
+
+def compacted(spark: SparkSession, path: str, target: str, rows_a_file: int = 100_000) -> str:
+    """Writes the finished rows and the open failures below `path` to the new folder `target`, in few files, and returns it.
+
+    Tasks leave a small file each; a run may go on below `target`, and `path` is left as it is.
+    """
+    rows = ledger(spark, path)
+    finished = rows.filter("error IS NULL").select(*KEY, "schema_version").distinct()
+    left = rows.filter("error IS NOT NULL").join(finished, [*KEY, "schema_version"], "left_anti").select(rows.columns)
+    every = rows.filter("error IS NULL").unionByName(left)
+    every.repartition(max(1, -(-every.count() // rows_a_file))).write.mode("errorifexists").parquet(target)
+    return target
