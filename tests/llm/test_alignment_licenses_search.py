@@ -111,7 +111,7 @@ def test_alignment_is_that_of_the_libraries(spark, monkeypatch, block, most):
     assert alignment.align(docs.limit(0), *paths()).count() == 0
 
 
-def test_the_sweep_holds_a_block_of_each_side(spark):
+def test_the_sweep_holds_a_block_of_each_side(monkeypatch):
     lengths = np.array([0, 1, 2, 3]), np.array([0, 2, 2, 2])
     sweep, ids = alignment.Sweep(1, 1), lambda *x: np.array(x, np.uint16).tobytes()
     for i in range(200):
@@ -120,6 +120,14 @@ def test_the_sweep_holds_a_block_of_each_side(spark):
         assert max(len(e) for e in sweep.ends) <= 6
     got = sweep.result()
     assert got[2:7] == (1, 600, 600, 400, 800)
+    whole = alignment._unpacked(*got[8:10])
+    few = alignment.Sweep(1, 1)
+    monkeypatch.setattr(alignment, "GATHERED", 5)
+    for i in range(200):
+        few.take(6 * i, 0, ids(3, 1, 2), lengths)
+        few.take(6 * i, 1, ids(1, 2, 3), lengths)
+        assert sum(len(p) for p, _ in few.pairs) <= 8
+    assert all(np.array_equal(x, y) for x, y in zip(whole, alignment._unpacked(*few.result()[8:10]))) and whole[1].sum() == 800
     assert got[7] == hashlib.sha256(";".join(["3,1|1,2", "2|3"] * 200).encode()).hexdigest()
 
 

@@ -191,7 +191,7 @@ class Sweep:
         self.copies, self.n, self.groups, self.links = 0, [0, 0], 0, 0
         self.seen: tuple[int, int] | None = None
         self.ends, self.ids = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.uint16)] * 2
-        self.sha, self.pairs = hashlib.sha256(), []
+        self.sha, self.pairs, self.held = hashlib.sha256(), [], 0
 
     def take(self, at: int, side: int, ids: bytes, lengths: tuple[np.ndarray, np.ndarray]) -> None:
         if (at, side) == (0, 0):
@@ -225,6 +225,9 @@ class Sweep:
         linked = np.sort((xa[np.searchsorted(ea, every)] << 16 | xb[np.searchsorted(eb, every)]).astype(np.uint32))
         new = np.flatnonzero(np.concatenate([[True], linked[1:] != linked[:-1]]))
         self.pairs.append((linked[new], np.diff(new, append=len(linked))))
+        self.held += len(new)
+        if self.held > GATHERED:
+            self.merge()
         # each group's A ids, then its B ids, with what stands before each
         ga, gb = np.searchsorted(common, ea), np.searchsorted(common, eb)
         fa, fb = np.diff(ga, prepend=-1) > 0, np.diff(gb, prepend=-1) > 0
@@ -236,14 +239,18 @@ class Sweep:
         self.groups += len(common)
         self.links += len(every)
 
+    def merge(self) -> None:
+        """Keeps each distinct pair once."""
+        pairs, at = np.unique(np.concatenate([p for p, _ in self.pairs]), return_inverse=True)
+        self.pairs, self.held = [(pairs, np.bincount(at, np.concatenate([t for _, t in self.pairs])).astype(np.int64))], 0
+
     def result(self) -> tuple:
         self.upto(None)
         if not self.groups:
             return (*self.key, self.copies, 0, 0, 0, 0, "", b"", b"")
-        pairs, times = self.pairs[0]
         if len(self.pairs) > 1:
-            pairs, at = np.unique(np.concatenate([p for p, _ in self.pairs]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([t for _, t in self.pairs])).astype(np.int64)
+            self.merge()
+        pairs, times = self.pairs[0]
         return (*self.key, self.copies, *self.n, self.groups, self.links, self.sha.hexdigest(), np.diff(pairs, prepend=np.uint32(0)).tobytes(), narrow(times).tobytes())
 
 
