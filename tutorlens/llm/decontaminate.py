@@ -88,8 +88,10 @@ def window_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     met = settled(met.join(grams.select("hash", "gram").distinct(), ["hash", "gram"], "left_semi"))
     of = ["__dc_id", "__dc_key"]
     spans = met.groupBy(*of).agg(F.collect_set(F.struct("pos", "width")).alias("__dc_spans"))
-    # a window that many items share is joined once for each document, not for each of its places
-    own = met.select(*of, "hash", "gram").distinct().join(grams.select("hash", "gram", "item"), ["hash", "gram"]).groupBy(*of).agg(F.collect_set("item").alias("__dc_items"))
+    # the items of a window are gathered first, and a set of items that many windows have goes to a document once
+    sets = settled(grams.groupBy("hash", "gram").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set", F.md5(F.array_join("items", "\x1f"))))
+    of_sets = met.select(*of, "hash", "gram").distinct().join(sets.select("hash", "gram", "set"), ["hash", "gram"]).select(*of, "set").distinct()
+    own = of_sets.join(sets.select("set", "items").dropDuplicates(["set"]), "set").groupBy(*of).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("__dc_items"))
     own = own.select(F.col("__dc_id").alias("__dc_i"), F.col("__dc_key").alias("__dc_k"), "__dc_items")
     return settled(spans.join(own, F.col("__dc_id").eqNullSafe(F.col("__dc_i")) & (F.col("__dc_key") == F.col("__dc_k"))).drop("__dc_i", "__dc_k"))
 
