@@ -328,6 +328,25 @@ def test_an_answer_is_whole(spark, tmp_path):
     assert len(rows) == 5 and all(set(r["labels"]) == {"loops", "tens"} and r["forms"] and r["move"] for r in rows)
 
 
+def test_requests_of_many_calls_are_written_together(monkeypatch):
+    frames, real = [], labeling.requests
+    monkeypatch.setattr(labeling, "requests", lambda messages, *rest: frames.append(len(messages)) or real(messages, *rest))
+    asked = []
+
+    def fives_fail(rows):
+        asked.append(len(rows) // 3)
+        if (rows["chatlog_id"] % 10 == 5).any():
+            raise OSError("no fives")
+        return verdicts.offline(rows)
+
+    m = pd.DataFrame([(i, 0, f"loop {i}") for i in range(512)], columns=["chatlog_id", "message_index", "text"])
+    out = pd.concat(labeling._in_calls(iter([m.iloc[:256], m.iloc[256:]]), pd.DataFrame(LOOPS, columns=["label", "cues"]), fives_fail, 1, 0, 4, "", (), lambda name, n: None))
+    assert out["chatlog_id"].tolist() == list(range(512)) and out[out["error"].notna()]["chatlog_id"].tolist() == list(range(5, 512, 10))
+    assert all(r["labels"] == {"loops": True, "tens": "1" in str(r["chatlog_id"])} for r in out[out["error"].isna()].to_dict("records"))
+    # the provider is asked for four messages at once, or for one; the frames that it is given from are few
+    assert set(asked) == {1, 4} and len(asked) > 128 and frames == [256, 256]
+
+
 def test_a_run_that_is_cut_keeps_finished_tasks_and_shows_them(spark, tmp_path):
     m, labels = many(spark, 48)
     path, gate, seen = str(tmp_path / "v"), str(tmp_path / "gate"), []

@@ -30,6 +30,8 @@ STORED = f"{ANSWERS}, schema_version string"
 ANSWER_COLUMNS = (*KEY, "labels", "rationales", "evidence", "no_label_fits", "coverage_note", "forms", "concepts", "move", "error")
 #: Messages of one call of a provider, and of one task; the most tasks of a run; failures one after the other at which a task ends.
 MESSAGES_A_CALL, MESSAGES_A_TASK, MOST_TASKS, FAILURES_IN_A_ROW = 16, 256, 50_000, 5
+#: Requests that are written together, whatever a call takes of them: making a frame costs far more than its rows.
+REQUESTS_TOGETHER = 1024
 #: Failed messages that an error names, and seconds between two looks at the counts.
 NAMED, LOOK_SECONDS = 10, 0.5
 LABEL, COVERAGE = "label", "coverage"
@@ -55,28 +57,77 @@ def requests(messages: pd.DataFrame, labels: pd.DataFrame, course: str = "", con
     return rows.assign(prompt=[f"{by_label.get(name, coverage) if kind == LABEL else coverage}\n\n{said}" for kind, name, said in zip(rows["kind"], rows["label"], shown, strict=True)])
 
 
-def assembled(asked: pd.DataFrame, said: pd.DataFrame, n: int) -> pd.DataFrame:
-    """One row for each message from the answers to `requests`, which come in its order, n to a message.
+def assembled(asked: pd.DataFrame, said: pd.DataFrame, n: int) -> list[dict]:
+    """The answers of each message, without its key, from the answers to `requests`, which come in its order, n to a message.
 
     A label's row needs `applies` and may have a rationale and evidence; a coverage row may have
     no_label_fits, note, forms, concepts and move. A frame of another length is refused.
     """
     if len(said) != len(asked) or len(asked) % n:
         raise ValueError(f"{len(said)} answers to {len(asked)} requests")
-    rows = [r | {"label": name} for r, name in zip(said.to_dict("records"), asked["label"], strict=True)]
     text = lambda x: x if isinstance(x, str) else ""
     listed = lambda x: [str(i) for i in x] if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else []
+    column = lambda c: said[c].tolist() if c in said else [None] * len(said)
+    names, applies = asked["label"].tolist(), said["applies"].tolist()
+    why, spans = ([text(x) for x in column(c)] for c in ("rationale", "evidence"))
+    none, note, forms, concepts, move = (column(c) for c in ("no_label_fits", "note", "forms", "concepts", "move"))
     out = []
-    for i in range(0, len(rows), n):
-        *own, coverage = rows[i : i + n]
+    for i in range(0, len(names), n):
+        last = i + n - 1
+        own = range(i, last)
         out.append({
-            "labels": {r["label"]: bool(r["applies"]) for r in own},
-            "rationales": {r["label"]: text(r.get("rationale")) or NO_RATIONALE for r in own},
-            "evidence": {r["label"]: text(r.get("evidence")) for r in own if r["applies"] and text(r.get("evidence"))},
-            "no_label_fits": coverage.get("no_label_fits") in (True, 1), "coverage_note": text(coverage.get("note")),
-            "forms": listed(coverage.get("forms")), "concepts": listed(coverage.get("concepts")), "move": text(coverage.get("move")), "error": None,
+            "labels": {names[k]: bool(applies[k]) for k in own},
+            "rationales": {names[k]: why[k] or NO_RATIONALE for k in own},
+            "evidence": {names[k]: spans[k] for k in own if applies[k] and spans[k]},
+            "no_label_fits": none[last] in (True, 1), "coverage_note": text(note[last]),
+            "forms": listed(forms[last]), "concepts": listed(concepts[last]), "move": text(move[last]), "error": None,
         })
-    return pd.concat([asked[list(KEY)].iloc[::n].reset_index(drop=True), pd.DataFrame(out)], axis=1)
+    return out
+
+
+def _in_calls(
+    frames: Iterator[pd.DataFrame], defined: pd.DataFrame, provider: Provider, attempts: int, base_seconds: float, each: int, course: str, concepts: tuple[tuple[str, str], ...], add: Callable[[str, int], None],
+) -> Iterator[pd.DataFrame]:
+    """A frame of ANSWERS for the messages of several calls, each of `each` messages; requests and answers are put into frames for all of them together."""
+    n = len(defined) + 1
+    together = max(1, REQUESTS_TOGETHER // (n * each)) * each
+    in_a_row = 0
+    for frame in frames:
+        for i in range(0, len(frame), together):
+            part = frame.iloc[i : i + together]
+            asked, out = requests(part, defined, course, concepts), []
+
+            def of(first: int, last: int) -> None:
+                these = asked.iloc[first * n : last * n].reset_index(drop=True)
+                rows = with_retries(lambda x: assembled(x, provider(x).reset_index(drop=True), n), these, attempts, base_seconds)
+                out.extend(rows)
+                add("messages", len(rows)), add("verdicts", len(rows) * len(defined)), add("abstained", sum(r["no_label_fits"] for r in rows))
+
+            for first in range(0, len(part), each):
+                last = min(first + each, len(part))
+                try:
+                    of(first, last)
+                    in_a_row = 0
+                    continue
+                except Exception:  # the messages that can be finished are kept
+                    pass
+                for k in range(first, last):
+                    try:
+                        of(k, k + 1)
+                        in_a_row = 0
+                    except Exception as broken:
+                        add("failed", 1)
+                        in_a_row += 1
+                        out.append({"error": str(broken) or type(broken).__name__})
+                        if in_a_row >= FAILURES_IN_A_ROW:
+                            break
+                if in_a_row >= FAILURES_IN_A_ROW:
+                    break
+            # the answers are in the order of the messages
+            keys = {c: part[c].tolist()[: len(out)] for c in KEY}
+            yield pd.DataFrame(keys | {c: pd.Series([r.get(c) for r in out], dtype=object) for c in ANSWER_COLUMNS[len(KEY) :]})
+            if in_a_row >= FAILURES_IN_A_ROW:
+                return
 
 
 def answered(
@@ -96,34 +147,7 @@ def answered(
             counts[name].add(int(n))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        in_a_row = 0
-        for frame in frames:
-            for i in range(0, len(frame), each):
-                part = frame.iloc[i : i + each]
-
-                def of(these: pd.DataFrame) -> pd.DataFrame:
-                    asked = requests(these, defined, course, concepts)
-                    out = with_retries(lambda x: assembled(x, provider(x).reset_index(drop=True), len(defined) + 1), asked, attempts, base_seconds)
-                    add("messages", len(out)), add("verdicts", len(out) * len(defined)), add("abstained", out["no_label_fits"].sum())
-                    return out
-
-                try:
-                    yield of(part)
-                    in_a_row = 0
-                    continue
-                except Exception:  # the messages that can be finished are kept
-                    pass
-                for k in range(len(part)):
-                    one = part.iloc[[k]]
-                    try:
-                        yield of(one)
-                        in_a_row = 0
-                    except Exception as broken:
-                        add("failed", 1)
-                        in_a_row += 1
-                        yield one[list(KEY)].assign(**dict.fromkeys(ANSWER_COLUMNS[len(KEY) :])).assign(error=str(broken) or type(broken).__name__)
-                        if in_a_row >= FAILURES_IN_A_ROW:
-                            return
+        return _in_calls(frames, defined, provider, attempts, base_seconds, each, course, concepts, add)
 
     said = messages.mapInPandas(run, ANSWERS)
     known = filtered_facets(said, [n for n, _ in concepts])

@@ -40,19 +40,21 @@ def offline(rows: pd.DataFrame) -> pd.DataFrame:
     nudges of one or two words from pasted errors and questions, and takes a conversation's
     opening for a new topic, a rapid message for a response, and any other for the student's own thread.
     """
-    text = rows["text"].fillna("").str.lower()
-    hit = [next((c for c in cues.split(",") if c and c in t), "") for t, cues in zip(text, rows["cues"], strict=True)]
-    out = pd.DataFrame({"applies": [bool(h) for h in hit], "rationale": [f"mentions {h}" if h else "" for h in hit], "evidence": hit})
+    text = [t.lower() if isinstance(t, str) else "" for t in rows["text"]]
+    split = {c: [x for x in c.split(",") if x] for c in set(rows["cues"])}
+    hit = [next((c for c in split[cues] if c in t), "") for t, cues in zip(text, rows["cues"], strict=True)]
+    out = {"applies": [bool(h) for h in hit], "rationale": [f"mentions {h}" if h else "" for h in hit], "evidence": hit}
     if "kind" not in rows:
-        return out
+        return pd.DataFrame(out)
     form = ["nudge" if len(t.split()) < 3 else "pasted-error" if "traceback" in t or "failing" in t else "authored-question" for t in text]
     waits = rows["latency_bucket"] if "latency_bucket" in rows else [""] * len(rows)
     move = [{"conversation-opening": MOVES[1], "rapid": MOVES[0]}.get(w, MOVES[2]) for w in waits]
-    names = rows["concept_names"].fillna("")
-    return out.assign(
-        no_label_fits=[not h for h in hit], note=["" if h else f"none of the cues in {len(t)} characters" for h, t in zip(hit, text, strict=True)], forms=[[f] for f in form], move=move,
-        concepts=[[n for n in own.split(",") if n and n.lower() in t] for own, t in zip(names, text, strict=True)],
-    )
+    names = [own if isinstance(own, str) else "" for own in rows["concept_names"]]
+    # one frame from lists: a call has few rows, and each column of pandas costs more than all of them
+    return pd.DataFrame(out | {
+        "no_label_fits": [not h for h in hit], "note": ["" if h else f"none of the cues in {len(t)} characters" for h, t in zip(hit, text, strict=True)], "forms": [[f] for f in form], "move": move,
+        "concepts": [[n for n in own.split(",") if n and n.lower() in t] for own, t in zip(names, text, strict=True)],
+    })
 
 
 def with_retries(ask: Provider, rows: pd.DataFrame, attempts: int = 4, base_seconds: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> pd.DataFrame:
