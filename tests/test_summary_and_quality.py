@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tutorlens.operators import labeling, profile, quality, sampling, summary, verdicts
 from tutorlens.params import Params, content_hash
-from tutorlens.plans import audit
+from tutorlens.plans import audit, session
 from tutorlens.plans.session import Concept, Label, PhaseError, Profile, Session, accept_profile, described, ensure_distilled, oversized
 from tutorlens.sources import events, snapshot
 from tutorlens.streaming.incremental import label_stream
@@ -487,6 +487,22 @@ def a_log(spark):
     return spark.createDataFrame(rows, "event_id bigint, us bigint, user_key string, event_type string, conv_id string, notebook string, question string, response string, mode string")
 
 
+def test_a_session_works_out_each_message_once(spark, tmp_path, monkeypatch):
+    made, real = spark.sparkContext.accumulator(0), session.described
+
+    def counting(*args):
+        counted = F.udf(lambda shown: made.add(1) or shown).asNondeterministic()
+        return real(*args).withColumn("shown", counted("shown"))
+
+    monkeypatch.setattr(session, "described", counting)
+    s = Session(spark, a_log(spark), str(tmp_path), lambda intent, digest: (Label("loops", cues="loop"),))
+    s.start("what is hard")
+    s.review(3).count()
+    assert made.value == 12
+    s.accept()
+    assert made.value == 24
+
+
 def test_session(spark, tmp_path):
     s = Session(spark, a_log(spark), str(tmp_path), lambda intent, digest: (Label("loops", cues="loop"),))
     with pytest.raises(PhaseError):
