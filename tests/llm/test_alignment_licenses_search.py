@@ -240,6 +240,27 @@ def test_search_is_that_of_all_scores(spark, monkeypatch, limits):
         assert sorted((tuple(r) for r in got), key=repr) == ranked(docs, items, k)
 
 
+def test_blocks_give_few_documents_that_cannot_be_among_the_best(spark, monkeypatch):
+    made, real = [], lexical_search._sums
+
+    def counting(*args):
+        out = real(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lexical_search, "_sums", counting)
+    monkeypatch.setattr(lexical_search, "BLOCK_BITS", 5)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([20, 60])))) for i in range(1500)]
+    items = [(i, " ".join(rng.sample(words, 30))) for i in range(6)]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS).repartition(3)
+    got = lexical_search.search(frame, spark.createDataFrame(items, "item_id bigint, text string"), 3).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == ranked(docs, items, 3)
+    # 48 blocks give each query 3 sums; of the documents a fifth at most can still be among the best
+    assert len(made) == 2 and made[0] <= 6 * 3 * 51 and made[1] <= 6 * 1500 / 5, made
+
+
 def test_search_of_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b", None, None, None)], DOCS), spark.createDataFrame([(1, "a")], "item_id bigint, text string")
     for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs.withColumn("text", F.lit(None).cast("string")), items), (docs, items.withColumn("text", F.lit("zz")))):

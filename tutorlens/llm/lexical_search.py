@@ -9,8 +9,9 @@
    their scores; the k-th is a lower bound of the k-th score.
 4. Every list is fetched down to one threshold for all lists of a query: documents that lie below
    it everywhere cannot reach the bound. What is fetched is dealt by blocks of documents and added
-   up; documents whose sum, with the most that unfetched lists could add, stays below the k-th
-   sum are dropped.
+   up, twice: first each block gives its k highest sums above the bound, and the k-th of all is
+   the next bound; then it gives the documents whose sum, with the most that unfetched lists could
+   add, reaches that bound.
 5. The exact scores of the rest are looked up in the lists.
 
 Terms are compared by 64-bit hashes.
@@ -128,23 +129,25 @@ def thresholds(item: np.ndarray, most: np.ndarray, bound: np.ndarray) -> np.ndar
     return low
 
 
-def _sums(fetched: DataFrame, item: np.ndarray, term: np.ndarray, weight: np.ndarray, most: np.ndarray, least: np.ndarray, bound: np.ndarray, k: int) -> DataFrame:
-    """(item, key, known, upper) of the documents that can be among the k best, by blocks of documents.
+def _sums(fetched: DataFrame, item: np.ndarray, term: np.ndarray, weight: np.ndarray, most: np.ndarray, least: np.ndarray, low: np.ndarray, first: int | None = None) -> DataFrame:
+    """(item, key, known, upper) of the documents that can reach their query's `low`, by blocks of documents.
 
-    `known` is the sum of what was fetched, `upper` that and the most that the rest could add.
+    `known` is the sum of what was fetched, `upper` that and the most that the rest could add. With
+    `first`, instead the documents of each block that are known to lie above `low`, that many with
+    the highest sums at most: the k-th of all blocks together is a better bound.
     """
-    shared = fetched.sparkSession.sparkContext.broadcast((item, term, weight, most, least, bound))  # PASS_ROWS at most
+    shared = fetched.sparkSession.sparkContext.broadcast((item, term, weight, most, least, low))  # PASS_ROWS at most
 
     def run(rows: pa.Table) -> pa.Table:
-        item, term, weight, most, least, bound = shared.value
+        item, term, weight, most, least, low = shared.value
         keys, doc = np.unique(rows.column("key").to_numpy(), return_inverse=True)
         order = np.argsort(rows.column("term").to_numpy(), kind="stable")
         t, c, doc = rows.column("term").to_numpy()[order], rows.column("c").to_numpy()[order], doc[order]
         begin, end = np.searchsorted(t, term, "left"), np.searchsorted(t, term, "right")
         rest = np.minimum(np.maximum(least[item] - 1, 0), most)
         out: list[tuple] = []
-        cuts = np.searchsorted(item, np.arange(len(bound) + 1))
-        for i in range(len(bound)):
+        cuts = np.searchsorted(item, np.arange(len(low) + 1))
+        for i in range(len(low)):
             known, upper = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             for j in range(cuts[i], cuts[i + 1]):
                 if begin[j] == end[j]:
@@ -154,13 +157,14 @@ def _sums(fetched: DataFrame, item: np.ndarray, term: np.ndarray, weight: np.nda
                 at = doc[begin[j] : end[j]][on]
                 known[at] += part[on]
                 upper[at] -= rest[j]
-            seen = np.flatnonzero(known)
-            if not len(seen):
-                continue
-            known, upper = known[seen], upper[seen] + known[seen] + rest[cuts[i] : cuts[i + 1]].sum()
-            low = max(int(bound[i]), int(np.partition(known, -k)[-k]) if len(known) >= k else 0)
-            on = upper >= low
-            out.append((np.full(on.sum(), i), keys[seen[on]], known[on], upper[on]))
+            upper += known + rest[cuts[i] : cuts[i + 1]].sum()
+            if first is None:
+                on = np.flatnonzero((known > 0) & (upper >= low[i]))
+            else:
+                on = np.flatnonzero(known > low[i])
+                on = on[np.argpartition(known[on], -first)[-first:]] if len(on) > first else on
+            if len(on):
+                out.append((np.full(len(on), i), keys[on], known[on], upper[on]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("item", "key", "known", "upper"), columns, strict=True)})
 
@@ -224,9 +228,12 @@ def _search(lists: DataFrame, wanted: DataFrame, raw: DataFrame, k: int) -> Data
     need = -(-np.maximum(least[item], 1) // w)
     cut = spark.createDataFrame(pa.table({"term": term, "need": need})).groupBy("term").agg(F.min("need").alias("need"))
     fetched = lists.join(F.broadcast(cut), "term").filter("c >= need").select("term", "key", "c")
-    sums = settled(_sums(fetched, item, term, w, most, least, bound, k))
-    kth = _best(sums, k, F.desc("known"), F.col("key")).groupBy("item").agg(F.min("known").alias("low"), F.count("*").alias("n")).filter(F.col("n") == k)
-    left = settled(sums.join(F.broadcast(kth), "item", "left").filter(F.col("upper") >= F.coalesce("low", F.lit(0))).select("item", "key"))
+    # a block alone knows too low a bound; of the sums above the first one, the k-th of all blocks is the next
+    tops = _best(_sums(fetched, item, term, w, most, least, bound, k), k, F.desc("known"), F.col("key"))
+    kth = tops.groupBy("item").agg(F.min("known").alias("low"), F.count("*").alias("n")).filter(F.col("n") == k).toArrow()  # a row a query
+    low = bound.copy()
+    low[kth["item"].to_numpy()] = kth["low"].to_numpy()
+    left = settled(_sums(fetched, item, term, w, most, least, low).select("item", "key"))
     # exact scores of the candidates, from all of their postings in the query's lists
     names = spark.createDataFrame(pa.table({"item": np.arange(len(ids)), "query": ids}))
     left = left.join(F.broadcast(names), "item").select(F.col("query").alias("item"), "key")
